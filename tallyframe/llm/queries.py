@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary_tokens
-from .common import table
+from . import binary_tokens, documents_tokens, packing
+from .common import cut, table
 from .tokens import default_tokenizer
 
 QUERIES: dict = {}
@@ -20,3 +20,9 @@ def query(f):
 @query
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_tokens.tokens_to_files(spark, table(spark, sf_dir, "documents"), default_tokenizer("byte_bpe_50k.json"))
+
+
+@query
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = documents_tokens.token_pieces(table(spark, sf_dir, "documents"), default_tokenizer("word_bpe_49k.json"), end_id=0, capacity=2048)
+    return packing.best_fit_pack(cut(pieces, "pieces"), capacity=2048)
