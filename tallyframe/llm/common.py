@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -18,16 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
     Only where a session names none (tests on one machine) a temporary folder is used.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="tallyframe-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    return at.rstrip("/") if at else _own_dir()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -78,3 +81,8 @@ def rank_within(df: DataFrame, key: str, order: Sequence[str], salts: int = 64)
         .withColumn("rank", (F.col("_base") + F.col("_at")).cast("long"))
         .drop("_salt", "_at", "_base")
     )
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once a row, however often and however deep in lambdas the body uses it."""
+    return F.transform(F.array(value), body)[0]
