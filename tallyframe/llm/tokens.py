@@ -7,8 +7,9 @@ import re
 
 import numpy as np
 
-#: Latin letters, then ASCII signs other than the apostrophe: both tokenizer families split exactly between them.
-_LETTERS_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-^`{|}~]+)")
+#: Latin letters, or ASCII signs other than the apostrophe: both tokenizer families split exactly between such runs.
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_RUNS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[!-&(-/:-@\[-^`{|}~]+")
 
 _CACHED: dict[tuple[str, int], "Encoder"] = {}
 
@@ -23,9 +24,10 @@ def default_tokenizer(name: str) -> str:
 class Encoder:
     """Ids of whole texts as little-endian bytes (2 or 4 a token, by the vocabulary's size).
 
-    The library splits texts into pieces before it encodes them, and a single space followed by another character
-    always starts a new piece. So a text without double spaces is the sum of its space-separated words, whose ids are
-    remembered; any other text is encoded in one go. At most ``limit`` words are remembered at a time.
+    The library splits texts into pieces before it encodes them. A single space or line break between other characters always starts a new piece, and
+    the space belongs to the piece behind it. So a text without neighbouring blanks is the sum of its words, whose ids are remembered; any
+    other text is encoded in one go. New words of letters are encoded many at a time, joined, and their ids are told apart by the
+    vocabulary's marks (word beginnings or word ends). At most about ``limit`` words are remembered.
     """
 
     def __init__(self, path: str, limit: int):
@@ -34,45 +36,101 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        vocabulary = self.tokenizer.get_vocab()
+        self.dtype = np.dtype("<u2" if len(vocabulary) <= 1 << 16 else "<u4")
         self.limit = limit
-        self.first: dict[str, bytes] = {}  # words at the start of a text
-        self.later: dict[str, bytes] = {}  # words after a space
+        self.first: dict[str, bytes] = {}  # words at the start of a text or line, or behind signs
+        self.later: dict[str, bytes] = {}  # words after a space; with their line break if they start a line
+        self.has_ends = any(t.endswith("</w>") for t in vocabulary)
+        self.marks = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.marks[[k for t, k in vocabulary.items() if (t.endswith("</w>") if self.has_ends else t.startswith("Ġ"))]] = True
+        self.line_break = self._encode(["\n"])[0]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in done]
 
-    def _learn(self, known: dict[str, bytes], new: list[str], prefix: str) -> None:
-        """Ids of ``new`` words; a word with signs behind it is put together from the two parts' ids."""
-        split = {w: m.groups() for w in new if (m := _LETTERS_SIGNS.fullmatch(w))}
-        wanted = [w for w in {*(w for w in new if w not in split), *(a for a, _ in split.values())} if w not in known]
-        known.update(zip(wanted, self._encode([prefix + w for w in wanted])))
-        signs = [w for w in {b for _, b in split.values()} if w not in self.first]
-        self.first.update(zip(signs, self._encode(signs)))
-        known.update((w, known[a] + self.first[b]) for w, (a, b) in split.items())
+    def _letters(self, words: list[str], spaced: bool) -> list[bytes]:
+        """Ids of words of letters, encoded together."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 1000):
+            part = words[at : at + 1000]
+            glue = " " if spaced or self.has_ends else "\n"
+            ids = np.frombuffer(self._encode([(" " if spaced else "") + glue.join(part)])[0], self.dtype)
+            if self.has_ends:
+                ends = np.flatnonzero(self.marks[ids]) + 1
+                starts = np.append(0, ends[:-1])
+            elif spaced:
+                starts = np.flatnonzero(self.marks[ids])
+                ends = np.append(starts[1:], len(ids))
+            else:
+                breaks = np.flatnonzero(ids == np.frombuffer(self.line_break, self.dtype)[0])
+                starts, ends = np.append(0, breaks + 1), np.append(breaks, len(ids))
+            if len(starts) == len(part):
+                raw, size = ids.tobytes(), self.dtype.itemsize
+                out += [raw[a:b] for a, b in zip((starts * size).tolist(), (ends * size).tolist())]
+            else:
+                out += self._encode([" " * spaced + w for w in part])
+        return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _learn(self, known: dict[str, bytes], new: list[str], spaced: bool) -> None:
+        """Ids of ``new`` words; runs of letters and signs are put together from their own ids."""
+        runs, other = {}, []
+        for w in new:
+            found = _RUNS.findall(w)
+            if found and sum(map(len, found)) == len(w):
+                runs[w] = found
+            else:
+                other.append(w)
+        known.update(zip(other, self._encode([" " * spaced + w for w in other])))
+        for table, wanted, after in ((known, {r[0] for r in runs.values()}, spaced), (self.first, {x for r in runs.values() for x in r[1:]}, False)):
+            wanted = [w for w in wanted if w not in table]
+            letters = [w for w in wanted if _LETTERS.match(w)]
+            signs = [w for w in wanted if not _LETTERS.match(w)]
+            table.update(zip(letters, self._letters(letters, after)))
+            table.update(zip(signs, self._encode([" " * after + w for w in signs])))
+        first = self.first
+        known.update((w, known[r[0]] + b"".join([first[x] for x in r[1:]])) for w, r in runs.items() if len(r) > 1)
+
+    def _known(self, parts: list[list[str]]) -> list[bytes]:
         if len(self.first) + len(self.later) > self.limit:
             self.first.clear()
             self.later.clear()
-        whole = [k for k, t in enumerate(texts) if "  " in t]
-        parts = [None if "  " in t else t.split(" ") for t in texts]
-        heads, rest = set(), set()
-        for p in parts:
-            if p is not None:
-                heads.add(p[0])
-                rest.update(p[1:])
-        self._learn(self.first, list(heads - self.first.keys()), "")
-        self._learn(self.later, list(rest - self.later.keys()), " ")
-        first, later = self.first, self.later
-        out = [b"" if p is None else first[p[0]] + b"".join([later[w] for w in p[1:]]) for p in parts]
-        for k, ids in zip(whole, self._encode([texts[k] for k in whole])):
-            out[k] = ids
+        heads = {p[0] for p in parts} - self.first.keys()
+        get = self.later.get
+        found = [list(map(get, p)) for p in parts]
+        new = {w for p, f in zip(parts, found) for w, x in zip(p[1:], f[1:]) if x is None}
+        broken = {w for w in new if w[0:1] == "\n" and not w[1:2].isspace()}  # other blanks may join the line break
+        heads.update({w[1:] for w in broken} - self.first.keys())
+        self._learn(self.first, list(heads), False)
+        self._learn(self.later, list(new - broken), True)
+        self.later.update((w, self.line_break + self.first[w[1:]]) for w in broken)
+        out = []
+        for p, f in zip(parts, found):
+            f[0] = self.first[p[0]]
+            out.append(b"".join(f if None not in f else [f[0], *map(get, p[1:])]))
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(texts)
+        plain, parts, size = [], [], 0
+        for k, t in enumerate(texts):
+            if "  " in t or " \n" in t or "\n " in t or "\n\n" in t or t[:1] == "\n" or t[-1:] == "\n":
+                out[k] = self._encode([t])[0]
+                continue
+            plain.append(k)
+            parts.append(t.replace("\n", " \n").split(" "))
+            size += len(t)
+            if size > 1_000_000:  # of a batch, so much text is in pieces at a time
+                for at, ids in zip(plain, self._known(parts)):
+                    out[at] = ids
+                plain, parts, size = [], [], 0
+        for at, ids in zip(plain, self._known(parts) if parts else ()):
+            out[at] = ids
         return out
 
 
-def encoder(path: str, limit: int = 1_000_000) -> Encoder:
+def encoder(path: str, limit: int = 400_000) -> Encoder:
     """This worker's encoder for ``path``."""
     if (path, limit) not in _CACHED:
         _CACHED[path, limit] = Encoder(path, limit)
