@@ -100,11 +100,13 @@ class Encoder:
         get = self.later.get
         found = [list(map(get, p)) for p in parts]
         new = {w for p, f in zip(parts, found) for w, x in zip(p[1:], f[1:]) if x is None}
-        broken = {w for w in new if w[0:1] == "\n" and not w[1:2].isspace()}  # other blanks may join the line break
-        heads.update({w[1:] for w in broken} - self.first.keys())
+        broken = {w for w in new if w[0:1] == "\n"}
+        odd = [w for w in broken if w[1:2].isspace()]  # other blanks may join the line break
+        heads.update({w[1:] for w in broken if not w[1:2].isspace()} - self.first.keys())
         self._learn(self.first, list(heads), False)
         self._learn(self.later, list(new - broken), True)
-        self.later.update((w, self.line_break + self.first[w[1:]]) for w in broken)
+        self.later.update((w, self.line_break + self.first[w[1:]]) for w in broken if not w[1:2].isspace())
+        self.later.update(zip(odd, self._encode(odd)))
         out = []
         for p, f in zip(parts, found):
             f[0] = self.first[p[0]]
@@ -130,7 +132,7 @@ class Encoder:
         return out
 
 
-def encoder(path: str, limit: int = 400_000) -> Encoder:
+def encoder(path: str, limit: int = 1_500_000) -> Encoder:
     """This worker's encoder for ``path``."""
     if (path, limit) not in _CACHED:
         _CACHED[path, limit] = Encoder(path, limit)
