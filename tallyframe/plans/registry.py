@@ -2,5 +2,498 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import codec, identifiers, money
+from ..operators import admission, audit, ledger, transactions
+from ..session import table
+from . import derive
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+#: The derived tables in DuckDB SQL, from the driver tables alone.
+ACCOUNTS = """accounts AS (
+  SELECT c_custkey AS ordinal, 'cust-' || c_custkey AS account_id, 'ASSET' AS kind FROM customer
+  UNION ALL SELECT s_suppkey + 1000000000000, 'supp-' || s_suppkey, 'LIABILITY' FROM supplier
+  UNION ALL SELECT 2000000000000, 'equity', 'EQUITY')"""
+LINES = """lines AS (
+  SELECT l_orderkey AS seq, l_linenumber, l_suppkey,
+         (CAST(round(l_extendedprice * 100) AS BIGINT) * (100 - CAST(round(l_discount * 100) AS BIGINT))) // 100 AS net FROM lineitem)"""
+ENTRIES = f"""{LINES}, entries AS (
+  SELECT seq, CAST(0 AS INTEGER) AS entry_no, 'cust-' || o_custkey AS account_id, 'DEBIT' AS side, CAST(sum(net) AS BIGINT) AS amount_minor
+  FROM lines JOIN orders ON o_orderkey = seq WHERE net > 0 GROUP BY seq, o_custkey
+  UNION ALL SELECT seq, CAST(row_number() OVER (PARTITION BY seq ORDER BY l_linenumber, l_suppkey, net) AS INTEGER), 'supp-' || l_suppkey, 'CREDIT', net FROM lines WHERE net > 0)"""
+BAD = f"""{ENTRIES}, bad AS (
+  SELECT seq, entry_no, CASE WHEN side = 'DEBIT' AND seq % 89 = 0 AND seq % 97 <> 0 THEN 'ghost-' || seq ELSE account_id END AS account_id, side,
+         CASE WHEN side = 'DEBIT' AND seq % 79 = 0 THEN 0 WHEN side = 'DEBIT' AND seq % 83 = 0 THEN amount_minor + 1 ELSE amount_minor END AS amount_minor
+  FROM entries WHERE NOT (side = 'CREDIT' AND seq % 97 = 0))"""
+VERDICTS = f"""{ACCOUNTS}, {BAD}, verdicts AS (
+  SELECT seq, CASE WHEN min(amount_minor) <= 0 THEN 'UNCONSTRUCTIBLE' WHEN count(*) < 2 THEN 'TOO_FEW_ENTRIES'
+    WHEN bool_or(accounts.account_id IS NULL) THEN 'UNKNOWN_ACCOUNT'
+    WHEN sum(CASE WHEN side = 'DEBIT' THEN amount_minor ELSE -amount_minor END) <> 0 THEN 'UNBALANCED' END AS reason
+  FROM bad LEFT JOIN accounts USING (account_id) GROUP BY seq)"""
+GOOD = f"{VERDICTS}, good AS (SELECT b.* FROM bad b JOIN verdicts v USING (seq) WHERE v.reason IS NULL)"
+KEYED = """keyed AS (
+  SELECT event_id AS seq, 'm-' || event_type AS merchant, 'user-' || user_id || '-w' || (epoch_us(ts) // 1000 // 604800000) AS key, epoch_us(ts) // 1000 AS now_ms,
+         'user-' || user_id AS payer, CAST(1 + CAST(floor(value) AS BIGINT) % 2 AS BIGINT) AS amount FROM events),
+bound AS (SELECT *, first_value(seq) OVER w AS binder_seq, first_value(amount) OVER w AS binder_amount, first_value(now_ms) OVER w AS binder_ms
+  FROM keyed WINDOW w AS (PARTITION BY merchant, key ORDER BY seq)),
+decided AS (SELECT *, CASE WHEN seq = binder_seq THEN 'POSTED' WHEN amount <> binder_amount THEN 'CONFLICT'
+  WHEN now_ms - binder_ms < 86400000 THEN 'REPLAYED' ELSE 'EXPIRED' END AS outcome FROM bound)"""
+
+
+def _hex(value: str, digits: int) -> str:
+    return f"lpad(lower(to_hex(CAST({value} AS BIGINT))), {digits}, '0')"
+
+
+_ID = "lpad(lower(to_hex(length({0}))), 2, '0') || lower(hex(CAST({0} AS BLOB)))"
+#: A keyed posting's body is the transfer (debit pool, credit payer).
+TRANSFER_HEX = f"'0002' || {_ID.format(chr(39) + 'pool' + chr(39))} || '00' || {_hex('amount', 16)} || {_ID.format('payer')} || '01' || {_hex('amount', 16)}"
+SIGNED = "CASE WHEN side = 'DEBIT' THEN amount_minor ELSE -amount_minor END"
+#: An entry's bytes in hex.
+ENTRY_HEX = f"{_ID.format('account_id')} || CASE WHEN side = 'DEBIT' THEN '00' ELSE '01' END || {_hex('amount_minor', 16)}"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _balances(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.balances(derive.accounts(spark, d), derive.order_entries(spark, d))
+
+
+BALANCES = f"""{ACCOUNTS}, {ENTRIES}, balances AS (
+  SELECT ordinal, account_id, kind, CAST(coalesce(sum({SIGNED}), 0) AS BIGINT) AS balance_minor FROM accounts LEFT JOIN entries USING (account_id) GROUP BY ALL)"""
+NATURAL = "CASE WHEN kind = 'ASSET' THEN balance_minor >= 0 ELSE balance_minor <= 0 END"
+MAJOR = "CASE WHEN {0} < 0 THEN '-' ELSE '' END || CAST(abs({0}::HUGEINT) // 100 AS VARCHAR) || '.' || lpad(CAST(abs({0}::HUGEINT) % 100 AS VARCHAR), 2, '0')"
+
+
+@query("SELECT c_custkey, TRY_CAST(CAST(m AS HUGEINT) * 100 AS BIGINT) AS minor FROM (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 9223372036854775807 - c_custkey ELSE c_custkey END AS m FROM customer)")
+def money_of_major(spark, d):
+    m = F.when(F.col("c_custkey") % 7 == 0, F.lit(money.MAX_MINOR) - F.col("c_custkey")).otherwise(F.col("c_custkey"))
+    return table(spark, d, "customer").select("c_custkey", money.of_major(m).alias("minor"))
+
+
+@query(
+    "SELECT c_custkey, TRY_CAST(a::HUGEINT + b AS BIGINT) AS plus_minor, TRY_CAST(a::HUGEINT - b AS BIGINT) AS minus_minor, TRY_CAST(a::HUGEINT * b AS BIGINT) AS times_minor, TRY_CAST(-(a::HUGEINT) AS BIGINT) AS negated_minor "
+    "FROM (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN -9223372036854775808 + c_custkey - 5 * (c_custkey // 5) ELSE 9223372036854775807 - c_custkey END AS a, CAST(round(c_acctbal * 100) AS BIGINT) AS b FROM customer)"
+)
+def money_arith(spark, d):
+    key = F.col("c_custkey")
+    a = F.when(key % 5 == 0, F.lit(money.MIN_MINOR) + key % 5).otherwise(F.lit(money.MAX_MINOR) - key)
+    c = table(spark, d, "customer").select("c_custkey", a.alias("a"), F.round(F.col("c_acctbal") * 100).cast("long").alias("b"))
+    a, b = F.col("a"), F.col("b")
+    return c.select("c_custkey", money.plus(a, b).alias("plus_minor"), money.minus(a, b).alias("minus_minor"), money.times(a, b).alias("times_minor"), money.negated(a).alias("negated_minor"))
+
+
+@query(f"SELECT c_custkey, {MAJOR.format('m')} AS major FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN -9223372036854775808 + c_custkey - c_custkey % 4 WHEN 1 THEN c_custkey % 100 WHEN 2 THEN -(c_custkey % 100) ELSE CAST(round(c_acctbal * 100) AS BIGINT) END AS m FROM customer)")
+def money_major_string(spark, d):
+    key = F.col("c_custkey")
+    m = F.when(key % 4 == 0, F.lit(money.MIN_MINOR) + key).when(key % 4 == 1, key % 100).when(key % 4 == 2, -(key % 100)).otherwise(F.round(F.col("c_acctbal") * 100).cast("long"))
+    return table(spark, d, "customer").select("c_custkey", money.major_string(m).alias("major"))
+
+
+@query(
+    "SELECT c_custkey, CASE WHEN length(i) = 0 THEN 'EMPTY' WHEN length(i) > 64 THEN 'TOO_LONG' WHEN NOT regexp_full_match(i, '[A-Za-z0-9._-]+') THEN 'BAD_CHARACTER' END AS problem "
+    "FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN repeat('a', 60 + c_custkey % 9) WHEN 2 THEN c_name || ' ' ELSE 'cust-' || c_custkey END AS i FROM customer)"
+)
+def identifier_check(spark, d):
+    key = F.col("c_custkey")
+    i = F.when(key % 4 == 0, "").when(key % 4 == 1, F.expr("repeat('a', cast(60 + c_custkey % 9 as int))")).when(key % 4 == 2, F.concat("c_name", F.lit(" "))).otherwise(F.concat(F.lit("cust-"), key))
+    return table(spark, d, "customer").select("c_custkey", identifiers.problem(i).alias("problem"))
+
+
+@query(f"WITH {BALANCES} SELECT account_id, kind, balance_minor FROM balances WHERE NOT ({NATURAL})")
+def unnatural_balances(spark, d):
+    return _balances(spark, d).where("not is_natural").select("account_id", "kind", "balance_minor")
+
+
+@query(f"WITH {ENTRIES} SELECT *, {SIGNED} AS signed_minor FROM entries")
+def signed_entries(spark, d):
+    return transactions.signed_entries(derive.order_entries(spark, d))
+
+
+@query(f"WITH {ENTRIES} SELECT seq, entry_no, account_id, CASE side WHEN 'DEBIT' THEN 'CREDIT' ELSE 'DEBIT' END AS side, amount_minor FROM entries")
+def reverse_transactions(spark, d):
+    nested = transactions.nest(derive.order_entries(spark, d))
+    return transactions.flatten(nested.select("seq", transactions.reverse(F.col("entries")).alias("entries")))
+
+
+@query(f"WITH {KEYED} SELECT seq, CAST(0 AS INTEGER) AS entry_no, 'pool' AS account_id, 'DEBIT' AS side, amount AS amount_minor FROM keyed UNION ALL SELECT seq, 1, payer, 'CREDIT', amount FROM keyed")
+def transfer_to_entries(spark, d):
+    return transactions.flatten(derive.keyed_attempts(spark, d))
+
+
+@query(f"WITH {KEYED} SELECT seq, sha256(unhex('50' || {TRANSFER_HEX})) AS fingerprint FROM keyed")
+def request_fingerprint(spark, d):
+    return derive.keyed_attempts(spark, d).select("seq", codec.fingerprint(F.col("entries")).alias("fingerprint"))
+
+
+@query(f"WITH {ENTRIES} SELECT seq, sha256(unhex('50' || lpad(lower(to_hex(count(*))), 4, '0') || string_agg({ENTRY_HEX}, '' ORDER BY entry_no))) AS fingerprint FROM entries GROUP BY seq")
+def order_fingerprints(spark, d):
+    return transactions.nest(derive.order_entries(spark, d)).select("seq", codec.fingerprint(F.col("entries")).alias("fingerprint"))
+
+
+@query(f"""WITH {BAD} SELECT seq, count(*) AS n_entries, CAST(coalesce(sum(amount_minor) FILTER (side = 'DEBIT'), 0) AS BIGINT) AS debits,
+CAST(coalesce(sum(amount_minor) FILTER (side = 'CREDIT'), 0) AS BIGINT) AS credits, false AS overflows,
+coalesce(sum(amount_minor) FILTER (side = 'DEBIT'), 0) = coalesce(sum(amount_minor) FILTER (side = 'CREDIT'), 0) AS is_balanced FROM bad GROUP BY seq""")
+def transaction_totals(spark, d):
+    return transactions.totals(derive.order_entries(spark, d, bad=True))
+
+
+@query(f"WITH {ENTRIES} SELECT seq, account_id, CAST(sum({SIGNED}) AS BIGINT) AS net_minor FROM entries GROUP BY seq, account_id")
+def net_effects(spark, d):
+    return transactions.net_effects(derive.order_entries(spark, d))
+
+
+@query(f"WITH {ENTRIES} SELECT seq, account_id, row_number() OVER (PARTITION BY seq ORDER BY min(entry_no)) - 1 AS place FROM entries GROUP BY seq, account_id")
+def touched_accounts(spark, d):
+    return transactions.touched_accounts(derive.order_entries(spark, d))
+
+
+@query(f"WITH {ENTRIES} SELECT seq, 'Transaction[' || string_agg(side || ' ' || {MAJOR.format('amount_minor')} || ' -> ' || account_id, ', ' ORDER BY entry_no) || ']' AS rendered FROM entries GROUP BY seq")
+def render_transactions(spark, d):
+    return transactions.nest(derive.order_entries(spark, d)).select("seq", transactions.render(F.col("entries")).alias("rendered"))
+
+
+@query("""WITH o AS (SELECT event_id AS seq, 'user-' || user_id AS account_id FROM events)
+SELECT seq, account_id, CASE WHEN row_number() OVER (PARTITION BY account_id ORDER BY seq) = 1 THEN 'OPENED' ELSE 'REJECTED' END AS outcome FROM o""")
+def open_accounts(spark, d):
+    """Every event tries to open its user's account: the first does, the others are duplicates."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.concat(F.lit("user-"), F.col("user_id")).alias("account_id"), F.lit("LIABILITY").alias("kind"), F.lit("OPEN").alias("op"))
+    first = admission.opened_accounts(e)
+    return e.join(first.select("account_id", "open_seq"), "account_id").select("seq", "account_id", F.when(F.col("seq") == F.col("open_seq"), "OPENED").otherwise("REJECTED").alias("outcome"))
+
+
+@query(f"WITH {VERDICTS} SELECT seq, reason FROM verdicts")
+def validate_transactions(spark, d):
+    posts = transactions.nest(derive.order_entries(spark, d, bad=True))
+    known = derive.accounts(spark, d).select("account_id", F.lit(-1).cast("long").alias("open_seq"))
+    return admission.static_verdicts(posts, known)
+
+
+@query(f"WITH {VERDICTS} SELECT seq, CASE WHEN reason IS NULL THEN 'POSTED' WHEN reason = 'UNCONSTRUCTIBLE' THEN reason ELSE 'REJECTED' END AS outcome, reason FROM verdicts")
+def post_outcomes(spark, d):
+    return admission.classify(derive.order_attempts(spark, d)).where("op = 'POST'").select("seq", "outcome", "reason")
+
+
+@query(f"WITH {VERDICTS} SELECT coalesce(reason, 'POSTED') AS outcome, count(*) AS n FROM verdicts GROUP BY 1")
+def outcome_mix(spark, d):
+    return post_outcomes(spark, d).groupBy(F.coalesce("reason", F.lit("POSTED")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {BALANCES} SELECT *, {NATURAL} AS is_natural FROM balances")
+def balances(spark, d):
+    return _balances(spark, d)
+
+
+@query(f"WITH {BALANCES} SELECT account_id, balance_minor FROM balances WHERE account_id = 'supp-1'")
+def balance_of(spark, d):
+    return _balances(spark, d).where("account_id = 'supp-1'").select("account_id", "balance_minor")
+
+
+@query(f"WITH {BALANCES} SELECT CAST(sum(balance_minor) AS BIGINT) AS total_minor FROM balances")
+def total_balance(spark, d):
+    return ledger.total_balance(_balances(spark, d))
+
+
+@query(
+    f"WITH {BALANCES} SELECT ordinal, account_id, kind, balance_minor, {MAJOR.format('balance_minor')} AS balance, {NATURAL} AS is_natural FROM balances "
+    f"UNION ALL SELECT NULL, 'TOTAL', NULL, t, {MAJOR.format('t')}, t = 0 FROM (SELECT CAST(sum(balance_minor) AS BIGINT) AS t FROM balances)"
+)
+def trial_balance(spark, d):
+    return ledger.trial_balance(_balances(spark, d))
+
+
+JOURNAL = f"""{GOOD}, opens AS (SELECT row_number() OVER (ORDER BY ordinal) AS lsn, account_id, kind FROM accounts),
+posts AS (SELECT row_number() OVER (ORDER BY seq) + (SELECT count(*) FROM accounts) AS lsn, seq FROM (SELECT DISTINCT seq FROM good))"""
+
+
+def _journal(spark: SparkSession, d: str) -> DataFrame:
+    attempts = derive.order_attempts(spark, d)
+    return ledger.journal_of(attempts, admission.classify(attempts, certified=True))
+
+
+@query(f"WITH {JOURNAL} SELECT lsn, 'ACCOUNT_OPENED' AS type, account_id, kind, CAST(NULL AS INTEGER) AS entry_no, CAST(NULL AS VARCHAR) AS side, CAST(NULL AS BIGINT) AS amount_minor FROM opens UNION ALL SELECT lsn, 'POSTED', account_id, NULL, entry_no, side, amount_minor FROM posts JOIN good USING (seq)")
+def journal_listing(spark, d):
+    rows = _journal(spark, d).select("lsn", "type", "account_id", "kind", F.posexplode_outer("entries").alias("entry_no", "e"))
+    return rows.select("lsn", "type", F.coalesce("account_id", "e.account_id").alias("account_id"), "kind", "entry_no", "e.side", "e.amount_minor")
+
+
+@query(f"WITH {JOURNAL} SELECT lsn, seq, count(*) AS n_entries FROM posts JOIN good USING (seq) GROUP BY lsn, seq")
+def transactions_in_journal(spark, d):
+    return _journal(spark, d).where("type in ('POSTED', 'IDEMPOTENT_POSTING')").select("lsn", "seq", F.size("entries").cast("long").alias("n_entries"))
+
+
+@query(f"WITH {ACCOUNTS} SELECT row_number() OVER (ORDER BY ordinal) AS opened_lsn, ordinal, account_id, kind, CASE kind WHEN 'ASSET' THEN 'DEBIT' ELSE 'CREDIT' END AS normal_side FROM accounts")
+def accounts(spark, d):
+    found = ledger.dense_numbers(derive.accounts(spark, d), "ordinal", "opened_lsn")
+    return found.select("opened_lsn", "ordinal", "account_id", "kind", money.normal_side(F.col("kind")).alias("normal_side"))
+
+
+@query(f"WITH {GOOD} SELECT ordinal, account_id, kind, CAST(coalesce(sum({SIGNED}), 0) AS BIGINT) AS balance_minor FROM accounts LEFT JOIN good USING (account_id) GROUP BY ALL")
+def fold_balances(spark, d):
+    return ledger.balances(derive.accounts(spark, d), ledger.journal_entries(_journal(spark, d))).drop("is_natural")
+
+
+@query(f"WITH {GOOD} SELECT ordinal, account_id, kind, CAST(coalesce(sum({SIGNED}), 0) AS BIGINT) AS balance_minor FROM accounts LEFT JOIN good USING (account_id) GROUP BY ALL")
+def snapshot_plus_tail(spark, d):
+    """Balances at the middle of the journal, and the records after it."""
+    journal, accounts_ = _journal(spark, d), derive.accounts(spark, d)
+    middle = journal.agg(F.max("lsn")).first()[0] // 2
+    entries = ledger.journal_entries(journal)
+    base = ledger.balances(accounts_, entries.where(F.col("lsn") <= middle))
+    return ledger.balances(accounts_, entries.where(F.col("lsn") > middle), base).drop("is_natural")
+
+
+@query(f"WITH {ENTRIES}, net AS (SELECT seq, account_id, CAST(sum({SIGNED}) AS BIGINT) AS net_minor FROM entries GROUP BY ALL) SELECT *, CAST(sum(net_minor) OVER (PARTITION BY account_id ORDER BY seq) AS BIGINT) AS balance_minor FROM net")
+def running_balances(spark, d):
+    return ledger.running_balances(derive.order_entries(spark, d))
+
+
+@query(f"WITH {ACCOUNTS}, {ENTRIES}, k AS (SELECT max(o_orderkey) // 2 AS k FROM orders) SELECT account_id, CAST(coalesce(sum({SIGNED}) FILTER (seq <= k), 0) AS BIGINT) AS balance_minor FROM accounts LEFT JOIN entries USING (account_id), k GROUP BY account_id")
+def balance_as_of(spark, d):
+    k = table(spark, d, "orders").agg(F.max("o_orderkey")).first()[0] // 2
+    return ledger.balances(derive.accounts(spark, d), derive.order_entries(spark, d).where(F.col("seq") <= k)).select("account_id", "balance_minor")
+
+
+@query(f"WITH {KEYED} SELECT seq, outcome, binder_seq AS bound_seq FROM decided")
+def idempotent_outcomes(spark, d):
+    return admission.classify(derive.event_attempts(spark, d)).where("op = 'POST_KEYED'").select("seq", "outcome", "bound_seq")
+
+
+@query(f"WITH {KEYED} SELECT merchant, key, seq AS bound_seq, now_ms AS captured_at_ms, sha256(unhex('50' || {TRANSFER_HEX})) AS fingerprint FROM decided WHERE outcome = 'POSTED'")
+def bindings(spark, d):
+    attempts = derive.event_attempts(spark, d)
+    out = admission.classify(attempts, certified=True).where("op = 'POST_KEYED' and outcome = 'POSTED'").select("seq")
+    return attempts.join(out, "seq").select("merchant", "key", F.col("seq").alias("bound_seq"), F.col("now_ms").alias("captured_at_ms"), codec.fingerprint(F.col("entries")).alias("fingerprint"))
+
+
+@query(f"WITH {KEYED} SELECT merchant, key, seq AS bound_seq FROM decided WHERE outcome = 'POSTED' AND merchant = (SELECT min(merchant) FROM keyed)")
+def bound_key(spark, d):
+    least = derive.keyed_attempts(spark, d).agg(F.min("merchant").alias("merchant"))
+    return bindings(spark, d).join(F.broadcast(least), "merchant").select("merchant", "key", "bound_seq")
+
+
+@query(f"""WITH {KEYED} SELECT CASE WHEN now_ms < binder_ms THEN 'BEFORE' WHEN now_ms - binder_ms < 86400000 THEN 'LIVE' ELSE 'AGED' END AS age,
+amount = binder_amount AS same_body, outcome, count(*) AS n FROM decided WHERE outcome <> 'POSTED' GROUP BY ALL""")
+def expiry_matrix(spark, d):
+    keyed = admission.bind(derive.keyed_attempts(spark, d).withColumn("reason", F.lit(None).cast("string")).withColumn("fp", codec.fingerprint(F.col("entries"))))
+    aged = keyed.where("binder_seq is not null").withColumn("ms", F.col("now_ms") - F.col("binder_ms"))
+    same = F.col("fp") == F.col("binder_fp")
+    age = F.when(F.col("ms") < 0, "BEFORE").when(F.col("ms") < admission.DAY_MS, "LIVE").otherwise("AGED")
+    outcome = F.when(~same, "CONFLICT").when(F.col("ms") < admission.DAY_MS, "REPLAYED").otherwise("EXPIRED")
+    return aged.groupBy(age.alias("age"), same.alias("same_body"), outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {KEYED} SELECT d.seq, d.merchant, d.key, sha256(unhex('50' || {TRANSFER_HEX})) AS attempted, (SELECT sha256(unhex('50' || {TRANSFER_HEX.replace('amount', 'b.amount').replace('payer', 'b.payer')})) FROM keyed b WHERE b.seq = d.binder_seq) AS bound FROM decided d WHERE outcome = 'CONFLICT'")
+def idempotency_conflicts(spark, d):
+    keyed = admission.bind(derive.keyed_attempts(spark, d).withColumn("reason", F.lit(None).cast("string")).withColumn("fp", codec.fingerprint(F.col("entries"))))
+    return keyed.where("fp <> binder_fp").select("seq", "merchant", "key", F.col("fp").alias("attempted"), F.col("binder_fp").alias("bound"))
+
+
+@query(f"WITH {KEYED} SELECT d.seq, d.merchant, d.key, d.outcome = 'REPLAYED' AS replayed, CAST(CASE outcome WHEN 'CONFLICT' THEN 409 WHEN 'EXPIRED' THEN 410 ELSE 200 END AS INTEGER) AS status, binder_seq AS original_seq, binder_ms AS captured_at_ms FROM decided d")
+def receipts(spark, d):
+    attempts = derive.event_attempts(spark, d)
+    out = admission.classify(attempts, certified=True).where("op = 'POST_KEYED'")
+    status = F.create_map(*[x for k, v in admission.STATUS.items() for x in (F.lit(k), F.lit(v))])[F.col("outcome")]
+    origin = attempts.select(F.col("seq").alias("bound_seq"), F.col("now_ms").alias("captured_at_ms"))
+    own = attempts.select("seq", "merchant", "key")
+    return out.join(own, "seq").join(origin, "bound_seq", "left").select("seq", "merchant", "key", (F.col("outcome") == "REPLAYED").alias("replayed"), status.alias("status"), F.col("bound_seq").alias("original_seq"), "captured_at_ms")
+
+
+@query(f"WITH {KEYED} SELECT seq, merchant, key, payer, amount AS amount_minor FROM decided WHERE outcome = 'POSTED'")
+def stored_responses(spark, d):
+    """Each binding's own posting, looked up again by the record that it names."""
+    journal = event_journal(spark, d)
+    bound = ledger.bindings(journal)
+    found = bound.join(journal.where("type = 'IDEMPOTENT_POSTING'").select(F.col("lsn").alias("response_lsn"), "seq", "entries"), "response_lsn")
+    return found.select("seq", "merchant", "key", F.col("entries")[1]["account_id"].alias("payer"), F.col("entries")[1]["amount_minor"].alias("amount_minor"))
+
+
+@query(f"WITH {KEYED}, b AS (SELECT * FROM keyed WHERE seq < 50) SELECT seq, 100 AS attempts, CAST(1 AS BIGINT) AS posted, CAST(99 AS BIGINT) AS replayed FROM b")
+def duplicate_storm(spark, d):
+    """A hundred identical attempts under one key: one posts, the others replay."""
+    storm = derive.keyed_attempts(spark, d).where("seq < 50").withColumn("retry", F.explode(F.sequence(F.lit(0), F.lit(99))))
+    storm = storm.withColumn("key", F.concat(F.lit("storm-"), F.col("seq"))).withColumn("origin", F.col("seq")).withColumn("seq", F.col("seq") * 100 + F.col("retry"))
+    keyed = admission.bind(storm.withColumn("reason", F.lit(None).cast("string")).withColumn("fp", codec.fingerprint(F.col("entries"))))
+    replay = F.col("binder_seq").isNotNull() & (F.col("fp") == F.col("binder_fp"))
+    return keyed.groupBy(F.col("origin").alias("seq")).agg(F.count(F.lit(1)).cast("int").alias("attempts"), F.sum((~replay).cast("long")).alias("posted"), F.sum(replay.cast("long")).alias("replayed"))
+
+
+def event_journal(spark: SparkSession, d: str) -> DataFrame:
+    attempts = derive.event_attempts(spark, d)
+    return ledger.journal_of(attempts, admission.classify(attempts, certified=True))
+
+
+@query(f"WITH {KEYED} SELECT seq, sha256(unhex({_ID.format('merchant')} || {_ID.format('key')} || {_hex('now_ms', 16)} || sha256(unhex('50' || {TRANSFER_HEX})) || {TRANSFER_HEX})) AS payload_sha256 FROM decided WHERE outcome = 'POSTED'")
+def encoded_payloads(spark, d):
+    j = event_journal(spark, d).where("type = 'IDEMPOTENT_POSTING'")
+    return j.select("seq", F.sha2(codec.keyed_payload(F.col("merchant"), F.col("key"), F.col("captured_at_ms"), F.col("entries")), 256).alias("payload_sha256"))
+
+
+@query(
+    f"WITH {BALANCES}, s AS (SELECT count(*) AS n, string_agg({_ID.format('kind')} || {_ID.format('account_id')} || {_hex('balance_minor', 16)}, '' ORDER BY ordinal) AS h FROM balances) "
+    f"SELECT sha256(unhex(x)) AS state_hash, length(x) // 2 AS section_bytes, n AS n_accounts, CAST(0 AS BIGINT) AS n_bindings FROM (SELECT n, '02' || {_hex('n', 16)} || {_hex('n', 8)} || h || '00000000' AS x FROM s)"
+)
+def state_hash(spark, d):
+    found = _balances(spark, d)
+    none = spark.createDataFrame([], "merchant string, key string, fingerprint string, response_lsn long")
+    return ledger.state_hash(found, none, found.count())
+
+
+@query(f"WITH {BALANCES} SELECT sha256(string_agg(account_id || '|' || kind || '|' || balance_minor, chr(10) ORDER BY ordinal)) AS digest FROM balances")
+def journal_digest(spark, d):
+    line = _balances(spark, d).select("ordinal", F.concat_ws("|", "account_id", "kind", "balance_minor").alias("line"))
+    return line.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "line"))), lambda r: r["line"]), "\n").alias("text")).select(F.sha2(F.encode("text", "UTF-8"), 256).alias("digest"))
+
+
+def _damaged(journal: DataFrame) -> DataFrame:
+    """The journal with some records missing, repeated or changed."""
+    more = F.transform("entries", lambda e: F.struct(e["account_id"].alias("account_id"), e["side"].alias("side"), (e["amount_minor"] + F.when(e["side"] == "DEBIT", 1).otherwise(0)).alias("amount_minor")))
+    changed = journal.withColumn("entries", F.when(F.col("lsn") % 101 == 0, more).otherwise(F.col("entries")))
+    again = journal.where("type = 'ACCOUNT_OPENED' and lsn % 13 = 0").withColumn("lsn", F.col("lsn") + 1_000_000_000)
+    return changed.unionByName(again)
+
+
+DAMAGED = f"""{JOURNAL}, twice AS (SELECT account_id, lsn FROM opens WHERE lsn % 13 = 0), off AS (SELECT lsn FROM posts WHERE lsn % 101 = 0),
+folded AS (SELECT account_id, CAST(sum({SIGNED}) AS BIGINT) + count(*) FILTER (lsn % 101 = 0 AND side = 'DEBIT') AS f, CAST(sum({SIGNED}) AS BIGINT) AS i FROM good JOIN posts USING (seq) GROUP BY account_id)"""
+
+
+@query("SELECT CAST(NULL AS VARCHAR) AS rule, CAST(NULL AS VARCHAR) AS subject WHERE false")
+def audit_clean(spark, d):
+    j = _journal(spark, d)
+    accounts_ = derive.accounts(spark, d)
+    return audit.audit(j, accounts_, ledger.balances(accounts_, ledger.journal_entries(j)), ledger.bindings(j))
+
+
+@query(
+    f"WITH {DAMAGED} SELECT 'ACCOUNT_OPENED_TWICE' AS rule, account_id AS subject FROM twice UNION ALL SELECT 'UNBALANCED', CAST(lsn AS VARCHAR) FROM off "
+    "UNION ALL SELECT 'BALANCE_INDEX', account_id FROM folded WHERE f <> i"
+)
+def audit_damaged(spark, d):
+    j = _journal(spark, d)
+    accounts_ = derive.accounts(spark, d)
+    index = ledger.balances(accounts_, ledger.journal_entries(j))
+    return audit.audit(_damaged(j), accounts_, index, ledger.bindings(j))
+
+
+@query(f"WITH {DAMAGED} SELECT lsn + 1000000000 AS lsn, 'DUPLICATE_ACCOUNT' AS rule FROM twice UNION ALL SELECT lsn, 'UNBALANCED' FROM off")
+def replay_violations(spark, d):
+    return audit.replay_violations(_damaged(_journal(spark, d)))
+
+
+@query(f"WITH {JOURNAL} SELECT max(lsn) AS last_lsn FROM (SELECT lsn FROM opens UNION ALL SELECT lsn FROM posts)")
+def last_journal_lsn(spark, d):
+    return _journal(spark, d).where("type <> 'RECOVERY_MARKER'").agg(F.coalesce(F.max("lsn"), F.lit(0)).cast("long").alias("last_lsn"))
+
+
+@query(f"WITH {JOURNAL}, l AS (SELECT lsn FROM opens UNION ALL SELECT lsn FROM posts) SELECT a.lsn FROM l a WHERE lsn % 50 = 1 AND lsn > 1")
+def lsn_gaps(spark, d):
+    """Every fiftieth record is taken away: the record behind each hole is reported."""
+    return ledger.lsn_gaps(_journal(spark, d).where("lsn % 50 <> 0"))
+
+
+@query(f"WITH {JOURNAL}, l AS (SELECT lsn FROM opens UNION ALL SELECT lsn FROM posts) SELECT lsn % 2 = 0 AS forced, count(*) AS n_lost FROM l WHERE lsn % 7 = 0 GROUP BY 1")
+def lost_acks(spark, d):
+    j = _journal(spark, d)
+    return ledger.lost_acks(j.select("lsn", (F.col("lsn") % 2 == 0).alias("forced")), j.where("lsn % 7 <> 0"))
+
+
+FRAMES = f"{JOURNAL}, frames AS (SELECT lsn, 22 + length(account_id) AS frame_length FROM opens UNION ALL SELECT lsn, 22 + sum(10 + length(account_id)) FROM posts JOIN good USING (seq) GROUP BY lsn)"
+
+
+def _frames(spark: SparkSession, d: str) -> DataFrame:
+    """lsn and frame_length (20 bytes around the payload) of each record."""
+    size = F.when(F.col("type") == "ACCOUNT_OPENED", F.length(codec.opening_payload(F.col("account_id"), F.col("kind")))).otherwise(F.length(codec.posting_payload(F.col("entries"))))
+    return _journal(spark, d).select("lsn", (size + 20).cast("long").alias("frame_length"))
+
+
+@query(f"WITH {FRAMES} SELECT lsn, CAST(frame_length AS BIGINT) AS frame_length, CAST(16 + sum(frame_length) OVER (ORDER BY lsn) AS BIGINT) AS end_offset FROM frames")
+def frame_offsets(spark, d):
+    """Ends of frames behind a 16-byte header: prefix sums within ranges of LSNs, plus the sums of the ranges before."""
+    ranged = _frames(spark, d).withColumn("range", F.floor(F.col("lsn") / 10_000))
+    before = ranged.groupBy("range").agg(F.sum("frame_length").alias("n"))
+    before = before.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    within = Window.partitionBy("range").orderBy("lsn")
+    return ranged.join(before, "range").select("lsn", "frame_length", (F.sum("frame_length").over(within) + F.col("base") + 16).cast("long").alias("end_offset"))
+
+
+@query(f"WITH {FRAMES} SELECT count(*) AS frames, CAST(sum(frame_length) AS BIGINT) AS bytes, (count(*) + 63) // 64 AS groups, CAST(round(sum(frame_length) * 1.0 / (sum(frame_length) - 20 * count(*)) * 1000) AS BIGINT) AS per_mille FROM frames")
+def write_amplification(spark, d):
+    f = _frames(spark, d).agg(F.count(F.lit(1)).alias("frames"), F.sum("frame_length").alias("bytes"))
+    return f.select("frames", "bytes", F.expr("(frames + 63) div 64").alias("groups"), F.round(F.col("bytes") / (F.col("bytes") - 20 * F.col("frames")) * 1000).cast("long").alias("per_mille"))
+
+
+CHECKPOINTS = "names AS (SELECT c_custkey AS n, CASE WHEN c_custkey % 10 = 3 THEN 'checkpoint-x.lckp' WHEN c_custkey % 10 = 7 THEN 'checkpoint-9999999999999999999.lckp' ELSE 'checkpoint-' || lpad(CAST(c_custkey AS VARCHAR), 19, '0') || '.lckp' END AS name FROM customer)"
+
+
+def _checkpoint_names(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("c_custkey")
+    name = F.when(key % 10 == 3, "checkpoint-x.lckp").when(key % 10 == 7, "checkpoint-9999999999999999999.lckp").otherwise(F.format_string("checkpoint-%019d.lckp", key))
+    return table(spark, d, "customer").select(key.alias("n"), name.alias("name"))
+
+
+@query(f"WITH {CHECKPOINTS} SELECT n, name, coalesce(TRY_CAST(nullif(regexp_extract(name, '^checkpoint-([0-9]{{19}})\\.lckp$', 1), '') AS BIGINT), -1) AS watermark FROM names")
+def checkpoint_names(spark, d):
+    from ..sources.checkpoints import watermark_of
+
+    return _checkpoint_names(spark, d).select("n", "name", watermark_of(F.col("name")).alias("watermark"))
+
+
+@query(f"WITH {CHECKPOINTS}, w AS (SELECT n, TRY_CAST(nullif(regexp_extract(name, '^checkpoint-([0-9]{{19}})\\.lckp$', 1), '') AS BIGINT) AS watermark FROM names) SELECT watermark FROM w WHERE watermark IS NOT NULL ORDER BY watermark DESC LIMIT 2")
+def checkpoint_retention(spark, d):
+    """The newest two checkpoints stay."""
+    from ..sources.checkpoints import watermark_of
+
+    return _checkpoint_names(spark, d).select(watermark_of(F.col("name")).alias("watermark")).where("watermark >= 0").orderBy(F.desc("watermark")).limit(2)
+
+
+def _wal_folder(spark: SparkSession, d: str) -> str:
+    """The order journal's first 2,000 records as a log file, in a fresh local folder; registered queries read it back."""
+    import tempfile
+
+    from ..sources import wal
+
+    folder = tempfile.mkdtemp(prefix="spark-wal-")
+    wal.write_wal(_journal(spark, d).where("lsn <= 2000"), f"{folder}/journal.wal")
+    return f"file://{folder}/journal.wal"
+
+
+@query()
+def wal_frames(spark, d):
+    from ..sources import wal
+
+    return wal.frames_of(wal.read_wal(spark, _wal_folder(spark, d))).drop("file", "payload")
+
+
+@query()
+def wal_report(spark, d):
+    from ..sources import wal
+
+    return wal.report(wal.read_wal(spark, _wal_folder(spark, d))).drop("file")
+
+
+@query()
+def decoded_events(spark, d):
+    from ..sources import wal
+
+    return wal.decode_events(wal.frames_of(wal.read_wal(spark, _wal_folder(spark, d))))
+
+
+@query()
+def recover(spark, d):
+    """Balances folded from a log file."""
+    from ..sources import wal
+
+    events = wal.decode_events(wal.frames_of(wal.read_wal(spark, _wal_folder(spark, d)))).persist()
+    found = events.where("type = 'ACCOUNT_OPENED'").select(F.col("lsn").alias("ordinal"), "account_id", "kind")
+    return ledger.balances(found, ledger.journal_entries(events))
