@@ -190,7 +190,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, partitions: int = PARTITION
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node that each node of ``edges`` (a, b) can reach, itself included."""
+    """(node, root): the least node that each node of ``edges`` (a, b) can reach; roots have no row of their own."""
     now, before = cut(edges.select("a", "b"), "edges"), None
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
