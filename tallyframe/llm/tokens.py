@@ -8,7 +8,7 @@ import re
 import numpy as np
 
 #: Latin letters, or ASCII signs other than the apostrophe: both tokenizer families split exactly between such runs.
-_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_SIGNS = frozenset(".,;:!?)")
 _RUNS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[!-&(-/:-@\[-^`{|}~]+")
 
 _CACHED: dict[tuple[str, int], "Encoder"] = {}
@@ -77,6 +77,12 @@ class Encoder:
         """Ids of ``new`` words; runs of letters and signs are put together from their own ids."""
         runs, other = {}, []
         for w in new:
+            if w.isalpha():  # one piece in any script
+                runs[w] = (w,)
+                continue
+            if w[-1:] in _SIGNS and w[:-1].isalpha():
+                runs[w] = (w[:-1], w[-1])
+                continue
             found = _RUNS.findall(w)
             if found and sum(map(len, found)) == len(w):
                 runs[w] = found
@@ -85,8 +91,8 @@ class Encoder:
         known.update(zip(other, self._encode([" " * spaced + w for w in other])))
         for table, wanted, after in ((known, {r[0] for r in runs.values()}, spaced), (self.first, {x for r in runs.values() for x in r[1:]}, False)):
             wanted = [w for w in wanted if w not in table]
-            letters = [w for w in wanted if _LETTERS.match(w)]
-            signs = [w for w in wanted if not _LETTERS.match(w)]
+            letters = [w for w in wanted if w.isalpha()]
+            signs = [w for w in wanted if not w.isalpha()]
             table.update(zip(letters, self._letters(letters, after)))
             table.update(zip(signs, self._encode([" " * after + w for w in signs])))
         first = self.first
@@ -132,7 +138,7 @@ class Encoder:
         return out
 
 
-def encoder(path: str, limit: int = 1_500_000) -> Encoder:
+def encoder(path: str, limit: int = 700_000) -> Encoder:
     """This worker's encoder for ``path``."""
     if (path, limit) not in _CACHED:
         _CACHED[path, limit] = Encoder(path, limit)
