@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import blank_text, cut, remainder_of_id
 
-DEPTH = 5
+DEPTH = 4
 BLOCK_BYTES = 16_000_000
 #: Bytes of text whose windows are in a task's memory at a time.
 PART_BYTES = 2_000_000
