@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +33,9 @@ from pyspark.sql import functions as F
 from .common import blank_text, cut, remainder_of_id
 
 DEPTH = 4
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 32_000_000
 #: Bytes of text whose windows are in a task's memory at a time.
-PART_BYTES = 2_000_000
+PART_BYTES = 1_000_000
 END = 0xFF
 WINDOW, WORD, TOTAL = 0, 1, 2
 
@@ -89,6 +90,26 @@ def _chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[lis
         yield texts, held
 
 
+class _Lookup:
+    """Values of known integer keys: a table by a multiplicative hash, and binary search for keys that lost their slot to another."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+        self.shift = np.uint64(64 - max(4, int(len(keys)).bit_length() + 2))
+        self.slots = np.zeros(1 << (64 - int(self.shift)), np.int32)
+        self.slots[self._slot(self.keys)] = np.arange(len(keys), dtype=np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self.slots[self._slot(keys)]
+        lost = np.flatnonzero(self.keys[at] != keys)
+        at[lost] = np.searchsorted(self.keys, keys[lost])
+        return self.values[at]
+
+
 def corpus_counts(docs: DataFrame, depth: int) -> DataFrame:
     """(kind, key, n): how often each window and each word is in training documents; 0 for those found in others only."""
 
@@ -218,17 +239,16 @@ def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH, block
 
     def score(key: tuple, own: pa.Table, looked_up: pa.Table) -> pa.Table:
         kind, keys, value = (looked_up.column(c).to_numpy() for c in ("kind", "key", "value"))
-        order = np.argsort(keys[kind == WINDOW])
-        windows, log2p = keys[kind == WINDOW][order], value[kind == WINDOW][order]
+        log2p = _Lookup(keys[kind == WINDOW], value[kind == WINDOW])
         count_of = dict(zip(keys[kind == WORD].tolist(), value[kind == WORD].tolist()))
         rows: list[tuple[np.ndarray, ...]] = []
         for texts, _ in _chunks(own.select(["text", "held_out"]).to_batches(), PART_BYTES):
             code, sizes = _windows(texts, depth)
-            bits = np.add.reduceat(log2p[np.searchsorted(windows, code)], np.cumsum(sizes) - sizes)
+            bits = np.add.reduceat(log2p(code), np.cumsum(sizes) - sizes)
             split = [[*t.split(), _END_TOKEN] for t in texts]
             every = list(set().union(*split))
             counts_of = {w: count_of.get(h, 0.0) for w, h in zip(every, _word_hash(every).tolist())}
-            flat = np.array([counts_of[w] for ws in split for w in ws])
+            flat = np.array(list(map(counts_of.__getitem__, chain.from_iterable(split))))
             n = np.array([len(ws) for ws in split])
             at = np.cumsum(n) - n
             base = np.add.reduceat(np.log10((flat + 1) / (total + vocabulary + 1)), at)
