@@ -35,7 +35,7 @@ from .common import blank_text, cut, remainder_of_id
 DEPTH = 4
 BLOCK_BYTES = 32_000_000
 #: Bytes of text whose windows are in a task's memory at a time.
-PART_BYTES = 1_000_000
+PART_BYTES = 2_000_000
 END = 0xFF
 WINDOW, WORD, TOTAL = 0, 1, 2
 
@@ -114,22 +114,25 @@ def corpus_counts(docs: DataFrame, depth: int) -> DataFrame:
     """(kind, key, n): how often each window and each word is in training documents; 0 for those found in others only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, words = np.zeros(0, np.int64), np.zeros(0, np.int64), Counter()
+        keys, counts, words, size = [], [], Counter(), 0
         for texts, held in _chunks(batches, PART_BYTES):
             for marked in (False, True):
                 part = [t for t, h in zip(texts, held) if h == marked]
                 if not part:
                     continue
                 code, n = np.unique(_windows(part, depth)[0], return_counts=True)
-                keys, counts = _sum_up(np.concatenate([keys, code]), np.concatenate([counts, n * (not marked)]))
+                keys.append(code)
+                counts.append(n * (not marked))
+                size += len(code)
                 if not marked:
                     for t in part:
                         words.update(t.split())
                     words[_END_TOKEN] += len(part)
-            if len(keys) > 4_000_000 or len(words) > 1_000_000:
-                yield from emit(keys, counts, words)
-                keys, counts, words = np.zeros(0, np.int64), np.zeros(0, np.int64), Counter()
-        yield from emit(keys, counts, words)
+            if size > 4_000_000 or len(words) > 1_000_000:
+                yield from emit(*_sum_up(np.concatenate(keys), np.concatenate(counts)), words)
+                keys, counts, words, size = [], [], Counter(), 0
+        if keys:
+            yield from emit(*_sum_up(np.concatenate(keys), np.concatenate(counts)), words)
 
     def emit(keys, counts, words) -> Iterator[pa.RecordBatch]:
         for kind, k, n in ((WINDOW, keys, counts), (WORD, _word_hash(list(words)), np.array(list(words.values()), np.int64))):
@@ -210,26 +213,27 @@ def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH, block
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(block: int) -> Iterator[pa.RecordBatch]:
-            found = _word_hash(list(words | {_END_TOKEN}))
-            for kind, keys in ((WINDOW, windows), (WORD, found)):
+            for kind, keys in ((WINDOW, np.unique(np.concatenate(windows))), (WORD, _word_hash(list(words | {_END_TOKEN})))):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block)), pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys)], ["block", "kind", "key"])
 
-        now, texts, size, words, windows = None, [], 0, set(), np.zeros(0, np.int64)
+        now, texts, size, words, windows = None, [], 0, set(), []
         for batch in batches:
             for block, text in zip(batch.column("block").to_pylist(), batch.column("text").to_pylist()):
                 if texts and (block != now or size > PART_BYTES):
                     words.update(*(t.split() for t in texts))
-                    windows = np.unique(np.concatenate([windows, np.unique(_windows(texts, depth)[0])]))
+                    windows.append(np.unique(_windows(texts, depth)[0]))
                     texts, size = [], 0
+                    if len(windows) > 16:
+                        windows = [np.unique(np.concatenate(windows))]
                 if block != now and now is not None:
                     yield from emit(now)
-                    words, windows = set(), np.zeros(0, np.int64)
+                    words, windows = set(), []
                 now = block
                 texts.append(_lower(text))
                 size += len(texts[-1])
         if texts:
             words.update(*(t.split() for t in texts))
-            windows = np.unique(np.concatenate([windows, np.unique(_windows(texts, depth)[0])]))
+            windows.append(np.unique(_windows(texts, depth)[0]))
             yield from emit(now)
 
     values = window_log2(counts.where(F.col("kind") == WINDOW).select("key", "n"), depth).select(F.lit(WINDOW).alias("kind"), "key", F.col("log2p").alias("value"))
