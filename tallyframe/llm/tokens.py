@@ -6,6 +6,8 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Latin letters, or ASCII signs other than the apostrophe: both tokenizer families split exactly between such runs.
 _SIGNS = frozenset(".,;:!?)")
@@ -27,7 +29,7 @@ class Encoder:
     The library splits texts into pieces before it encodes them. A single space or line break between other characters always starts a new piece, and
     the space belongs to the piece behind it. So a text without neighbouring blanks is the sum of its words, whose ids are remembered; any
     other text is encoded in one go. New words of letters are encoded many at a time, joined, and their ids are told apart by the
-    vocabulary's marks (word beginnings or word ends). At most about ``limit`` words are remembered.
+    vocabulary's marks (word beginnings or word ends). At most about ``limit`` words are remembered, the latest first.
     """
 
     def __init__(self, path: str, limit: int):
@@ -40,6 +42,7 @@ class Encoder:
         self.dtype = np.dtype("<u2" if len(vocabulary) <= 1 << 16 else "<u4")
         self.limit = limit
         self.first: dict[str, bytes] = {}  # words at the start of a text or line, or behind signs
+        self.old: dict[str, bytes] = {}  # the generation of later words before this one
         self.later: dict[str, bytes] = {}  # words after a space; with their line break if they start a line
         self.has_ends = any(t.endswith("</w>") for t in vocabulary)
         self.marks = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -98,47 +101,59 @@ class Encoder:
         first = self.first
         known.update((w, known[r[0]] + b"".join([first[x] for x in r[1:]])) for w, r in runs.items() if len(r) > 1)
 
-    def _known(self, parts: list[list[str]]) -> list[bytes]:
-        if len(self.first) + len(self.later) > self.limit:
-            self.first.clear()
-            self.later.clear()
-        heads = {p[0] for p in parts} - self.first.keys()
-        get = self.later.get
-        found = [list(map(get, p)) for p in parts]
-        new = {w for p, f in zip(parts, found) for w, x in zip(p[1:], f[1:]) if x is None}
+    def _renew(self) -> None:
+        """Forget the words that no text since the last call but one had, once there are too many."""
+        if len(self.later) > self.limit // 2:
+            self.old, self.later = self.later, {}
+        if len(self.first) > self.limit // 2:
+            self.first = {}
+
+    def _known(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without neighbouring blanks; Python sees each different word of them once."""
+        self._renew()
+        lists = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n"), " ")
+        starts = lists.offsets.to_numpy()
+        coded = lists.values.dictionary_encode()
+        words, places = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
+        heads = lists.values.take(pa.array(starts[:-1])).to_numpy(zero_copy_only=False).tolist()
+        new = list(set(words).difference(self.later))
+        if self.old:
+            again = {w: self.old[w] for w in new if w in self.old}
+            self.later.update(again)
+            new = [w for w in new if w not in again]
         broken = {w for w in new if w[0:1] == "\n"}
         odd = [w for w in broken if w[1:2].isspace()]  # other blanks may join the line break
-        heads.update({w[1:] for w in broken if not w[1:2].isspace()} - self.first.keys())
-        self._learn(self.first, list(heads), False)
-        self._learn(self.later, list(new - broken), True)
-        self.later.update((w, self.line_break + self.first[w[1:]]) for w in broken if not w[1:2].isspace())
+        lines = {w for w in broken if not w[1:2].isspace()}
+        self._learn(self.first, list({*heads, *(w[1:] for w in lines)} - self.first.keys()), False)
+        self._learn(self.later, [w for w in new if w not in broken], True)
+        self.later.update((w, self.line_break + self.first[w[1:]]) for w in lines)
         self.later.update(zip(odd, self._encode(odd)))
-        out = []
-        for p, f in zip(parts, found):
-            f[0] = self.first[p[0]]
-            out.append(b"".join(f if None not in f else [f[0], *map(get, p[1:])]))
-        return out
+        ids = pa.array([*map(self.later.__getitem__, words), *map(self.first.__getitem__, heads)], pa.large_binary())
+        places[starts[:-1]] = np.arange(len(words), len(ids))  # a text's first word has no space before it
+        joined = ids.take(pa.array(places))
+        ends = np.frombuffer(joined.buffers()[1], np.int64)[: len(joined) + 1][starts].tolist()
+        data = memoryview(joined.buffers()[2] or b"")
+        return [bytes(data[a:b]) for a, b in zip(ends[:-1], ends[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        plain, parts, size = [], [], 0
+        plain, size = [], 0
         for k, t in enumerate(texts):
             if "  " in t or " \n" in t or "\n " in t or "\n\n" in t or t[:1] == "\n" or t[-1:] == "\n":
                 out[k] = self._encode([t])[0]
                 continue
             plain.append(k)
-            parts.append(t.replace("\n", " \n").split(" "))
             size += len(t)
-            if size > 1_000_000:  # of a batch, so much text is in pieces at a time
-                for at, ids in zip(plain, self._known(parts)):
+            if size > 4_000_000:  # of a batch, so much text is in pieces at a time
+                for at, ids in zip(plain, self._known([texts[j] for j in plain])):
                     out[at] = ids
-                plain, parts, size = [], [], 0
-        for at, ids in zip(plain, self._known(parts) if parts else ()):
+                plain, size = [], 0
+        for at, ids in zip(plain, self._known([texts[j] for j in plain]) if plain else ()):
             out[at] = ids
         return out
 
 
-def encoder(path: str, limit: int = 700_000) -> Encoder:
+def encoder(path: str, limit: int = 1_000_000) -> Encoder:
     """This worker's encoder for ``path``."""
     if (path, limit) not in _CACHED:
         _CACHED[path, limit] = Encoder(path, limit)
