@@ -457,43 +457,54 @@ def checkpoint_retention(spark, d):
     return _checkpoint_names(spark, d).select(watermark_of(F.col("name")).alias("watermark")).where("watermark >= 0").orderBy(F.desc("watermark")).limit(2)
 
 
-def _wal_folder(spark: SparkSession, d: str) -> str:
-    """The order journal's first 2,000 records as a log file, in a fresh local folder; registered queries read it back."""
-    import tempfile
-
+def _log(spark: SparkSession, d: str) -> DataFrame:
+    """The whole order journal, written as log segments to the shared folder and read back."""
+    from ..session import shared_folder
     from ..sources import wal
 
-    folder = tempfile.mkdtemp(prefix="spark-wal-")
-    wal.write_wal(_journal(spark, d).where("lsn <= 2000"), f"{folder}/journal.wal")
-    return f"file://{folder}/journal.wal"
+    folder = shared_folder(spark, "log")
+    wal.write_segments(_journal(spark, d), folder).write.format("noop").mode("overwrite").save()
+    return wal.read_wal(spark, folder)
 
 
-@query()
+SEGMENTS = f"{FRAMES}, segments AS (SELECT (lsn - 1) // 100000 AS segment, lsn, frame_length FROM frames)"
+
+
+@query(
+    f"WITH {SEGMENTS} SELECT CAST(16 + sum(frame_length) OVER (PARTITION BY segment ORDER BY lsn) - frame_length AS BIGINT) AS \"offset\", CAST(frame_length AS INTEGER) AS frame_length, lsn, "
+    "CASE WHEN lsn IN (SELECT lsn FROM opens) THEN 1 ELSE 2 END AS type_code, CASE WHEN lsn IN (SELECT lsn FROM opens) THEN 'ACCOUNT_OPENED' ELSE 'POSTED' END AS type FROM segments"
+)
 def wal_frames(spark, d):
     from ..sources import wal
 
-    return wal.frames_of(wal.read_wal(spark, _wal_folder(spark, d))).drop("file", "payload")
+    return wal.frames_of(_log(spark, d)).drop("file", "payload")
 
 
-@query()
+@query(
+    f"WITH {SEGMENTS} SELECT CAST(16 + sum(frame_length) AS BIGINT) AS file_bytes, CAST(16 + sum(frame_length) AS BIGINT) AS clean_bytes, count(*) AS frames, count(*) AS journal_records, CAST(0 AS BIGINT) AS markers, "
+    "max(lsn) AS last_lsn, 'CLEAN_EOF' AS tail, CAST(NULL AS VARCHAR) AS corruption, '' AS detail, CAST(0 AS BIGINT) AS truncated_bytes FROM segments GROUP BY segment"
+)
 def wal_report(spark, d):
     from ..sources import wal
 
-    return wal.report(wal.read_wal(spark, _wal_folder(spark, d))).drop("file")
+    return wal.report(_log(spark, d)).drop("file")
 
 
 @query()
 def decoded_events(spark, d):
     from ..sources import wal
 
-    return wal.decode_events(wal.frames_of(wal.read_wal(spark, _wal_folder(spark, d))))
+    return wal.decode_events(wal.frames_of(_log(spark, d)))
 
 
-@query()
+@query(
+    f"WITH {JOURNAL}, folded AS (SELECT opens.lsn AS ordinal, opens.account_id, kind, CAST(coalesce(sum({SIGNED}), 0) AS BIGINT) AS balance_minor FROM opens LEFT JOIN good ON good.account_id = opens.account_id GROUP BY ALL) "
+    f"SELECT *, {NATURAL} AS is_natural FROM folded"
+)
 def recover(spark, d):
-    """Balances folded from a log file."""
+    """Balances folded from the log's segments."""
     from ..sources import wal
 
-    events = wal.decode_events(wal.frames_of(wal.read_wal(spark, _wal_folder(spark, d)))).persist()
+    events = wal.decode_events(wal.frames_of(_log(spark, d)))
     found = events.where("type = 'ACCOUNT_OPENED'").select(F.col("lsn").alias("ordinal"), "account_id", "kind")
     return ledger.balances(found, ledger.journal_entries(events))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +29,13 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` below ``sf_dir``, on whatever store Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@functools.cache
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in ``spark.checkpoint.dir``; only where a session names none (one machine) below a temporary folder."""
+    return f"{(spark.conf.get('spark.checkpoint.dir', None) or _own_folder()).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -3,12 +3,16 @@
 A segment is a 16-byte header and frames; where a frame ends is known only from its length, so one file is one task's sequential walk, with one
 frame in hand at a time, and many files are many tasks. Reading never decodes payloads: tears and fatal findings come from the framing, malformed payloads
 from ``decode_events``. A repaired log is a new file; nothing is changed in place. Durability is the store's, there is no fsync here.
+
+A long log is a folder of segments, ``segment-<first LSN>.wal``: each is written and read by a task of its own.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +41,7 @@ def frame(lsn: int, kind: int, payload: bytes) -> bytes:
     return body + struct.pack(">I", crc32c(body))
 
 
-def walk(raw: bytes) -> tuple[list[tuple[int, int, int, int, bytes]], str | None, str | None, int, str]:
+def walk(raw: bytes, first: int = 1) -> tuple[list[tuple[int, int, int, int, bytes]], str | None, str | None, int, str]:
     """Frames (offset, length, lsn, type, payload), tail, corruption, clean bytes and a detail of one segment."""
     frames: list[tuple[int, int, int, int, bytes]] = []
     if not raw:
@@ -45,7 +49,7 @@ def walk(raw: bytes) -> tuple[list[tuple[int, int, int, int, bytes]], str | None
     head = raw[:HEADER]
     if len(head) < HEADER or head[:4] != MAGIC or head[4] not in (1, 2) or head[5] or struct.unpack(">H", head[6:8])[0] != HEADER or crc32c(head[:12]) != struct.unpack(">I", head[12:])[0]:
         return frames, None, "BAD_SEGMENT_HEADER", 0, head.hex()
-    at, expected = HEADER, 1
+    at, expected = HEADER, first
     while True:
         left = len(raw) - at
         if not left:
@@ -71,9 +75,15 @@ def walk(raw: bytes) -> tuple[list[tuple[int, int, int, int, bytes]], str | None
         at, expected = at + size, expected + 1
 
 
+def first_lsn(file: str) -> int:
+    """The LSN that a segment's name gives its first frame; 1 for other names."""
+    found = re.search(r"segment-([0-9]{19})\.wal$", file)
+    return int(found[1]) if found else 1
+
+
 def read_wal(spark: SparkSession, path: str) -> DataFrame:
     """One row a frame; each file's last row (without lsn) carries its tail or corruption."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wal").load(path).select("path", "content")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -82,7 +92,7 @@ def read_wal(spark: SparkSession, path: str) -> DataFrame:
         kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
         for batch in batches:
             for file, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                frames, tail, corruption, clean, detail = walk(raw)
+                frames, tail, corruption, clean, detail = walk(raw, first_lsn(file))
                 rows = [(file, o, n, lsn, t, TYPES[t], p, None, None, None, None, None) for o, n, lsn, t, p in frames]
                 rows.append((file, clean, None, None, None, None, None, tail, corruption, len(raw), clean, detail))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
@@ -197,3 +207,44 @@ def write_wal(journal: DataFrame, path: str) -> int:
             out.write(data)
             size += len(data)
     return size
+
+
+def write_segments(journal: DataFrame, folder: str, records: int = 100_000) -> DataFrame:
+    """Write the journal as segments of ``records`` LSNs below ``folder``, which all executors see; returns file and bytes of each.
+
+    A segment's rows meet in one task, so ``records`` bounds a task. Files get their name when they are whole: a repeated attempt replaces them.
+    """
+    segment = (F.floor((F.col("lsn") - 1) / records) * records + 1).cast("long").alias("first")
+    rows = payloads(journal).select(segment, "lsn", "type_code", "payload").repartition("first").sortWithinPartitions("first", "lsn")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
+        store.create_dir(root, recursive=True)
+        done: list[tuple[str, int]] = []
+        out, name, size = None, "", 0
+
+        def close() -> None:
+            out.close()
+            store.move(f"{root}/{name}{mine}", f"{root}/{name}")
+            done.append((name, size))
+
+        mine = "." + uuid.uuid4().hex
+        for batch in batches:
+            for first, lsn, kind, payload in zip(*(batch.column(c).to_pylist() for c in ("first", "lsn", "type_code", "payload"))):
+                if name != f"segment-{first:019d}.wal":
+                    if out:
+                        close()
+                    name, size = f"segment-{first:019d}.wal", HEADER
+                    out = store.open_output_stream(f"{root}/{name}{mine}")
+                    out.write(segment_header())
+                data = frame(lsn, kind, payload)
+                out.write(data)
+                size += len(data)
+        if out:
+            close()
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), (pa.string(), pa.int64()))], ["file", "bytes"])
+
+    return rows.mapInArrow(run, "file string, bytes long")

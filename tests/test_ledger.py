@@ -257,3 +257,15 @@ def test_queries_equal_duckdb(spark, duck, name):
         return
     want = duck.sql(f"select {', '.join(columns)} from ({registry.ORACLES[name]})").fetchall()
     assert sorted(map(str, map(tuple, got.select(*columns).collect()))) == sorted(map(str, want))
+
+
+def test_log_in_segments(spark, tmp_path):
+    from tallyframe.sources import wal
+
+    journal = log_a(spark)
+    written = wal.write_segments(journal, str(tmp_path / "log"), records=2).collect()
+    assert sorted(r.file for r in written) == [f"segment-{n:019d}.wal" for n in (1, 3)]
+    found = wal.read_wal(spark, str(tmp_path / "log"))
+    assert [r.lsn for r in wal.frames_of(found).orderBy("lsn").collect()] == [1, 2, 3]
+    assert {(r.frames, r.tail) for r in wal.report(found).collect()} == {(2, "CLEAN_EOF"), (1, "CLEAN_EOF")}
+    assert wal.write_segments(journal.limit(0), str(tmp_path / "none"), records=2).count() == 0
