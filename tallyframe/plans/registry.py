@@ -471,13 +471,13 @@ SEGMENTS = f"{FRAMES}, segments AS (SELECT (lsn - 1) // 100000 AS segment, lsn,
 
 
 @query(
-    f"WITH {SEGMENTS} SELECT CAST(16 + sum(frame_length) OVER (PARTITION BY segment ORDER BY lsn) - frame_length AS BIGINT) AS \"offset\", CAST(frame_length AS INTEGER) AS frame_length, lsn, "
+    f"WITH {SEGMENTS} SELECT CAST(16 + sum(frame_length) OVER (PARTITION BY segment ORDER BY lsn) - frame_length AS BIGINT) AS start_offset, CAST(frame_length AS INTEGER) AS frame_length, lsn, "
     "CASE WHEN lsn IN (SELECT lsn FROM opens) THEN 1 ELSE 2 END AS type_code, CASE WHEN lsn IN (SELECT lsn FROM opens) THEN 'ACCOUNT_OPENED' ELSE 'POSTED' END AS type FROM segments"
 )
 def wal_frames(spark, d):
     from ..sources import wal
 
-    return wal.frames_of(_log(spark, d)).drop("file", "payload")
+    return wal.frames_of(_log(spark, d)).drop("file", "payload").withColumnRenamed("offset", "start_offset")
 
 
 @query(
