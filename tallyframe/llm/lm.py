@@ -7,12 +7,12 @@ Pe = G(z+1/2) G(o+1/2) / (pi G(z+o+1)), and weights itself against its children,
 The probability of a bit follows the path of its contexts: p_d = a_d (bit's count + 1/2) / (z+o+1) + (1 - a_d) p_(d+1), a_d = Pe / (2 Pw).
 So all depths are mixed, each by how well it explained the corpus. The code length per byte is -log2(score) / bytes.
 
-All of it are counts: tasks count (depth+1)-byte windows of their documents, one aggregation adds them up, and the tree is a chain of
-aggregations (a parent's key is its children's key without the oldest byte), followed by a chain of joins back down.
-Windows found only outside of the training documents take part with count 0, so that every window has its probability.
-
-The table of windows grows with the corpus and is never broadcast. Documents are written in blocks of about ``block_bytes``; the distinct
-windows of each block are joined with the table, and what comes back, bounded by the block's size, meets the block's documents in a cogroup.
+All of it are counts. Documents are written in blocks of about ``block_bytes``; tasks count the distinct (depth+1)-byte windows of each block, with
+count 0 for those of held-out documents only, so that every window has its probability. One shuffle deals these counts by the last ``SHARED`` bytes
+of the context: all longer contexts that end in them are then in one task, which adds up the blocks' counts and builds that part of the tree from
+sorted arrays. Only the shorter contexts meet elsewhere, at most 255 * 256 ** 2 nodes at any size of the corpus; their part of each path goes back
+to all tasks. Each part then computes its windows' probabilities and sends them to the blocks that have the windows, where they meet the documents
+in a cogroup. A task holds ``PART_ROWS`` counts, or those of one ending if there are more of them; nothing is pruned or rounded.
 
 Words are looked up alike, by their 64-bit hashes, for the base score. Nulls: a null text is empty (one end token, one end byte); a null doc_id counts
 as empty text for the choice of held-out documents. Repeated rows each get a row. Without training documents every window has p = 1/2 a bit.
@@ -22,7 +22,9 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
+from math import lgamma
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +34,16 @@ from pyspark.sql import functions as F
 
 from .common import blank_text, cut, remainder_of_id
 
-DEPTH = 4
+DEPTH = 5
 BLOCK_BYTES = 32_000_000
 #: Bytes of text whose windows are in a task's memory at a time.
 PART_BYTES = 2_000_000
+#: Counts that a task has in memory at a time.
+PART_ROWS = 500_000
+#: Bytes of context that all windows in a task's hands share.
+SHARED = 3
 END = 0xFF
-WINDOW, WORD, TOTAL = 0, 1, 2
+WINDOW, WORD = 0, 1
 
 
 def _lower(text: str) -> bytes:
@@ -110,84 +116,254 @@ class _Lookup:
         return self.values[at]
 
 
-def corpus_counts(docs: DataFrame, depth: int) -> DataFrame:
-    """(kind, key, n): how often each window and each word is in training documents; 0 for those found in others only."""
+def _pack(values: np.ndarray) -> bytes:
+    return pa.compress(values.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(raw: bytes, size: int, dtype) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw, size * np.dtype(dtype).itemsize, codec="zstd", asbytes=True), dtype)
+
+
+def _steps(values: np.ndarray) -> np.ndarray:
+    return np.diff(values, prepend=values.dtype.type(0))
+
+
+@cache
+def _small(half: bool) -> np.ndarray:
+    return np.array([lgamma(n + (0.5 if half else 1.0)) for n in range(1 << 16)])
+
+
+def _log_gamma(n: np.ndarray, half: bool) -> np.ndarray:
+    """Natural logarithm of the gamma function at n + 1/2 or n + 1: a table, and Stirling's series for the large."""
+    table = _small(half)
+    out = table[np.minimum(n, len(table) - 1).astype(np.int64)]
+    large = np.flatnonzero(n >= len(table))
+    if len(large):
+        y = n[large] + (0.5 if half else 1.0)
+        out[large] = (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3)
+    return out
+
+
+def _weigh(total: np.ndarray, ones: np.ndarray, below: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """log Pw and a of nodes, from the sum of their children's log Pw (None: deepest)."""
+    own = _log_gamma(total - ones, True) + _log_gamma(ones, True) - _log_gamma(total, False) - 1.1447298858494002
+    if below is None:
+        return own, np.ones(len(own))
+    weighted = np.logaddexp(own, below) - 0.6931471805599453
+    return weighted, np.exp(own - weighted) / 2
+
+
+def _low(values: np.ndarray, n_bytes: int) -> np.ndarray:
+    return values & ((1 << (8 * n_bytes)) - 1)
+
+
+def _nodes(pairs: np.ndarray, k: int) -> np.ndarray:
+    """Nodes: a context's bytes, then a 1 and the first k bits of the byte."""
+    return ((pairs >> 8) << 8) | (((pairs & 255) | 256) >> (8 - k))
+
+
+class _Part:
+    """The tree's contexts of ``top`` to ``depth`` bytes, from all windows (sorted) of some endings of ``top`` bytes."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, depth: int, top: int):
+        self.top = top
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray | None]] = [(keys, n.astype(np.float64), None)]  # pairs of context and byte, counts, places of the pairs before
+        for d in range(depth - 1, top - 1, -1):
+            pairs, back = np.unique(_low(self.levels[-1][0], d + 1), return_inverse=True)
+            self.levels.append((pairs, np.bincount(back, weights=self.levels[-1][1], minlength=len(pairs)), back))
+
+    def _climb(self, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """Of each level, deepest first: its pairs' nodes, the nodes' first pairs, total, ones, log Pw and a."""
+        first = weighted = None
+        for pairs, n, back in self.levels:
+            fresh = np.ones(len(pairs), bool)
+            fresh[1:] = np.diff(pairs >> (8 - k)) != 0
+            node = np.cumsum(fresh) - 1
+            below = None if back is None else np.bincount(node[back[first]], weights=weighted, minlength=node[-1] + 1)
+            first = np.flatnonzero(fresh)
+            total, ones = np.add.reduceat(n, first), np.add.reduceat(n * (pairs >> (7 - k) & 1), first)
+            weighted, a = _weigh(total, ones, below)
+            yield node, first, total, ones, weighted, a
+
+    def above(self) -> tuple[np.ndarray, ...]:
+        """What the nodes of one byte less get from this part: node, total, ones and the sum of the children's log Pw."""
+        out = []
+        for k in range(8):
+            for _, first, total, ones, weighted, _ in self._climb(k):  # the last is the shortest
+                pass
+            node, back = np.unique(_low(_nodes(self.levels[-1][0][first], k), self.top), return_inverse=True)
+            out.append((node, *(np.bincount(back, weights=x, minlength=len(node)) for x in (total, ones, weighted))))
+        return tuple(np.concatenate(c) for c in zip(*out))
+
+    def log2(self, node: np.ndarray, p: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """log2 of each window's probability; the shorter contexts' share of P(bit = 1) and the weight left for longer ones by (sorted) node."""
+        out = np.zeros(len(self.levels[0][0]))
+        for k in range(8):
+            q = None
+            for (pairs, _, back), (place, _, total, ones, _, a) in zip(self.levels, self._climb(k)):
+                hits = np.where(pairs >> (7 - k) & 1, ones[place], (total - ones)[place])
+                share, a = (hits + 0.5) / (total[place] + 1), a[place]
+                if back is None:
+                    q, at = share, slice(None)
+                else:
+                    at = back[at]
+                    q = (a * share)[at] + (1 - a)[at] * q
+            if self.top:
+                found = np.searchsorted(node, _low(_nodes(pairs, k), self.top))
+                q = np.where(pairs >> (7 - k) & 1, p[found], 1 - left[found] - p[found])[at] + left[found][at] * q
+            out += np.log2(q)
+        return out
+
+
+def _crown(node: np.ndarray, total: np.ndarray, ones: np.ndarray, below: np.ndarray, top: int) -> tuple[np.ndarray, ...]:
+    """The contexts of less than ``top`` bytes, from what the parts give: node (sorted), share of P(bit = 1), weight left."""
+    levels = []
+    for d in range(top - 1, -1, -1):
+        node, back = np.unique(_low(node, d + 1), return_inverse=True)
+        total, ones, below = (np.bincount(back, weights=x, minlength=len(node)) for x in (total, ones, below))
+        weighted, a = _weigh(total, ones, below)
+        levels.append((node, a, (ones + 0.5) / (total + 1)))
+        below = weighted
+    node, p, left = np.zeros(1, np.int64), np.zeros(1), np.ones(1)
+    for d, (own, a, share) in enumerate(reversed(levels)):
+        at = np.searchsorted(node, _low(own, d)) if d else np.zeros(len(own), np.int64)
+        node, p, left = own, p[at] + left[at] * a * share, left[at] * (1 - a)
+    return node, p, left
+
+
+def block_counts(docs: DataFrame, depth: int) -> DataFrame:
+    """(block, kind, key, n): how often each block's windows and words are in its training documents; 0 for those of others only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, words, size = [], [], Counter(), 0
-        for texts, held in _chunks(batches, PART_BYTES):
+        now, texts, held, size, keys, counts, words = None, [], [], 0, [], [], Counter()
+
+        def count() -> None:
+            nonlocal texts, held, size, keys, counts
             for marked in (False, True):
                 part = [t for t, h in zip(texts, held) if h == marked]
-                if not part:
-                    continue
-                code, n = np.unique(_windows(part, depth)[0], return_counts=True)
-                keys.append(code)
-                counts.append(n * (not marked))
-                size += len(code)
-                if not marked:
-                    for t in part:
+                if part:
+                    code, n = np.unique(_windows(part, depth)[0], return_counts=True)
+                    keys.append(code)
+                    counts.append(n * (not marked))
+                for t in part:
+                    if marked:
+                        words.update(dict.fromkeys(t.split(), 0))
+                    else:
                         words.update(t.split())
-                    words[_END_TOKEN] += len(part)
-            if size > 4_000_000 or len(words) > 1_000_000:
-                yield from emit(*_sum_up(np.concatenate(keys), np.concatenate(counts)), words)
-                keys, counts, words, size = [], [], Counter(), 0
-        if keys:
-            yield from emit(*_sum_up(np.concatenate(keys), np.concatenate(counts)), words)
-
-    def emit(keys, counts, words) -> Iterator[pa.RecordBatch]:
-        for kind, k, n in ((WINDOW, keys, counts), (WORD, _word_hash(list(words)), np.array(list(words.values()), np.int64))):
-            if len(k):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n)], ["kind", "key", "n"])
-
-    return docs.mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-
-
-def _log_gamma(x: Column) -> Column:
-    """Natural logarithm of the gamma function for x >= 1/2 (Stirling's series at x + 8; error below 1e-12)."""
-    y = x + 8
-    series = 1 / (12 * y) - 1 / (360 * F.pow(y, 3)) + 1 / (1260 * F.pow(y, 5)) - 1 / (1680 * F.pow(y, 7))
-    rise = F.lit(0.0)
-    for k in range(0, 8, 4):  # products of four stay in range
-        rise = rise + F.log((x + k) * (x + k + 1) * (x + k + 2) * (x + k + 3))
-    return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + series - rise
-
-
-def _log_kt(zeros: Column, ones: Column) -> Column:
-    return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + F.lit(1.0)) - 1.1447298858494002
-
-
-def window_log2(windows: DataFrame, depth: int) -> DataFrame:
-    """(key, log2p): the weighted tree's probability of each window's last byte after the bytes before, from (key, n)."""
-    steps = F.explode(F.sequence(F.lit(0), F.lit(7)))
-    byte = F.col("key").bitwiseAND(F.lit(255))
-    bits = windows.select("key", "n", steps.alias("k"), byte.alias("byte")).select(
-        "key",
-        "n",
-        # A node: its context's bytes, then a 1 and the bits of the byte so far.
-        F.expr("((key >> 8) << 8) | shiftright(byte + 256, 8 - k)").alias("node"),
-        F.expr("shiftright(byte, 7 - k) & 1").alias("bit"),
-    )
-    level = bits.groupBy("node").agg(F.sum(F.col("n") * (1 - F.col("bit"))).alias("z"), F.sum(F.col("n") * F.col("bit")).alias("o"))
-    own = _log_kt(F.col("z"), F.col("o"))
-    level = cut(level.select("node", "z", "o", own.alias("lw"), F.lit(1.0).alias("a")), "tree")
-    levels = [level]
-    for d in range(depth - 1, -1, -1):
-        shorter = F.col("node").bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1))
-        up = level.groupBy(shorter.alias("node")).agg(F.sum("z").alias("z"), F.sum("o").alias("o"), F.sum("lw").alias("below"))
-        up = up.withColumn("le", own)
-        most = F.greatest("le", "below")
-        lw = most + F.log((F.exp(F.col("le") - most) + F.exp(F.col("below") - most)) / 2)
-        level = up.select("node", "z", "o", lw.alias("lw"), (F.exp(F.col("le") - lw) / 2).alias("a"))
-        level = cut(level, "tree") if d else level
-        levels.append(level)
-    share = (F.col("o") + 0.5) / (F.col("z") + F.col("o") + 1)
-    path = levels.pop().select("node", (F.col("a") * share).alias("p"), (1 - F.col("a")).alias("left"))
-    for d, level in enumerate(reversed(levels), 1):
-        key = F.col("node").bitwiseAND(F.lit((1 << (8 * d)) - 1))
-        above = path.select(F.col("node").alias("parent"), F.col("p").alias("p_up"), "left")
-        path = level.withColumn("parent", key).join(above, "parent").select("node", (F.col("p_up") + F.col("left") * F.col("a") * share).alias("p"), (F.col("left") * (1 - F.col("a"))).alias("left"))
-    p = F.when(F.col("bit") == 1, F.col("p")).otherwise(1 - F.col("p"))
-    return bits.select("key", "node", "bit").join(path.select("node", "p"), "node").groupBy("key").agg(F.sum(F.log2(p)).alias("log2p"))
+                words[_END_TOKEN] += len(part) * (not marked)
+            texts, held, size = [], [], 0
+            if len(keys) > 8:
+                k, n = _sum_up(np.concatenate(keys), np.concatenate(counts))
+                keys, counts = [k], [n]
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            count()
+            k, n = _sum_up(np.concatenate(keys), np.concatenate(counts))
+            for kind, k, n in ((WINDOW, k, n), (WORD, _word_hash(list(words)), np.array(list(words.values()), np.int64))):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), now)), pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n)], ["block", "kind", "key", "n"])
+
+        for batch in batches:
+            for block, text, out in zip(*(batch.column(c).to_pylist() for c in ("block", "text", "held_out"))):
+                if block != now and now is not None:
+                    yield from emit()
+                    keys, counts, words = [], [], Counter()
+                now = block
+                texts.append(_lower(text))
+                held.append(out)
+                size += len(texts[-1])
+                if size > PART_BYTES:
+                    count()
+        if now is not None:
+            yield from emit()
+
+    return docs.select("block", "text", "held_out").mapInArrow(run, "block long, kind int, key long, n long")
+
+
+_PARTS = "kind int, n_keys long, n_rows long, keys binary, n binary, at binary, blocks binary, tokens long, vocabulary long, n_nodes long, nodes binary, total binary, ones binary, below binary"
+
+
+def tree_parts(counts: DataFrame, depth: int, part_rows: int = PART_ROWS) -> DataFrame:
+    """Packed rows, each with all counts of some endings of contexts (or of some words): the keys' sums, the blocks that have them, and what the tree above needs."""
+    top = min(depth, SHARED)
+
+    def ending(kind: np.ndarray, key: np.ndarray) -> np.ndarray:
+        return np.where(kind == WINDOW, _low(key >> 8, top), key)
+
+    def pack(kind: int, block: np.ndarray, key: np.ndarray, n: np.ndarray) -> dict:
+        keys, at = np.unique(key, return_inverse=True)
+        sums = np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64)
+        order = np.lexsort((at, block))
+        block, at = block[order], at[order]
+        row = {"kind": kind, "n_keys": len(keys), "n_rows": len(at), "keys": _pack(_steps(keys)), "n": _pack(sums), "at": _pack(_steps(at.astype(np.int64))), "blocks": _pack(_steps(block))}
+        node = total = ones = below = np.zeros(0)
+        if kind == WINDOW and top:
+            node, total, ones, below = _Part(keys, sums, depth, top).above()
+        words = sums if kind == WORD else sums[:0]
+        row |= {"tokens": int(words.sum()), "vocabulary": int((words > 0).sum()), "n_nodes": len(node)}
+        return row | {"nodes": _pack(node.astype(np.int64)), "total": _pack(total), "ones": _pack(ones), "below": _pack(below)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def ready(last: bool) -> Iterator[pa.RecordBatch]:
+            """Packs all but the last ending, which may go on in the next batch."""
+            nonlocal held
+            kind, block, key, n = (np.concatenate(c) for c in zip(*held))
+            end = ending(kind, key)
+            changes = np.flatnonzero((np.diff(end) != 0) | (np.diff(kind) != 0)) + 1
+            whole = len(key) if last else int(changes[-1]) if len(changes) else 0
+            for k in (WINDOW, WORD):
+                own = np.flatnonzero(kind[:whole] == k)
+                if len(own):
+                    yield pa.RecordBatch.from_pylist([pack(k, block[own], key[own], n[own])], schema)
+            held = [(kind[whole:], block[whole:], key[whole:], n[whole:])]
+
+        schema = pa.schema([(name, {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[kind]) for name, kind in (c.split() for c in _PARTS.split(", "))])
+        for batch in batches:
+            held.append(tuple(batch.column(c).to_numpy() for c in ("kind", "block", "key", "n")))
+            size += batch.num_rows
+            if size > part_rows:
+                size = 0  # tries again after as many rows more
+                yield from ready(False)
+        if held:
+            yield from ready(True)
+
+    by = F.when(F.col("kind") == WINDOW, F.shiftright("key", 8).bitwiseAND(F.lit((1 << (8 * top)) - 1))).otherwise(F.col("key"))
+    return counts.repartition("kind", by).sortWithinPartitions("kind", by).mapInArrow(run, _PARTS)
+
+
+def crown_of(parts: DataFrame, top: int) -> tuple[np.ndarray, ...]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(_unpack(row[c], row["n_nodes"], t)) for c, t in zip(names, (np.int64, *[np.float64] * 3))], ["node", *names[1:]])
+
+    names = ["nodes", "total", "ones", "below"]
+    nodes = parts.where(F.col("n_nodes") > 0).select("n_nodes", *names).mapInArrow(run, "node long, total double, ones double, below double")
+    found = nodes.groupBy("node").agg(*[F.sum(c).alias(c) for c in names[1:]]).toArrow()
+    return _crown(*(found.column(c).to_numpy() for c in ("node", *names[1:])), top)
+
+
+def block_values(parts: DataFrame, crown: tuple[np.ndarray, ...], depth: int) -> DataFrame:
+    """(block, kind, size, keys, value): packed, log2 of the probability of each block's windows and the counts of its words."""
+    top = min(depth, SHARED)
+    shared = parts.sparkSession.sparkContext.broadcast(crown)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                keys, n = np.cumsum(_unpack(row["keys"], row["n_keys"], np.int64)), _unpack(row["n"], row["n_keys"], np.int64)
+                at, block = (np.cumsum(_unpack(row[c], row["n_rows"], np.int64)) for c in ("at", "blocks"))
+                value = n.astype(np.float64) if row["kind"] == WORD else _Part(keys, n, depth, top).log2(*shared.value)
+                starts = np.flatnonzero(np.diff(block, prepend=block[0] - 1))
+                packed = [(_pack(_steps(keys[own])), _pack(value[own])) for own in np.split(at, starts[1:])]
+                sizes = np.diff(starts, append=len(at))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(block[starts]), pa.array(np.full(len(starts), row["kind"], np.int32)), pa.array(sizes), pa.array([k for k, _ in packed], pa.binary()), pa.array([v for _, v in packed], pa.binary())],
+                    ["block", "kind", "size", "keys", "value"],
+                )
+
+    return parts.select("kind", "n_keys", "n_rows", "keys", "n", "at", "blocks").mapInArrow(run, "block long, kind int, size long, keys binary, value binary")
 
 
 def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -206,45 +382,20 @@ def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH, block
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), blank_text().alias("text"), held_out.alias("held_out"))
     plain = cut(plain.mapInArrow(number, "doc_id long, text string, held_out boolean, block long"), "documents")
-    counts = cut(corpus_counts(plain.select("text", "held_out"), depth), "counts")
-    words = counts.where(F.col("kind") == WORD)
-    known = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    parts = cut(tree_parts(block_counts(plain, depth), depth), "tree")
+    known = parts.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("vocabulary"), F.lit(0))).first()
     total, vocabulary = int(known[0]), int(known[1])
-
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(block: int) -> Iterator[pa.RecordBatch]:
-            for kind, keys in ((WINDOW, np.unique(np.concatenate(windows))), (WORD, _word_hash(list(words | {_END_TOKEN})))):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block)), pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys)], ["block", "kind", "key"])
-
-        now, texts, size, words, windows = None, [], 0, set(), []
-        for batch in batches:
-            for block, text in zip(batch.column("block").to_pylist(), batch.column("text").to_pylist()):
-                if texts and (block != now or size > PART_BYTES):
-                    words.update(*(t.split() for t in texts))
-                    windows.append(np.unique(_windows(texts, depth)[0]))
-                    texts, size = [], 0
-                    if len(windows) > 16:
-                        windows = [np.unique(np.concatenate(windows))]
-                if block != now and now is not None:
-                    yield from emit(now)
-                    words, windows = set(), []
-                now = block
-                texts.append(_lower(text))
-                size += len(texts[-1])
-        if texts:
-            words.update(*(t.split() for t in texts))
-            windows.append(np.unique(_windows(texts, depth)[0]))
-            yield from emit(now)
-
-    values = window_log2(counts.where(F.col("kind") == WINDOW).select("key", "n"), depth).select(F.lit(WINDOW).alias("kind"), "key", F.col("log2p").alias("value"))
-    values = values.unionByName(words.select("kind", "key", F.col("n").cast("double").alias("value")))
-    wanted = plain.select("block", "text").mapInArrow(distinct, "block long, kind int, key long")
-    found = wanted.join(values, ["kind", "key"]).select("block", "kind", "key", "value")
+    found = block_values(parts, crown_of(parts, min(depth, SHARED)), depth)
 
     def score(key: tuple, own: pa.Table, looked_up: pa.Table) -> pa.Table:
-        kind, keys, value = (looked_up.column(c).to_numpy() for c in ("kind", "key", "value"))
-        log2p = _Lookup(keys[kind == WINDOW], value[kind == WINDOW])
-        count_of = dict(zip(keys[kind == WORD].tolist(), value[kind == WORD].tolist()))
+        def pick(kind: int) -> tuple[np.ndarray, np.ndarray]:
+            packed = looked_up.filter(pa.compute.equal(looked_up.column("kind"), kind)).to_pylist()
+            keys = [np.cumsum(_unpack(row["keys"], row["size"], np.int64)) for row in packed]
+            values = [_unpack(row["value"], row["size"], np.float64) for row in packed]
+            return np.concatenate([np.zeros(0, np.int64), *keys]), np.concatenate([np.zeros(0), *values])
+
+        log2p = _Lookup(*pick(WINDOW))
+        count_of = dict(zip(*(c.tolist() for c in pick(WORD))))
         rows: list[tuple[np.ndarray, ...]] = []
         for texts, _ in _chunks(own.select(["text", "held_out"]).to_batches(), PART_BYTES):
             code, sizes = _windows(texts, depth)

@@ -354,3 +354,54 @@ def test_pipeline(spark):
     enc = encoder(default_tokenizer("word_bpe_49k.json"))
     for r in kept.collect():
         assert ids[r.doc_id] == [*np.frombuffer(enc.encode([r.text or ""])[0], enc.dtype).tolist(), 0]
+
+
+def test_language_model_at_its_default_depth(spark):
+    """The fifth byte before decides; hot, held-out and repeated texts in several blocks, against the tree by recursion."""
+    from functools import cache
+    from math import exp, lgamma, log, pi
+
+    depth = 5
+    rows = [(k, ("xabcd1 yabcd2 " * 3)[k % 3 :] + ("ä" if k % 5 == 0 else "") + "q" * (k % 4), "en") for k in range(40)] + [(3, "xabcd1", "en"), (3, "xabcd1", "en"), (None, "", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = lm.score_documents(docs, lm.hold_out(F.col("doc_id")), block_bytes=300).collect()
+    out = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
+    edge = b"\xff"
+    nodes, kids = {}, {}
+    for i, t, _ in rows:
+        raw = edge * depth + lower(t).encode() + edge
+        for k in range(depth, len(raw)):
+            for d in range(depth + 1):
+                for b in range(8):
+                    found = nodes.setdefault((raw[k - d : k], (1 << b) | raw[k] >> (8 - b)), [0, 0])
+                    found[raw[k] >> (7 - b) & 1] += not out(i)
+    for ctx, node in nodes:
+        if ctx:
+            kids.setdefault((ctx[1:], node), []).append((ctx, node))
+
+    def pe(key):
+        z, o = nodes[key]
+        return lgamma(z + 0.5) + lgamma(o + 0.5) - lgamma(z + o + 1) - log(pi)
+
+    @cache
+    def pw(key):
+        if len(key[0]) == depth:
+            return pe(key)
+        a, b = pe(key), sum(pw(k) for k in kids[key])
+        return max(a, b) + log((exp(a - max(a, b)) + exp(b - max(a, b))) / 2)
+
+    def bit(raw, k, b):
+        p = None
+        for d in range(depth, -1, -1):
+            key = (raw[k - d : k], (1 << b) | raw[k] >> (8 - b))
+            z, o = nodes[key]
+            own = ((z, o)[raw[k] >> (7 - b) & 1] + 0.5) / (z + o + 1)
+            a = 1.0 if d == depth else exp(pe(key) - log(2) - pw(key))
+            p = own if p is None else a * own + (1 - a) * p
+        return p
+
+    want = []
+    for i, t, _ in rows:
+        raw = edge * depth + lower(t).encode() + edge
+        want.append((i, out(i), round(sum(log10(bit(raw, k, b)) for k in range(depth, len(raw)) for b in range(8)), 5)))
+    same([(r.doc_id, r.held_out, round(r.score, 5)) for r in got], want)
