@@ -1,9 +1,10 @@
 """License scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance from directories.
 
-A file's header candidates are its lines that name a license, each with the line after it. Every candidate and every template is a sparse vector of
+A file's header candidates are its lines that name a license, each alone, with the line after it and with three lines after it (notices are wrapped). Every candidate and every template is a sparse vector of
 TF-IDF weights: term counts times log((1 + templates) / (1 + templates with the term)) + 1. Candidates meet templates in a join on terms; dot products
 are sums over the shared terms. A candidate's licence is that of the template with the largest cosine, if it reaches ``least``; a file's licence is
-that of its best candidate (ties: the licence's name).
+that of its best candidate (ties: the licence's name). An SPDX tag names its licence itself, so its expression is taken from the line, whatever the
+identifier, with cosine 1 (-only is left out, + is -or-later); a cosine would give an unknown identifier to its neighbour.
 
 A licence file (LICENSE, LICENCE, COPYING or NOTICE, any ending) speaks for its directory. A file without a licence of its own inherits from the
 nearest ancestor directory that has one: each file emits its ancestor directories, these are joined with the licensed directories, and the longest wins.
@@ -43,8 +44,25 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal."),
+    *((f"{short}-{v}.0-or-later", f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {long}General Public License as published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version.") for short, long, v in (("GPL", "", 2), ("GPL", "", 3), ("LGPL", "Lesser ", 3), ("AGPL", "Affero ", 3))),
+    ("LGPL-2.1-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, version 3 of the License."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("LGPL-2.1", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("ISC", "Released under the ISC License."),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-2-Clause", "Use of this source code is governed by the Simplified BSD License."),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Zlib", "This software is provided as-is, without any express or implied warranty. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
 )
-_NAMED = r"(?i)licen[cs]e|copyright|spdx|public domain|permission is hereby granted|redistribut|free software|creative commons"
+_NAMED = r"(?i)licen[cs]e|copyright|spdx|public domain|permission is hereby granted|redistribut|free software|creative commons|unencumbered|permission to use|provided as.is|accompanying materials"
+_SPDX_ID = r"[(]*[A-Za-z0-9][A-Za-z0-9.+:-]*[)]*"
+_SPDX = rf"(?i)spdx-licen[cs]e-identifier:\s*({_SPDX_ID}(?:\s+(?:with|or|and)\s+{_SPDX_ID})*)"
 _FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)(\.[a-z]+)?$"
 _SPLIT = r"[^a-z0-9.]+|\.(?![0-9])"
 
@@ -65,6 +83,13 @@ def _template_terms() -> tuple[list[tuple[int, str, str, float]], dict[str, floa
     return rows, idf, log(1 + len(counts)) + 1
 
 
+def _tagged(lines: DataFrame) -> DataFrame:
+    """(key, licence, cosine 1) of the SPDX tags in ``lines`` (key, lines)."""
+    tag = lines.select("key", F.explode("lines").alias("line")).select("key", F.regexp_extract("line", _SPDX, 1).alias("licence")).where("licence <> ''")
+    plain = F.regexp_replace(F.regexp_replace("licence", r"(?i)-only\b", ""), r"\+(?=[\s)]|$)", "-or-later")
+    return tag.where("lower(licence) not in ('none', 'noassertion')").select("key", plain.alias("licence"), F.lit(1.0).alias("cosine"))
+
+
 def header_licences(files: DataFrame, least: float = LEAST) -> DataFrame:
     """``files`` (path, text, key) to (key, licence, cosine) of each key with a candidate that reaches ``least``."""
     spark = files.sparkSession
@@ -73,11 +98,11 @@ def header_licences(files: DataFrame, least: float = LEAST) -> DataFrame:
     known = spark.createDataFrame(list(idf.items()), "term string, idf double")
     lines = files.where(F.col("text").rlike(_NAMED)).select("key", F.split("text", "\n").alias("lines"))
     places = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.get("lines", i).rlike(_NAMED))
-    heads = lines.select("key", F.posexplode(F.transform(places, lambda i: F.array(F.get("lines", i), F.concat_ws(" ", F.get("lines", i), F.get("lines", i + 1))))).alias("place", "both"))
+    heads = lines.select("key", F.posexplode(F.transform(places, lambda i: F.array(F.get("lines", i), *[F.array_join(F.slice("lines", i + 1, n), " ") for n in (2, 4)]))).alias("place", "both"))
     heads = heads.select("key", "place", F.posexplode("both").alias("lines", "head"))
     # A notice within a line of prose: the sentences that name a license are candidates, too.
     sentence = F.posexplode(F.filter(F.split("head", r"(?<=[.!?])\s+(?=\p{Lu})"), lambda s: s.rlike(_NAMED)))
-    inner = heads.where("lines = 0").select("key", "place", sentence.alias("lines", "head")).withColumn("lines", F.col("lines") + 2)
+    inner = heads.where("lines = 0").select("key", "place", sentence.alias("lines", "head")).withColumn("lines", F.col("lines") + 3)
     heads = heads.unionByName(inner)
     terms = heads.select("key", "place", "lines", F.explode(F.filter(F.split(F.lower("head"), _SPLIT), lambda x: x != "")).alias("term"))
     counted = terms.groupBy("key", "place", "lines", "term").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(known), "term", "left")
@@ -85,6 +110,7 @@ def header_licences(files: DataFrame, least: float = LEAST) -> DataFrame:
     sizes = counted.groupBy("key", "place", "lines").agg(F.sqrt(F.sum(F.col("own") * F.col("own"))).alias("size"))
     dots = counted.where("idf is not null").join(F.broadcast(templates), "term").groupBy("key", "place", "lines", "template", "licence").agg(F.sum(F.col("own") * F.col("weight")).alias("dot"))
     scored = dots.join(sizes, ["key", "place", "lines"]).select("key", "licence", F.round(F.col("dot") / F.col("size"), 6).alias("cosine")).where(F.col("cosine") >= least)
+    scored = scored.unionByName(_tagged(lines))
     best = scored.groupBy("key").agg(F.min(F.struct((-F.col("cosine")).alias("order"), "licence")).alias("b"))
     return best.select("key", "b.licence", (-F.col("b.order")).alias("cosine"))
 

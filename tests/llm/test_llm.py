@@ -405,3 +405,19 @@ def test_language_model_at_its_default_depth(spark):
         raw = edge * depth + lower(t).encode() + edge
         want.append((i, out(i), round(sum(log10(bit(raw, k, b)) for k in range(depth, len(raw)) for b in range(8)), 5)))
     same([(r.doc_id, r.held_out, round(r.score, 5)) for r in got], want)
+
+
+def test_licence_headers_that_are_no_templates(spark):
+    gnu = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU {}General Public License as published by\n# the Free Software Foundation, either version {} of the License, or\n# (at your option) any later version.\n"
+    cases = [
+        ("// SPDX-License-Identifier: MIT\nint x;", "MIT"), ("# SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), ("/* SPDX-License-Identifier: BSD-3-Clause */", "BSD-3-Clause"),
+        ("# SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0-or-later"), ("# SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0"), ("# SPDX-License-Identifier: GPL-2.0+", "GPL-2.0-or-later"),
+        ("; SPDX-License-Identifier: MPL-2.0", "MPL-2.0"), ("-- SPDX-License-Identifier: CC0-1.0", "CC0-1.0"), ("# SPDX-License-Identifier: BSD-4-Clause", "BSD-4-Clause"),
+        ("# SPDX-License-Identifier: (MIT OR Apache-2.0)", "(MIT OR Apache-2.0)"), ("# SPDX-License-Identifier: NONE", None), ("The field SPDX-License-Identifier is optional", None),
+        ("Permission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", "ISC"),
+        (gnu.format("Affero ", 3), "AGPL-3.0-or-later"), (gnu.format("", 2), "GPL-2.0-or-later"), (gnu.format("", 3), "GPL-3.0-or-later"), (gnu.format("Lesser ", 3), "LGPL-3.0-or-later"),
+        ("// This is free and unencumbered software released into the public\n// domain.", "Unlicense"), ("Released under the BSD 2-Clause License, see below.", "BSD-2-Clause"),
+        ("She got her driving license last year.", None),
+    ]
+    got = licenses.scan_licences(spark.createDataFrame([(f"d{k}/x.txt", t) for k, (t, _) in enumerate(cases)], "path string, text string"))
+    same([(r.path, r.licence) for r in got.collect()], [(f"d{k}/x.txt", want) for k, (_, want) in enumerate(cases)])
