@@ -322,9 +322,23 @@ def stored_responses(spark, d):
 @query(f"WITH {KEYED}, b AS (SELECT * FROM keyed WHERE seq < 50) SELECT seq, 100 AS attempts, CAST(1 AS BIGINT) AS posted, CAST(99 AS BIGINT) AS replayed FROM b")
 def duplicate_storm(spark, d):
     """A hundred identical attempts under one key: one posts, the others replay."""
-    storm = derive.keyed_attempts(spark, d).where("seq < 50").withColumn("retry", F.explode(F.sequence(F.lit(0), F.lit(99))))
-    storm = storm.withColumn("key", F.concat(F.lit("storm-"), F.col("seq"))).withColumn("origin", F.col("seq")).withColumn("seq", F.col("seq") * 100 + F.col("retry"))
-    keyed = admission.bind(storm.withColumn("reason", F.lit(None).cast("string")).withColumn("fp", codec.fingerprint(F.col("entries"))))
+    return _storm(derive.keyed_attempts(spark, d).where("seq < 50"))
+
+
+@query(
+    f"WITH {KEYED}, storm AS (SELECT seq AS origin, seq * 100 + r AS retry_seq, merchant, 'storm-' || seq AS storm_key, amount FROM keyed, range(100) t(r)), "
+    "replays AS (SELECT origin, retry_seq <> first_value(retry_seq) OVER w AND amount = first_value(amount) OVER w AS replay FROM storm WINDOW w AS (PARTITION BY merchant, storm_key ORDER BY retry_seq)) "
+    "SELECT origin AS seq, CAST(count(*) AS INTEGER) AS attempts, count(*) FILTER (NOT replay) AS posted, count(*) FILTER (replay) AS replayed FROM replays GROUP BY origin"
+)
+def duplicate_storm_all(spark, d):
+    """The storm over every keyed attempt; ``duplicate_storm``, as its SQL says, has the first fifty events only."""
+    return _storm(derive.keyed_attempts(spark, d))
+
+
+def _storm(attempts: DataFrame) -> DataFrame:
+    storm = attempts.select(F.col("seq").alias("origin"), "merchant", F.concat(F.lit("storm-"), F.col("seq")).alias("key"), "now_ms", F.lit(None).cast("string").alias("reason"), codec.fingerprint(F.col("entries")).alias("fp"))
+    storm = storm.withColumn("retry", F.explode(F.sequence(F.lit(0), F.lit(99)))).withColumn("seq", F.col("origin") * 100 + F.col("retry"))
+    keyed = admission.bind(storm)
     replay = F.col("binder_seq").isNotNull() & (F.col("fp") == F.col("binder_fp"))
     return keyed.groupBy(F.col("origin").alias("seq")).agg(F.count(F.lit(1)).cast("int").alias("attempts"), F.sum((~replay).cast("long")).alias("posted"), F.sum(replay.cast("long")).alias("replayed"))
 

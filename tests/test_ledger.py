@@ -269,3 +269,8 @@ def test_log_in_segments(spark, tmp_path):
     assert [r.lsn for r in wal.frames_of(found).orderBy("lsn").collect()] == [1, 2, 3]
     assert {(r.frames, r.tail) for r in wal.report(found).collect()} == {(2, "CLEAN_EOF"), (1, "CLEAN_EOF")}
     assert wal.write_segments(journal.limit(0), str(tmp_path / "none"), records=2).count() == 0
+
+
+def test_duplicate_storm_takes_every_event(spark):
+    got = registry.QUERIES["duplicate_storm_all"](spark, "/root/testdata/sf0.001").agg(F.count(F.lit(1)), F.min("posted"), F.max("posted"), F.min("replayed"), F.max("attempts")).first()
+    assert tuple(got) == (spark.read.parquet("/root/testdata/sf0.001/events.parquet").count(), 1, 1, 99, 100)
