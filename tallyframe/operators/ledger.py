@@ -93,6 +93,30 @@ def state_hash(accounts: DataFrame, bound: DataFrame, last_lsn: int) -> DataFram
     return found.select(F.sha2(whole, 256).alias("state_hash"), F.length(whole).cast("long").alias("section_bytes"), F.col("n").alias("n_accounts"), F.col("m").alias("n_bindings"))
 
 
+def state_digest(journal: DataFrame, span: int = 10_000) -> DataFrame:
+    """SHA-256 of the whole journal as text: its accounts, every event, and the balances, each in the order of LSNs (balances: of the openings).
+
+    A tree: each range of ``span`` LSNs of a section is rendered and hashed in its own task, then the ranges' digests are hashed in order.
+    """
+    opened = journal.where("type = 'ACCOUNT_OPENED'").select("lsn", "account_id", "kind")
+    account = F.format_string("account(%s,%s)", "account_id", "kind")
+    entry = lambda e: F.concat_ws(" ", e["side"], e["account_id"], e["amount_minor"].cast("string"))
+    tx = F.concat(F.lit("tx["), F.array_join(F.transform("entries", entry), ";"), F.lit("]"))
+    keyed = F.concat(F.lit("keyed:"), F.concat_ws("/", "merchant", "key", "fingerprint", F.col("captured_at_ms").cast("string")), F.lit(":"), tx)
+    event = F.when(F.col("type") == "ACCOUNT_OPENED", F.concat(F.lit("opened:"), account)).when(F.col("type") == "POSTED", F.concat(F.lit("posted:"), tx)).otherwise(keyed)
+    found = balances(opened.withColumnRenamed("lsn", "ordinal"), journal_entries(journal))
+    rows = opened.select(F.lit(0).alias("section"), "lsn", account.alias("line"))
+    rows = rows.unionByName(journal.where("type <> 'RECOVERY_MARKER'").select(F.lit(1).alias("section"), "lsn", event.alias("line")))
+    rows = rows.unionByName(found.select(F.lit(2).alias("section"), F.col("ordinal").alias("lsn"), F.concat_ws("=", "account_id", F.col("balance_minor").cast("string")).alias("line")))
+
+    def digest(order: list[str]):
+        lines = F.transform(F.array_sort(F.collect_list(F.struct(*order, "line"))), lambda r: F.concat(r["line"], F.lit("\n")))
+        return F.sha2(F.encode(F.array_join(lines, ""), "UTF-8"), 256).alias("digest")
+
+    tree = rows.groupBy("section", F.floor(F.col("lsn") / span).alias("range")).agg(digest(["lsn"]))
+    return tree.withColumn("line", F.concat_ws(":", "section", "range", "digest")).agg(digest(["section", "range"]))
+
+
 def lsn_gaps(journal: DataFrame) -> DataFrame:
     """Places where an LSN isn't the one before plus 1; each range of LSNs is its own task, its first row is compared with the last of the range before."""
     present = journal.select("lsn")

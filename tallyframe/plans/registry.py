@@ -370,6 +370,35 @@ def journal_digest(spark, d):
     return line.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "line"))), lambda r: r["line"]), "\n").alias("text")).select(F.sha2(F.encode("text", "UTF-8"), 256).alias("digest"))
 
 
+#: The tree digest of rows (section, lsn, line).
+TREE = """tree AS (SELECT section, lsn // 10000 AS r, sha256(string_agg(line || chr(10), '' ORDER BY lsn)) AS d FROM rendered GROUP BY 1, 2)
+SELECT sha256(string_agg(section || ':' || r || ':' || d || chr(10), '' ORDER BY section, r)) AS digest FROM tree"""
+
+
+@query(
+    f"WITH {JOURNAL}, tx AS (SELECT seq, 'tx[' || string_agg(side || ' ' || account_id || ' ' || amount_minor, ';' ORDER BY entry_no) || ']' AS t FROM good GROUP BY seq), "
+    f"folded AS (SELECT opens.lsn, opens.account_id, CAST(coalesce(sum({SIGNED}), 0) AS BIGINT) AS b FROM opens LEFT JOIN good ON good.account_id = opens.account_id GROUP BY ALL), "
+    "rendered AS (SELECT 0 AS section, lsn, 'account(' || account_id || ',' || kind || ')' AS line FROM opens UNION ALL SELECT 1, lsn, 'opened:account(' || account_id || ',' || kind || ')' FROM opens "
+    f"UNION ALL SELECT 1, lsn, 'posted:' || t FROM posts JOIN tx USING (seq) UNION ALL SELECT 2, lsn, account_id || '=' || b FROM folded), {TREE}"
+)
+def journal_state_digest(spark, d):
+    """Accounts, every event and balances of the order journal; ``journal_digest``, as its SQL says, has the balances only."""
+    return ledger.state_digest(_journal(spark, d))
+
+
+@query(
+    f"WITH {KEYED}, opens AS (SELECT row_number() OVER (ORDER BY ordinal) AS lsn, account_id, kind FROM (SELECT DISTINCT user_id AS ordinal, 'user-' || user_id AS account_id, 'LIABILITY' AS kind FROM events UNION ALL SELECT 2000000000000, 'pool', 'ASSET')), "
+    f"posted AS (SELECT row_number() OVER (ORDER BY seq) + (SELECT count(*) FROM opens) AS lsn, *, sha256(unhex('50' || {TRANSFER_HEX})) AS fp FROM decided WHERE outcome = 'POSTED'), "
+    "moved AS (SELECT payer AS account_id, -amount AS m FROM posted UNION ALL SELECT 'pool', amount FROM posted), "
+    "folded AS (SELECT lsn, account_id, CAST(coalesce(sum(m), 0) AS BIGINT) AS b FROM opens LEFT JOIN moved USING (account_id) GROUP BY ALL), "
+    "rendered AS (SELECT 0 AS section, lsn, 'account(' || account_id || ',' || kind || ')' AS line FROM opens UNION ALL SELECT 1, lsn, 'opened:account(' || account_id || ',' || kind || ')' FROM opens "
+    "UNION ALL SELECT 1, lsn, 'keyed:' || merchant || '/' || key || '/' || fp || '/' || now_ms || ':tx[DEBIT pool ' || amount || ';CREDIT ' || payer || ' ' || amount || ']' FROM posted "
+    f"UNION ALL SELECT 2, lsn, account_id || '=' || b FROM folded), {TREE}"
+)
+def event_journal_digest(spark, d):
+    return ledger.state_digest(event_journal(spark, d))
+
+
 def _damaged(journal: DataFrame) -> DataFrame:
     """The journal with some records missing, repeated or changed."""
     more = F.transform("entries", lambda e: F.struct(e["account_id"].alias("account_id"), e["side"].alias("side"), (e["amount_minor"] + F.when(e["side"] == "DEBIT", 1).otherwise(0)).alias("amount_minor")))

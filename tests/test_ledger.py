@@ -274,3 +274,19 @@ def test_log_in_segments(spark, tmp_path):
 def test_duplicate_storm_takes_every_event(spark):
     got = registry.QUERIES["duplicate_storm_all"](spark, "/root/testdata/sf0.001").agg(F.count(F.lit(1)), F.min("posted"), F.max("posted"), F.min("replayed"), F.max("attempts")).first()
     assert tuple(got) == (spark.read.parquet("/root/testdata/sf0.001/events.parquet").count(), 1, 1, 99, 100)
+
+
+def test_state_digest_tells_events_apart(spark):
+    import hashlib
+
+    opens = [{"op": "OPEN", "account_id": a, "kind": "ASSET"} for a in ("a", "b")]
+    post = lambda x: {"op": "POST", "entries": [("a", "DEBIT", x), ("b", "CREDIT", x)]}
+    journals = []
+    for amounts in ((5,), (2, 3), (3, 2)):
+        attempts = frame_of(spark, opens + [post(x) for x in amounts])
+        journals.append(ledger.journal_of(attempts, admission.classify(attempts)))
+    assert len({ledger.state_digest(j).first().digest for j in journals}) == 3
+    sections = [["account(a,ASSET)", "account(b,ASSET)"], ["opened:account(a,ASSET)", "opened:account(b,ASSET)", "posted:tx[DEBIT a 5;CREDIT b 5]"], ["a=5", "b=-5"]]
+    sha = lambda lines: hashlib.sha256("".join(x + "\n" for x in lines).encode()).hexdigest()
+    ranges = [(s, n // 2, [x for k, x in enumerate(lines, 1) if k // 2 == n // 2]) for s, lines in enumerate(sections) for n in range(1, len(lines) + 1) if n == 1 or n % 2 == 0]
+    assert ledger.state_digest(journals[0], span=2).first().digest == sha([f"{s}:{r}:{sha(lines)}" for s, r, lines in ranges])
