@@ -15,7 +15,6 @@ Repeated rows and repeated ids are kept, each as a document of its own. An empty
 
 from __future__ import annotations
 
-import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,10 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blank_text, scratch
+from .common import blank_text, scratch, slices
+from .documents_tokens import SLICE_BYTES
 from .tokens import encoder
 
 NULL_ID = np.iinfo(np.int64).min
+#: Documents that a task reads back at a time.
+READ_DOCUMENTS = 1000
 PARTS = "part int, documents long, ids long, width int"
 
 
@@ -40,13 +42,20 @@ def _store(folder: str):
     return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
 
 
-def _put(store, path: str, chunks: list[bytes]) -> None:
-    """Write under a name of this attempt, then rename: a repeated or lost attempt leaves no half file."""
-    temporary = f"{path}.{uuid.uuid4().hex}"
-    with store.open_output_stream(temporary) as out:
-        for chunk in chunks:
-            out.write(chunk)
-    store.move(temporary, path)
+class _Part:
+    """The three files of a part, written as their rows come, under names of this attempt; ``publish`` renames them when they are whole."""
+
+    def __init__(self, store, path: str):
+        self.store, self.path, self.mine = store, path, uuid.uuid4().hex
+        self.files = {end: store.open_output_stream(f"{path}.{end}.{self.mine}") for end in ("bin", "off", "doc")}
+
+    def write(self, end: str, data: bytes) -> None:
+        self.files[end].write(data)
+
+    def publish(self) -> None:
+        for end, file in self.files.items():
+            file.close()
+            self.store.move(f"{self.path}.{end}.{self.mine}", f"{self.path}.{end}")
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> DataFrame:
@@ -58,25 +67,22 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> D
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        store, root = _store(folder)
         end = np.array([end_id], dtype=enc.dtype).tobytes()
-        part = TaskContext.get().partitionId()
-        ids, sizes, names = [], [], []
-        for batch in batches:
-            for encoded in enc.encode(batch.column("text").to_pylist()):
-                ids += (encoded, end)
-                sizes.append((len(encoded) + len(end)) // enc.dtype.itemsize)
-            names.append(batch.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype("<i8"))
-        if not sizes:
-            return
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype("<i8")
-        path = f"{root}/part-{part:05d}"
-        _put(store, f"{path}.bin", ids)
-        _put(store, f"{path}.off", [offsets.tobytes()])
-        _put(store, f"{path}.doc", [np.concatenate(names).tobytes()])
-        yield pa.RecordBatch.from_pydict(
-            {"part": pa.array([part], pa.int32()), "documents": [len(sizes)], "ids": [int(offsets[-1])], "width": pa.array([enc.dtype.itemsize], pa.int32())}
-        )
+        number, part, documents, at = TaskContext.get().partitionId(), None, 0, 0
+        for batch in slices(batches, "text", SLICE_BYTES):
+            if part is None:
+                store, root = _store(folder)
+                part = _Part(store, f"{root}/part-{number:05d}")
+                part.write("off", np.zeros(1, "<i8").tobytes())
+            encoded = enc.encode(batch.column("text").to_pylist())
+            ends = at + np.cumsum([(len(x) + len(end)) // enc.dtype.itemsize for x in encoded])
+            part.write("bin", b"".join([x + end for x in encoded]))
+            part.write("off", ends.astype("<i8").tobytes())
+            part.write("doc", batch.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+            documents, at = documents + len(encoded), int(ends[-1])
+        if part is not None:
+            part.publish()
+            yield pa.RecordBatch.from_pydict({"part": pa.array([number], pa.int32()), "documents": [documents], "ids": [at], "width": pa.array([enc.dtype.itemsize], pa.int32())})
 
     store, root = _store(folder)
     store.create_dir(root, recursive=True)
@@ -99,32 +105,37 @@ def read_tokens(parts: DataFrame, folder: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _store(folder)
 
-        def mapped(path: str, kind: str) -> np.ndarray:
+        def mapped(path: str, kind: str, first: int, n: int) -> np.ndarray:
+            size = np.dtype(kind).itemsize
+            if not n:
+                return np.zeros(0, kind)
             if store.type_name == "local":
-                return np.memmap(path, dtype=kind, mode="r") if os.path.getsize(path) else np.zeros(0, kind)
-            with store.open_input_file(path) as f:
-                return np.frombuffer(f.read(), dtype=kind)
+                return np.memmap(path, dtype=kind, mode="r", offset=first * size, shape=(n,))
+            with store.open_input_file(path) as f:  # a range of the object
+                return np.frombuffer(f.read_at(n * size, first * size), dtype=kind)
 
         for batch in batches:
             for row in batch.to_pylist():
-                path = f"{root}/part-{row['part']:05d}"
-                ids, offsets, names = mapped(f"{path}.bin", f"<u{row['width']}"), mapped(f"{path}.off", "<i8"), mapped(f"{path}.doc", "<i8")
-                crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": pa.array(np.array(names), mask=np.array(names == NULL_ID)),
-                        "start": np.array(offsets[:-1]) + row["base"],
-                        "n_tokens": np.diff(offsets),
-                        "ids_crc32": pa.array(crc, pa.int64()),
-                    }
-                )
-
-    return parts.repartition(max(1, parts.count()), "part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+                path, kind = f"{root}/part-{row['part']:05d}", f"<u{row['width']}"
+                for first in range(0, row["documents"], READ_DOCUMENTS):
+                    n = min(READ_DOCUMENTS, row["documents"] - first)
+                    offsets, names = mapped(f"{path}.off", "<i8", first, n + 1), mapped(f"{path}.doc", "<i8", first, n)
+                    ids = mapped(f"{path}.bin", kind, int(offsets[0]), int(offsets[-1] - offsets[0]))
+                    at = (offsets - offsets[0]).tolist()
+                    crc = [zlib.crc32(ids[a:b].astype("<u4").data) for a, b in zip(at[:-1], at[1:])]
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "doc_id": pa.array(np.array(names), mask=np.array(names == NULL_ID)),
+                            "start": np.array(offsets[:-1]) + row["base"],
+                            "n_tokens": np.diff(offsets),
+                            "ids_crc32": pa.array(crc, pa.int64()),
+                        }
+                    )
+
+    return parts.repartitionByRange(max(1, parts.count()), "part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokens_to_files(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     """Write ``docs`` to a fresh set in the shared folder and read it back."""
     folder = scratch(spark, "tokens")
     return read_tokens(write_tokens(docs, folder, tokenizer, end_id), folder)
-
-

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, slices
 from .tokens import encoder
 
 BUDGET = 1024
@@ -52,7 +52,7 @@ def turn_tokens(turns: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for batch in batches:
+        for batch in slices(batches, "text", 4_000_000):
             made = [format_turn(r, t)[0] for r, t in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(x) // enc.dtype.itemsize for x in enc.encode(made)], pa.int64())], [*batch.schema.names, "tokens"])
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +47,19 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in batches of about ``limit`` bytes of ``column`` at most, or of one longer row; empty ones are left out."""
+    for batch in batches:
+        first = size = 0
+        for k, n in enumerate(pc.binary_length(batch.column(column)).fill_null(0).to_pylist()):
+            if size and size + n > limit:
+                yield batch.slice(first, k - first)
+                first, size = k, 0
+            size += n + 1
+        if first < batch.num_rows:
+            yield batch.slice(first)
+
+
 def blank_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

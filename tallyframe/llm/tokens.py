@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 _SIGNS = frozenset(".,;:!?)")
 _RUNS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[!-&(-/:-@\[-^`{|}~]+")
 
+#: Words that a worker remembers.
+REMEMBERED = 1_000_000
 _CACHED: dict[tuple[str, int], "Encoder"] = {}
 
 
@@ -136,24 +138,20 @@ class Encoder:
         return [bytes(data[a:b]) for a, b in zip(ends[:-1], ends[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of ``texts``, of which callers give some MB at a time."""
         out: list[bytes] = [b""] * len(texts)
-        plain, size = [], 0
+        plain = []
         for k, t in enumerate(texts):
             if "  " in t or " \n" in t or "\n " in t or "\n\n" in t or t[:1] == "\n" or t[-1:] == "\n":
                 out[k] = self._encode([t])[0]
-                continue
-            plain.append(k)
-            size += len(t)
-            if size > 4_000_000:  # of a batch, so much text is in pieces at a time
-                for at, ids in zip(plain, self._known([texts[j] for j in plain])):
-                    out[at] = ids
-                plain, size = [], 0
+            else:
+                plain.append(k)
         for at, ids in zip(plain, self._known([texts[j] for j in plain]) if plain else ()):
             out[at] = ids
         return out
 
 
-def encoder(path: str, limit: int = 1_000_000) -> Encoder:
+def encoder(path: str, limit: int = REMEMBERED) -> Encoder:
     """This worker's encoder for ``path``."""
     if (path, limit) not in _CACHED:
         _CACHED[path, limit] = Encoder(path, limit)
