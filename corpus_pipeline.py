@@ -8,6 +8,9 @@ from tallyframe.llm import decontaminate, documents_tokens, packing, quality, se
 from tallyframe.llm.common import cut, table
 from tallyframe.llm.tokens import default_tokenizer
 
+#: Words that a worker of the packing stage remembers: fewer than by itself, since the stages before have filled the executor's heap.
+REMEMBERED = 300_000
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
@@ -31,7 +34,7 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def packing_into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents with their places in sequences of 2,048."""
-    pieces = documents_tokens.token_pieces(docs, default_tokenizer("word_bpe_49k.json"), end_id=0, capacity=2048, with_ids=True)
+    pieces = documents_tokens.token_pieces(docs, default_tokenizer("word_bpe_49k.json"), end_id=0, capacity=2048, with_ids=True, remembered=REMEMBERED)
     return packing.best_fit_pack(cut(pieces, "pieces"), capacity=2048)
 
 
