@@ -5,127 +5,212 @@ balances after all earlier admissions. Everything but the last is independent of
 
 1. the first OPEN of an id wins;
 2. a static verdict for each posting: first of UNCONSTRUCTIBLE, TOO_FEW_ENTRIES, UNKNOWN_ACCOUNT, OVERFLOWING_TOTALS, UNBALANCED that applies;
-3. candidates: statically valid POSTs, and the first statically valid POST_KEYED of each (merchant, key);
-4. running sums of the candidates' net effects per account. If every running value fits 64 bits (the certificate), no balance overflows and the
-   candidates are exactly what a sequential fold admits.
+3. candidates: statically valid POSTs, and the first statically valid POST_KEYED of each (merchant, key).
 
-If the certificate fails, attempts before the first violating seq are still exact; the rest goes through a sequential fold in one group,
-which starts from the balances and bindings there. This is inherent: from there on each decision depends on those before.
+Whether a balance can overflow is always proven, in up to three steps of growing cost:
+
+a. the absolute amounts of all attempts, added up per account. Where they fit 64 bits no order of any admissions can overflow the account. Other accounts are suspects;
+b. running sums of the candidates' net effects on the suspects. If all fit, the candidates are exactly what a sequential fold admits;
+c. otherwise attempts before the first violation are exact. Behind it, only postings that touch a suspect, and keyed postings of scopes that have such a one, depend on
+   the order of admissions: these alone go through a sequential fold in one task, which knows the suspects' balances and the scopes' bindings. All others keep their verdicts.
 
 Attempts after a key's binding are REPLAYED (same body within the retention), EXPIRED (same body, older) or CONFLICT (other body),
 whatever their own validity; an unconstructible body never gets that far.
+
+A ``State`` is what was decided before these attempts: accounts, their balances, and bindings.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codec, money
-from .transactions import flatten
+from .ledger import prefix_sums
+from .transactions import ENTRY, flatten
 
 REASONS = ("UNCONSTRUCTIBLE", "TOO_FEW_ENTRIES", "UNKNOWN_ACCOUNT", "OVERFLOWING_TOTALS", "UNBALANCED", "OVERFLOWING_BALANCE")
 DAY_MS = 86_400_000
-ATTEMPTS = (
-    "seq long, op string, account_id string, kind string, merchant string, key string, now_ms long, "
-    "entries array<struct<account_id:string,side:string,amount_minor:bigint>>"
-)
+ATTEMPTS = "seq long, op string, account_id string, kind string, merchant string, key string, now_ms long, entries array<struct<account_id:string,side:string,amount_minor:bigint>>"
 STATUS = {"POSTED": 200, "REPLAYED": 200, "CONFLICT": 409, "EXPIRED": 410, "REJECTED": 422, "UNCONSTRUCTIBLE": 422}
 
 
-def opened_accounts(attempts: DataFrame) -> DataFrame:
-    """account_id, kind, open_seq: the first OPEN of each id."""
-    return attempts.where("op = 'OPEN'").groupBy("account_id").agg(F.min(F.struct("seq", "kind")).alias("f")).select("account_id", "f.kind", F.col("f.seq").alias("open_seq"))
+@dataclass(frozen=True)
+class State:
+    """accounts (account_id), balances (account_id, balance_minor), bindings (merchant, key, fingerprint, captured_at_ms, bound_seq)."""
 
+    accounts: DataFrame
+    balances: DataFrame
+    bindings: DataFrame
 
-def static_verdicts(postings: DataFrame, accounts: DataFrame) -> DataFrame:
-    """(seq, reason) of every posting (seq, entries); null: nothing but balances could refuse it."""
-    flat = flatten(postings).join(accounts.select("account_id", "open_seq"), "account_id", "left")
-    wide = lambda side: F.coalesce(money.wide_sum(F.when(F.col("side") == side, F.col("amount_minor"))), F.lit(0).cast(money.WIDE))
-    facts = flat.groupBy("seq").agg(
-        F.max(F.col("amount_minor") <= 0).alias("bad"),
-        F.max(F.col("open_seq").isNull() | (F.col("open_seq") >= F.col("seq"))).alias("unknown"),
-        wide("DEBIT").alias("d"),
-        wide("CREDIT").alias("c"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    reason = (
-        F.when(F.col("bad"), "UNCONSTRUCTIBLE")
-        .when(F.coalesce("n", F.lit(0)) < 2, "TOO_FEW_ENTRIES")
-        .when(F.col("unknown"), "UNKNOWN_ACCOUNT")
-        .when(~(money.fits(F.col("d")) & money.fits(F.col("c"))), "OVERFLOWING_TOTALS")
-        .when(F.col("d") != F.col("c"), "UNBALANCED")
+
+def opened_accounts(attempts: DataFrame, state: State | None = None) -> DataFrame:
+    """account_id, kind, open_seq: the first OPEN of each id; accounts of ``state`` have the least seq there is and no kind."""
+    opens = attempts.where("op = 'OPEN'").select("account_id", "seq", "kind")
+    if state is not None:
+        opens = opens.unionByName(state.accounts.select("account_id", F.lit(money.MIN_MINOR).alias("seq"), F.lit(None).cast("string").alias("kind")))
+    return opens.groupBy("account_id").agg(F.min(F.struct("seq", "kind")).alias("f")).select("account_id", "f.kind", F.col("f.seq").alias("open_seq"))
+
+
+def _own_reason(entries: Column, unknown: Column) -> Column:
+    """The first static rule that a posting breaks, in their fixed order."""
+    zero = F.lit(0).cast(money.WIDE)
+    total = lambda side: F.aggregate(entries, zero, lambda acc, e: (acc + F.when(e["side"] == side, e["amount_minor"]).otherwise(0)).cast(money.WIDE))
+    debits, credits = total("DEBIT"), total("CREDIT")
+    return (
+        F.when(F.exists(entries, lambda e: e["amount_minor"] <= 0), "UNCONSTRUCTIBLE")
+        .when(F.size(entries) < 2, "TOO_FEW_ENTRIES")
+        .when(unknown, "UNKNOWN_ACCOUNT")
+        .when(~(money.fits(debits) & money.fits(credits)), "OVERFLOWING_TOTALS")
+        .when(debits != credits, "UNBALANCED")
     )
-    return postings.select("seq").join(facts, "seq", "left").select("seq", reason.alias("reason"))
 
 
-def running_extremes(candidates: DataFrame) -> DataFrame:
-    """(seq, account_id, running) after each candidate (seq, entries), as wide decimals."""
-    net = flatten(candidates).groupBy("seq", "account_id").agg(money.wide_sum(money.signed(F.col("side"), F.col("amount_minor"))).alias("net"))
-    upto = Window.partitionBy("account_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return net.withColumn("running", F.sum("net").over(upto).cast(money.WIDE))
+def judge(postings: DataFrame, accounts: DataFrame) -> DataFrame:
+    """``postings`` (seq, entries, ...) with ``reason``: the static rule that each breaks, null if nothing but balances could refuse it."""
+    named = postings.select("seq", F.explode(F.array_distinct(F.transform("entries", lambda e: e["account_id"]))).alias("account_id"))
+    known = named.join(accounts.select("account_id", "open_seq"), "account_id", "left")
+    stray = known.where("open_seq is null or open_seq >= seq").select("seq").distinct().withColumn("_unknown", F.lit(True))
+    joined = postings.join(stray, "seq", "left")
+    return joined.withColumn("reason", _own_reason(F.col("entries"), F.col("_unknown"))).drop("_unknown")
+
+
+def static_verdicts(postings: DataFrame, accounts: DataFrame) -> DataFrame:
+    """(seq, reason) of every posting (seq, entries)."""
+    return judge(postings, accounts).select("seq", "reason")
 
 
-def first_violation(candidates: DataFrame) -> int | None:
-    """The least seq after which a balance leaves 64 bits; None: the certificate holds."""
-    return running_extremes(candidates).where(~money.fits(F.col("running"))).agg(F.min("seq")).first()[0]
+def check(postings: DataFrame, accounts: DataFrame, balances: DataFrame) -> DataFrame:
+    """(seq, reason): what the ledger would say to each posting (seq, entries) by itself, as the next one; nothing is admitted.
 
+    ``accounts`` (account_id) and ``balances`` (account_id, balance_minor) are the ledger's.
+    """
+    judged = judge(postings, accounts.select("account_id", F.lit(money.MIN_MINOR).alias("open_seq")))
+    net = flatten(judged.where("reason is null")).groupBy("seq", "account_id").agg(money.wide_sum(money.signed(F.col("side"), F.col("amount_minor"))).alias("net"))
+    after = net.join(balances.select("account_id", "balance_minor"), "account_id").where(~money.fits((F.col("balance_minor").cast(money.WIDE) + F.col("net")).cast(money.WIDE)))
+    over = after.select("seq").distinct().withColumn("_over", F.lit(True))
+    return judged.join(over, "seq", "left").select("seq", F.coalesce("reason", F.when(F.col("_over"), "OVERFLOWING_BALANCE")).alias("reason"))
 
-def bind(postings: DataFrame) -> DataFrame:
-    """Add binder_seq, binder_fp and binder_ms, of the first admissible attempt at the row's (merchant, key)."""
-    scope = Window.partitionBy("merchant", "key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    first = lambda c: F.first(F.when(F.col("reason").isNull(), F.col(c)), ignorenulls=True).over(scope)
-    return postings.withColumn("binder_seq", first("seq")).withColumn("binder_fp", first("fp")).withColumn("binder_ms", first("now_ms"))
 
+def suspects(postings: DataFrame, state: State | None = None) -> DataFrame:
+    """account_id of the accounts whose absolute amounts over all postings (entries) and their balance before don't fit 64 bits together."""
+    moved = postings.select(F.explode("entries").alias("e")).select("e.account_id", F.abs(F.col("e.amount_minor").cast(money.WIDE)).alias("a"))
+    if state is not None:
+        moved = moved.unionByName(state.balances.select("account_id", F.abs(F.col("balance_minor").cast(money.WIDE)).alias("a")))
+    return moved.groupBy("account_id").agg(F.sum("a").alias("a")).where(~money.fits(F.col("a"))).select("account_id")
 
-def classify(attempts: DataFrame, retention_ms: int = DAY_MS, certified: bool | None = None) -> DataFrame:
-    """seq, op, outcome, reason and bound_seq of every attempt.
 
-    ``certified=True`` skips the certificate's job where the caller knows that amounts can't add up to 64 bits.
+def running_extremes(candidates: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """(seq, account_id, running) after each candidate (seq, entries), as wide decimals; ``base`` (account_id, balance_minor) comes before."""
+    net = flatten(candidates).groupBy("seq", "account_id").agg(money.wide_sum(money.signed(F.col("side"), F.col("amount_minor"))).alias("net"))
+    summed = prefix_sums(net, "account_id", "seq", "net", "running")
+    if base is None:
+        return summed
+    summed = summed.join(base.select("account_id", "balance_minor"), "account_id", "left")
+    return summed.withColumn("running", (F.col("running") + F.coalesce(F.col("balance_minor"), F.lit(0)).cast(money.WIDE)).cast(money.WIDE)).drop("balance_minor")
+
+
+def first_violation(candidates: DataFrame, base: DataFrame | None = None) -> int | None:
+    """The least seq after which a balance leaves 64 bits; None: all running sums fit."""
+    return running_extremes(candidates, base).where(~money.fits(F.col("running"))).agg(F.min("seq")).first()[0]
+
+
+def bind(postings: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """Add binder_seq, binder_fp and binder_ms, of the first admissible attempt at the row's (merchant, key), to the attempts behind it.
+
+    ``base`` (merchant, key, fingerprint, captured_at_ms, bound_seq) are bindings from before. The binder is an aggregate of each scope, so retries of one key are
+    counted down before they are shuffled, and what is left of a hot key is a join with a single row.
     """
-    accounts = opened_accounts(attempts)
-    opens = attempts.where("op = 'OPEN'").select("seq", "op", "account_id").join(accounts.select("account_id", "open_seq"), "account_id")
+    early = F.lit(0).alias("_from")
+    able = postings.where("reason is null").select("merchant", "key", F.lit(1).alias("_from"), "seq", "fp", "now_ms")
+    if base is not None:
+        able = able.unionByName(base.select("merchant", "key", early, F.col("bound_seq").alias("seq"), F.col("fingerprint").alias("fp"), F.col("captured_at_ms").alias("now_ms")))
+    first = able.groupBy("merchant", "key").agg(F.min(F.struct("_from", "seq", "fp", "now_ms")).alias("_b")).select(F.col("merchant").alias("_m"), F.col("key").alias("_k"), "_b")
+    joined = postings.join(first, F.col("merchant").eqNullSafe(F.col("_m")) & F.col("key").eqNullSafe(F.col("_k")), "left")
+    behind = (F.col("_b._from") == 0) | (F.col("_b.seq") < F.col("seq"))
+    of = lambda c: F.when(behind, F.col(f"_b.{c}"))
+    return joined.withColumn("binder_seq", of("seq")).withColumn("binder_fp", of("fp")).withColumn("binder_ms", of("now_ms")).drop("_m", "_k", "_b")
+
+
+def decide(attempts: DataFrame, retention_ms: int = DAY_MS, state: State | None = None) -> DataFrame:
+    """The attempts with outcome, reason and bound_seq of each; OPENs come first in no particular order."""
+    null = lambda kind: F.lit(None).cast(kind)
+    accounts = opened_accounts(attempts, state)
     won = F.col("seq") == F.col("open_seq")
-    opens = opens.select("seq", "op", F.when(won, "OPENED").otherwise("REJECTED").alias("outcome"), F.when(~won, "DUPLICATE_ACCOUNT").alias("reason"), F.lit(None).cast("long").alias("bound_seq"))
-
-    posts = attempts.where("op <> 'OPEN'").withColumn("entries", F.coalesce("entries", F.array().cast("array<struct<account_id:string,side:string,amount_minor:bigint>>")))
-    judged = posts.join(static_verdicts(posts, accounts), "seq")
-    plain = judged.where("op = 'POST'").select("seq", "op", F.when(F.col("reason").isNull(), "POSTED").when(F.col("reason") == "UNCONSTRUCTIBLE", "UNCONSTRUCTIBLE").otherwise("REJECTED").alias("outcome"), "reason", F.lit(None).cast("long").alias("bound_seq"))
-    keyed = bind(judged.where("op = 'POST_KEYED'").withColumn("fp", codec.fingerprint(F.col("entries"))))
+    opens = attempts.where("op = 'OPEN'").join(accounts.select("account_id", "open_seq"), "account_id")
+    opens = opens.withColumn("outcome", F.when(won, "OPENED").otherwise("REJECTED")).withColumn("reason", F.when(~won, "DUPLICATE_ACCOUNT")).withColumn("bound_seq", null("long"))
+
+    posts = attempts.where("op <> 'OPEN'").withColumn("entries", F.coalesce("entries", F.array().cast(ENTRY)))
+    judged = judge(posts, accounts)
+    refused = F.when(F.col("reason") == "UNCONSTRUCTIBLE", "UNCONSTRUCTIBLE").when(F.col("reason").isNotNull(), "REJECTED").otherwise("POSTED")
+    plain = judged.where("op = 'POST'").withColumn("outcome", refused).withColumn("bound_seq", null("long"))
+    keyed = bind(judged.where("op = 'POST_KEYED'").withColumn("fp", codec.fingerprint(F.col("entries"))), state.bindings if state else None)
+    bound = F.col("binder_seq").isNotNull()
     outcome = (
         F.when(F.col("reason") == "UNCONSTRUCTIBLE", "UNCONSTRUCTIBLE")
-        .when(F.col("binder_seq").isNotNull() & (F.col("fp") != F.col("binder_fp")), "CONFLICT")
-        .when(F.col("binder_seq").isNotNull() & (F.col("now_ms") - F.col("binder_ms") < retention_ms), "REPLAYED")
-        .when(F.col("binder_seq").isNotNull(), "EXPIRED")
-        .when(F.col("reason").isNull(), "POSTED")
-        .otherwise("REJECTED")
+        .when(bound & (F.col("fp") != F.col("binder_fp")), "CONFLICT")
+        .when(bound & (F.col("now_ms") - F.col("binder_ms") < retention_ms), "REPLAYED")
+        .when(bound, "EXPIRED")
+        .otherwise(refused)
     )
     decided = keyed.withColumn("outcome", outcome)
     own = F.col("outcome").isin("REJECTED", "UNCONSTRUCTIBLE")
-    decided = decided.select("seq", "op", "outcome", F.when(own, F.col("reason")).alias("reason"), F.when(F.col("outcome") == "POSTED", F.col("seq")).when(F.col("outcome").isin("CONFLICT", "REPLAYED", "EXPIRED"), F.col("binder_seq")).alias("bound_seq"))
-    static = opens.unionByName(plain).unionByName(decided)
-    if certified:
+    decided = decided.withColumn("reason", F.when(own, F.col("reason"))).withColumn("bound_seq", F.when(F.col("outcome") == "POSTED", F.col("seq")).when(~own, F.col("binder_seq")))
+    columns = [*attempts.columns, "outcome", "reason", "bound_seq"]
+    static = opens.select(*columns).unionByName(plain.select(*columns)).unionByName(decided.select(*columns))
+
+    doubtful = suspects(posts, state)
+    if not doubtful.limit(1).count():
         return static
-    candidates = static.where("outcome = 'POSTED'").select("seq").join(posts.select("seq", "entries"), "seq")
-    violated = first_violation(candidates)
+    names = F.broadcast(doubtful.withColumn("_doubt", F.lit(True))) if doubtful.limit(10_000).count() < 10_000 else doubtful.withColumn("_doubt", F.lit(True))
+    touched = posts.select("seq", F.explode("entries").alias("e")).select("seq", "e.account_id", "e.side", "e.amount_minor").join(names, "account_id").drop("_doubt")
+    admitted = static.where("outcome = 'POSTED'").select("seq")
+    effects = touched.join(admitted, "seq").groupBy("seq").agg(F.collect_list(F.struct("account_id", "side", "amount_minor")).alias("entries"))
+    base = state.balances.join(doubtful, "account_id", "left_semi") if state else None
+    violated = first_violation(effects, base)
     if violated is None:
         return static
-    return _sequential(attempts, static, posts, accounts, violated, retention_ms)
+    late = _sequential(static, judged, touched, effects, base, violated, retention_ms, state)
+    kept = static.join(late.select(F.col("seq").alias("_s"), F.struct("outcome", "reason", "bound_seq").alias("_late")), F.col("seq") == F.col("_s"), "left")
+    pick = lambda c: F.when(F.col("_late").isNotNull(), F.col(f"_late.{c}")).otherwise(F.col(c)).alias(c)
+    return kept.select(*attempts.columns, pick("outcome"), pick("reason"), pick("bound_seq"))
+
 
+def classify(attempts: DataFrame, retention_ms: int = DAY_MS, state: State | None = None) -> DataFrame:
+    """seq, op, outcome, reason and bound_seq of every attempt."""
+    return decide(attempts, retention_ms, state).select("seq", "op", "outcome", "reason", "bound_seq")
 
-def _sequential(attempts, static, posts, accounts, violated: int, retention_ms: int) -> DataFrame:
-    """Outcomes with everything from ``violated`` on decided one after the other, in seq order, within one group."""
-    early = static.where(F.col("seq") < violated)
-    done = early.where("outcome = 'POSTED'").select("seq").join(posts, "seq")
-    net = flatten(done).groupBy("account_id").agg(money.wide_sum(money.signed(F.col("side"), F.col("amount_minor"))).cast("long").alias("balance"))
-    bound = done.where("op = 'POST_KEYED'").select("merchant", "key", codec.fingerprint(F.col("entries")).alias("fp"), "now_ms", "seq")
-    late = posts.where(F.col("seq") >= violated).join(static_verdicts(posts, accounts), "seq").withColumn("fp", codec.fingerprint(F.col("entries")))
+
+def _sequential(static: DataFrame, judged: DataFrame, touched: DataFrame, effects: DataFrame, base: DataFrame | None, violated: int, retention_ms: int, state: State | None) -> DataFrame:
+    """(seq, outcome, reason, bound_seq) of the postings from ``violated`` on whose outcome depends on the order of admissions, folded in seq order.
+
+    These touch a suspect account, or share the scope of a key with one that does.
+    """
     empty = lambda kind: F.lit(None).cast(kind)
-    none = empty("array<struct<account_id:string,side:string,amount_minor:bigint>>")
-    rows = late.select("seq", "op", "merchant", "key", "now_ms", "fp", "reason", "entries", empty("string").alias("balance_of"), empty("long").alias("balance"))
-    rows = rows.unionByName(net.select(F.lit(-1).cast("long").alias("seq"), F.lit("BALANCE").alias("op"), empty("string").alias("merchant"), empty("string").alias("key"), empty("long").alias("now_ms"), empty("string").alias("fp"), empty("string").alias("reason"), none.alias("entries"), F.col("account_id").alias("balance_of"), "balance"))
-    rows = rows.unionByName(bound.select("seq", F.lit("BOUND").alias("op"), "merchant", "key", "now_ms", "fp", empty("string").alias("reason"), none.alias("entries"), empty("string").alias("balance_of"), empty("long").alias("balance")))
-    ordered = rows.coalesce(1).sortWithinPartitions((F.col("op").isin("BALANCE", "BOUND")).desc(), "seq")
+    own = touched.select("seq", F.struct("account_id", "side", "amount_minor").alias("e")).groupBy("seq").agg(F.collect_list("e").alias("entries"))
+    rest = judged.where(F.col("seq") >= violated).select("seq", "op", "merchant", "key", "now_ms", "reason", codec.fingerprint(F.col("entries")).alias("fp"))
+    scopes = judged.where("op = 'POST_KEYED'").join(own.select("seq"), "seq", "left_semi").select(F.col("merchant").alias("_m"), F.col("key").alias("_k")).distinct()
+    in_scope = F.col("merchant").eqNullSafe(F.col("_m")) & F.col("key").eqNullSafe(F.col("_k"))
+    kept = rest.where("op = 'POST'").join(own.select("seq"), "seq", "left_semi").unionByName(rest.where("op = 'POST_KEYED'").join(scopes, in_scope, "left_semi"))
+    late = kept.join(own, "seq", "left").withColumn("balance_of", empty("string")).withColumn("balance", empty("long"))
+
+    early = effects.where(F.col("seq") < violated)
+    net = flatten(early).select("account_id", money.signed(F.col("side"), F.col("amount_minor")).alias("m"))
+    if base is not None:
+        net = net.unionByName(base.select("account_id", F.col("balance_minor").alias("m")))
+    net = net.groupBy("account_id").agg(money.wide_sum(F.col("m")).cast("long").alias("balance"))
+    columns = [("seq", "long"), ("op", "string"), ("merchant", "string"), ("key", "string"), ("now_ms", "long"), ("fp", "string"), ("reason", "string"), ("entries", ENTRY), ("balance_of", "string"), ("balance", "long")]
+    shaped = lambda df, **given: df.select(*[given[c].alias(c) if c in given else empty(kind).alias(c) for c, kind in columns])
+    rows = late.select(*[c for c, _ in columns])
+    rows = rows.unionByName(shaped(net, op=F.lit("BALANCE"), balance_of=F.col("account_id"), balance=F.col("balance")))
+    bound = static.where((F.col("seq") < violated) & (F.col("op") == "POST_KEYED") & (F.col("outcome") == "POSTED")).join(scopes, in_scope, "left_semi")
+    rows = rows.unionByName(shaped(bound, op=F.lit("BOUND"), seq=F.col("seq"), merchant=F.col("merchant"), key=F.col("key"), now_ms=F.col("now_ms"), fp=codec.fingerprint(F.col("entries"))))
+    if state is not None:
+        old = state.bindings.join(scopes, in_scope, "left_semi")
+        rows = rows.unionByName(shaped(old, op=F.lit("BOUND"), seq=F.col("bound_seq"), merchant=F.col("merchant"), key=F.col("key"), now_ms=F.col("captured_at_ms"), fp=F.col("fingerprint")))
+    ordered = rows.repartition(1).sortWithinPartitions(F.col("op").isin("BALANCE", "BOUND").desc(), "seq")
 
     def fold(batches):
         import pyarrow as pa
@@ -150,7 +235,7 @@ def _sequential(attempts, static, posts, accounts, violated: int, retention_ms:
                     reason = None
                 elif reason is None:
                     change: dict[str, int] = {}
-                    for e in r["entries"]:
+                    for e in r["entries"] or ():
                         change[e["account_id"]] = change.get(e["account_id"], 0) + (e["amount_minor"] if e["side"] == "DEBIT" else -e["amount_minor"])
                     after = {a: balances.get(a, 0) + c for a, c in change.items()}
                     if all(-(2**63) <= b < 2**63 for b in after.values()):
@@ -163,9 +248,8 @@ def _sequential(attempts, static, posts, accounts, violated: int, retention_ms:
                         outcome, reason = "REJECTED", "OVERFLOWING_BALANCE"
                 else:
                     outcome = "REJECTED"
-                out.append((r["seq"], r["op"], outcome, reason, at))
+                out.append((r["seq"], outcome, reason, at))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()))], ["seq", "op", "outcome", "reason", "bound_seq"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.string(), pa.int64()))], ["seq", "outcome", "reason", "bound_seq"])
 
-    late_outcomes = ordered.mapInArrow(fold, "seq long, op string, outcome string, reason string, bound_seq long")
-    return early.unionByName(static.where((F.col("seq") >= violated) & (F.col("op") == "OPEN"))).unionByName(late_outcomes)
+    return ordered.mapInArrow(fold, "seq long, outcome string, reason string, bound_seq long")

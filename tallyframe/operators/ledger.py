@@ -1,31 +1,61 @@
-"""The journal and what folds out of it: numbering, balances, running balances, trial balance, snapshots."""
+"""The journal and what folds out of it: numbering, balances, running balances, trial balance, state hash, digests, reconciliation."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+import hashlib
+import struct
+from collections.abc import Iterator
+from functools import reduce
+
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codec, money
+from ..session import cut
 from .transactions import flatten
 
+#: Numbers of a key's rows that are summed up in one task before the prefix sums.
+SPAN = 1 << 16
+#: Bytes of a rendered section that are one row.
+CHUNK_BYTES = 1 << 20
+JOURNAL_COLUMNS = ("lsn", "seq", "type", "account_id", "kind", "merchant", "key", "fingerprint", "captured_at_ms", "entries")
+
 
 def dense_numbers(rows: DataFrame, order: str, name: str = "lsn", start: int = 1) -> DataFrame:
     """Number rows from ``start`` by ``order`` (unique), without one task for all: partitions by range, then prefix sums of their sizes."""
-    # Both uses must see the same ranges, whose bounds are sampled: the cached plan has one set of bounds, also for blocks that are computed again.
-    ranged = rows.repartitionByRange(order).withColumn("_p", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    # Both uses must see the same ranges, whose bounds are sampled: the rows are written once, with their range.
+    ranged = cut(rows.repartitionByRange(order).withColumn("_p", F.spark_partition_id()), "numbered")
     within = Window.partitionBy("_p").orderBy(order)
     counts = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # a row a partition
     before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     return ranged.join(F.broadcast(before), "_p").withColumn(name, (F.row_number().over(within) + F.col("_b") + (start - 1)).cast("long")).drop("_p", "_b")
 
 
+def prefix_sums(rows: DataFrame, key: str, order: str, value: str, name: str, span: int = SPAN) -> DataFrame:
+    """Add ``name``: the sum of ``value`` (exact, wide) of the key's rows up to this one by ``order`` (a long, unique within the key).
+
+    A hot key isn't one task: its rows are dealt by ranges of ``span`` numbers, and only the ranges' sums are added up in order.
+    """
+    ranged = rows.withColumn("_range", F.floor(F.col(order) / span))
+    sums = ranged.groupBy(key, "_range").agg(money.wide_sum(F.col(value)).alias("_own"))
+    before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select(key, "_range", F.coalesce(F.sum("_own").over(before), F.lit(0)).cast(money.WIDE).alias("_base"))
+    within = Window.partitionBy(key, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = ranged.withColumn("_within", F.sum(F.col(value).cast(money.WIDE)).over(within))
+    return summed.join(bases, [key, "_range"]).withColumn(name, (F.col("_base") + F.col("_within")).cast(money.WIDE)).drop("_range", "_within", "_base")
+
+
 def journal_of(attempts: DataFrame, outcomes: DataFrame) -> DataFrame:
     """lsn, seq, type, account_id, kind, merchant, key, fingerprint, captured_at_ms, entries of what was admitted, dense from 1."""
+    return journal_from(attempts.join(outcomes.where("outcome in ('OPENED', 'POSTED')").select("seq", "outcome"), "seq"))
+
+
+def journal_from(decided: DataFrame, start: int = 1) -> DataFrame:
+    """The same of attempts that have their outcome with them (``admission.decide``), numbered from ``start``."""
     types = F.when(F.col("op") == "OPEN", "ACCOUNT_OPENED").when(F.col("op") == "POST", "POSTED").otherwise("IDEMPOTENT_POSTING")
-    admitted = attempts.join(outcomes.where("outcome in ('OPENED', 'POSTED')").select("seq"), "seq")
     keyed = F.col("op") == "POST_KEYED"
-    shaped = admitted.select(
+    shaped = decided.where("outcome in ('OPENED', 'POSTED')").select(
         "seq",
         types.alias("type"),
         "account_id",
@@ -36,23 +66,38 @@ def journal_of(attempts: DataFrame, outcomes: DataFrame) -> DataFrame:
         F.when(keyed, F.col("now_ms")).alias("captured_at_ms"),
         "entries",
     )
-    return dense_numbers(shaped, "seq")
+    return dense_numbers(shaped, "seq", start=start).select(*JOURNAL_COLUMNS)
 
 
 def journal_entries(journal: DataFrame) -> DataFrame:
     return flatten(journal.where("type in ('POSTED', 'IDEMPOTENT_POSTING')"), "lsn")
 
 
-def balances(accounts: DataFrame, entries: DataFrame, base: DataFrame | None = None) -> DataFrame:
-    """ordinal, account_id, kind, balance_minor, is_natural; accounts without entries are 0. ``base``: balances to start from."""
+def folded(accounts: DataFrame, entries: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """ordinal, account_id, kind and the balance as a wide decimal (``wide``); accounts without entries are 0. ``base``: balances to start from."""
     moved = entries.select("account_id", money.signed(F.col("side"), F.col("amount_minor")).alias("m"))
     if base is not None:
         moved = moved.unionByName(base.select("account_id", F.col("balance_minor").alias("m")))
     sums = moved.groupBy("account_id").agg(money.wide_sum(F.col("m")).alias("s"))
-    out = accounts.join(sums, "account_id", "left").withColumn("balance_minor", F.coalesce(F.col("s"), F.lit(0)).cast("long"))
+    return accounts.join(sums, "account_id", "left").select("ordinal", "account_id", "kind", F.coalesce(F.col("s"), F.lit(0)).cast(money.WIDE).alias("wide"))
+
+
+def balances(accounts: DataFrame, entries: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """ordinal, account_id, kind, balance_minor, is_natural; a balance beyond 64 bits, which no admitted journal has, raises."""
+    out = folded(accounts, entries, base).withColumn("balance_minor", F.col("wide").cast("long"))
     return out.select("ordinal", "account_id", "kind", "balance_minor", money.is_natural(F.col("kind"), F.col("balance_minor")).alias("is_natural"))
 
 
+def restored_accounts(restored: DataFrame, journal: DataFrame) -> DataFrame:
+    """ordinal, account_id, kind of the accounts of a snapshot (ordinal, account_id, kind, ...) and of those that the journal behind it opens, in opening order."""
+    later = journal.where("type = 'ACCOUNT_OPENED'")
+    old = restored.select(F.lit(0).alias("_old"), F.col("ordinal").alias("_at"), "account_id", "kind")
+    both = old.unionByName(later.select(F.lit(1).alias("_old"), F.col("lsn").alias("_at"), "account_id", "kind"))
+    last = restored.agg(F.coalesce(F.max("ordinal"), F.lit(0)).alias("_last"))
+    place = F.when(F.col("_old") == 0, F.col("_at")).otherwise(F.col("_last") + F.col("_at"))
+    return both.join(F.broadcast(last)).select(place.alias("ordinal"), "account_id", "kind")
+
+
 def total_balance(found: DataFrame) -> DataFrame:
     return found.agg(F.coalesce(money.wide_sum(F.col("balance_minor")), F.lit(0)).cast("long").alias("total_minor"))
 
@@ -67,30 +112,87 @@ def trial_balance(found: DataFrame) -> DataFrame:
     return lines.unionByName(total)
 
 
-def running_balances(entries: DataFrame, key: str = "seq") -> DataFrame:
+def running_balances(entries: DataFrame, key: str = "seq", span: int = SPAN) -> DataFrame:
     """The balance of each touched account after each transaction."""
     net = entries.groupBy(key, "account_id").agg(money.wide_sum(money.signed(F.col("side"), F.col("amount_minor"))).alias("n"))
-    upto = Window.partitionBy("account_id").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return net.select(key, "account_id", F.col("n").cast("long").alias("net_minor"), F.sum("n").over(upto).cast("long").alias("balance_minor"))
+    summed = prefix_sums(net, "account_id", key, "n", "upto", span)
+    return summed.select(key, "account_id", F.col("n").cast("long").alias("net_minor"), F.col("upto").cast("long").alias("balance_minor"))
+
+
+def bindings(journal: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """merchant, key, fingerprint, response_lsn, captured_at_ms of all keyed postings; ``base``: the bindings of a snapshot, which come first."""
+    own = journal.where("type = 'IDEMPOTENT_POSTING'").select("merchant", "key", "fingerprint", F.col("lsn").alias("response_lsn"), "captured_at_ms")
+    return own if base is None else base.select(*own.columns).unionByName(own)
+
+
+def ordered_chunks(sections: list[DataFrame]) -> DataFrame:
+    """The bytes ``b`` of each section's rows by ``at``, joined to rows (part, range, chunk, n, bytes) of about a megabyte.
+
+    Sorting and joining are done in many tasks; in the order of part, range and chunk the rows are the sections' bytes.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+        mine = TaskContext.get().partitionId()
+        part, chunk, held, size = None, 0, [], 0
 
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((part, mine, chunk, len(held), b"".join(held)), kinds)], ["part", "range", "chunk", "n", "bytes"])
 
-def bindings(journal: DataFrame) -> DataFrame:
-    """merchant, key, fingerprint, response_lsn, captured_at_ms of all keyed postings."""
-    return journal.where("type = 'IDEMPOTENT_POSTING'").select("merchant", "key", "fingerprint", F.col("lsn").alias("response_lsn"), "captured_at_ms")
+        for batch in batches:
+            for k, data in zip(batch.column("part").to_pylist(), batch.column("b").to_pylist()):
+                if held and (k != part or size > CHUNK_BYTES):
+                    yield made()
+                    chunk, held, size = chunk + 1, [], 0
+                part = k
+                held.append(data)
+                size += len(data)
+        if held:
+            yield made()
+
+    rows = reduce(DataFrame.unionByName, [s.select(F.lit(k).alias("part"), F.col("at").cast("long").alias("at"), "b") for k, s in enumerate(sections)])
+    ordered = rows.repartitionByRange("part", "at").sortWithinPartitions("part", "at")
+    return cut(ordered.mapInArrow(run, "part int, range long, chunk int, n long, bytes binary"), "chunks")
 
 
 def state_hash(accounts: DataFrame, bound: DataFrame, last_lsn: int) -> DataFrame:
     """SHA-256 of the canonical state: accounts (ordinal, kind, account_id, balance_minor) and bindings (response_lsn, ...) in order.
 
-    The section is one value by definition, so it meets in one task; its bytes are the state's, not the journal's.
+    The digest is one stream by definition: rows are sorted and rendered in many tasks, and one task runs over the chunks, one in hand at a time.
     """
-    rows = accounts.select(F.lit(0).alias("part"), F.col("ordinal").alias("at"), codec.state_account(F.col("kind"), F.col("account_id"), F.col("balance_minor")).alias("b"))
-    rows = rows.unionByName(bound.select(F.lit(1).alias("part"), F.col("response_lsn").alias("at"), codec.state_binding(F.col("merchant"), F.col("key"), F.col("fingerprint"), F.col("response_lsn")).alias("b")))
-    rows.createOrReplaceTempView("_state_rows")
-    section = lambda part: f"coalesce(listagg(b) WITHIN GROUP (ORDER BY at) FILTER (WHERE part = {part}), X'')"
-    found = rows.sparkSession.sql(f"SELECT {section(0)} AS a, {section(1)} AS b, count_if(part = 0) AS n, count_if(part = 1) AS m FROM _state_rows")
-    whole = F.concat(codec.integer(F.lit(codec.STATE_VERSION), 1), codec.integer(F.lit(last_lsn), 8), codec.integer(F.col("n"), 4), F.col("a"), codec.integer(F.col("m"), 4), F.col("b"))
-    return found.select(F.sha2(whole, 256).alias("state_hash"), F.length(whole).cast("long").alias("section_bytes"), F.col("n").alias("n_accounts"), F.col("m").alias("n_bindings"))
+    chunks = ordered_chunks(
+        [
+            accounts.select(F.col("ordinal").alias("at"), codec.state_account(F.col("kind"), F.col("account_id"), F.col("balance_minor")).alias("b")),
+            bound.select(F.col("response_lsn").alias("at"), codec.state_binding(F.col("merchant"), F.col("key"), F.col("fingerprint"), F.col("response_lsn")).alias("b")),
+        ]
+    )
+    count = {r.part: r.n for r in chunks.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # two rows
+    n, m = count.get(0, 0), count.get(1, 0)
+    heads = [struct.pack(">BqI", codec.STATE_VERSION, last_lsn, n), struct.pack(">I", m)]
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        digest, size, part = hashlib.sha256(), 0, -1
+
+        def put(data: bytes) -> None:
+            nonlocal size
+            digest.update(data)
+            size += len(data)
+
+        for batch in batches:
+            for k, data in zip(batch.column("part").to_pylist(), batch.column("bytes").to_pylist()):
+                for head in heads[part + 1 : k + 1]:
+                    put(head)
+                part = max(part, k)
+                put(data)
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((digest.hexdigest(), size, n, m), (pa.string(), *[pa.int64()] * 3))], ["state_hash", "section_bytes", "n_accounts", "n_bindings"])
+
+    ends = accounts.sparkSession.range(2).select(F.col("id").cast("int").alias("part"), F.lit(-1).cast("long").alias("range"), F.lit(-1).alias("chunk"), F.lit(0).cast("long").alias("n"), F.unhex(F.lit("")).alias("bytes"))
+    one = ends.unionByName(chunks).repartition(1).sortWithinPartitions("part", "range", "chunk")
+    return one.select("part", "bytes").mapInArrow(run, "state_hash string, section_bytes long, n_accounts long, n_bindings long")
 
 
 def state_digest(journal: DataFrame, span: int = 10_000) -> DataFrame:
@@ -117,14 +219,47 @@ def state_digest(journal: DataFrame, span: int = 10_000) -> DataFrame:
     return tree.withColumn("line", F.concat_ws(":", "section", "range", "digest")).agg(digest(["section", "range"]))
 
 
-def lsn_gaps(journal: DataFrame) -> DataFrame:
-    """Places where an LSN isn't the one before plus 1; each range of LSNs is its own task, its first row is compared with the last of the range before."""
-    present = journal.select("lsn")
-    follows = present.select((F.col("lsn") + 1).alias("lsn"))
-    jump = present.join(follows, "lsn", "left_anti")
-    return jump.where("lsn <> 1").select("lsn")
+def lsn_gaps(journal: DataFrame, span: int = SPAN) -> DataFrame:
+    """(lsn, problem) where an LSN isn't the one before plus 1 (the first: 1): GAP before it, or REPEATED.
+
+    Each range of ``span`` numbers is compared within itself, its first record with the last of the range before.
+    """
+    ranged = journal.select("lsn", F.floor(F.col("lsn") / span).alias("_range"))
+    before = ranged.groupBy((F.col("_range") + 1).alias("_range")).agg(F.max("lsn").alias("_before"))  # of the range before; without one there is a gap
+    lag = F.lag("lsn").over(Window.partitionBy("_range").orderBy("lsn"))
+    step = F.col("lsn") - F.coalesce("_own", "_before", F.when(F.col("_range") == 0, 0).otherwise(-1))
+    found = ranged.withColumn("_own", lag).join(before, "_range", "left").where(step != 1)
+    return found.select("lsn", F.when(step == 0, "REPEATED").otherwise("GAP").alias("problem"))
+
+
+def reconcile(acks: DataFrame, frames: DataFrame) -> DataFrame:
+    """(lsn, forced, problem) of acknowledged records (lsn, forced, digest) that the log's frames (lsn, type, payload) don't hold as they were acknowledged.
+
+    LOST: there is no such record; NOT_AN_EVENT: a marker is in its place; OTHER_BYTES: its payload is another; TWICE: the log has the LSN more than once.
+    """
+    held = frames.groupBy("lsn").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("type", F.sha2("payload", 256).alias("digest"))).alias("_f"))
+    problem = (
+        F.when(F.col("_n").isNull(), "LOST")
+        .when(F.col("_n") > 1, "TWICE")
+        .when(F.col("_f.type") == "RECOVERY_MARKER", "NOT_AN_EVENT")
+        .when(F.col("_f.digest") != F.col("digest"), "OTHER_BYTES")
+    )
+    return acks.join(held, "lsn", "left").select("lsn", "forced", problem.alias("problem")).where("problem is not null")
 
 
 def lost_acks(acks: DataFrame, frames: DataFrame) -> DataFrame:
-    """Acknowledged (lsn, forced) without a frame."""
+    """Acknowledged (lsn, forced) without a frame, counted by forced."""
     return acks.join(frames.select("lsn"), "lsn", "left_anti").groupBy("forced").agg(F.count(F.lit(1)).alias("n_lost"))
+
+
+def frame_ends(sizes: DataFrame, span: int = SPAN) -> DataFrame:
+    """lsn, frame_length and end_offset of records (lsn, frame_length) behind a 16-byte header: prefix sums over ranges of ranges of LSNs."""
+    level = lambda name, n: F.floor(F.col("lsn") / n).alias(name)
+    ranged = sizes.select("lsn", "frame_length", level("_range", span), level("_super", span * span))
+    sums = ranged.groupBy("_super", "_range").agg(F.sum("frame_length").alias("_own"))
+    tops = sums.groupBy("_super").agg(F.sum("_own").alias("_n"))  # one row for each 2 ** 32 records
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("_super", F.coalesce(F.sum("_n").over(upto(Window.orderBy("_super"))), F.lit(0)).alias("_top"))
+    bases = sums.join(F.broadcast(tops), "_super").select("_range", (F.coalesce(F.sum("_own").over(upto(Window.partitionBy("_super").orderBy("_range"))), F.lit(0)) + F.col("_top")).alias("_base"))
+    within = Window.partitionBy("_range").orderBy("lsn")
+    return ranged.withColumn("_within", F.sum("frame_length").over(within)).join(bases, "_range").select("lsn", "frame_length", (F.col("_within") + F.col("_base") + 16).cast("long").alias("end_offset"))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import codec, identifiers, money
 from ..operators import admission, audit, ledger, transactions
-from ..session import table
+from ..session import cut, shared_folder, table
+from ..sources import checkpoints, durable, wal
+from ..streaming import ingest
 from . import derive
 
 QUERIES: dict = {}
@@ -218,8 +220,7 @@ posts AS (SELECT row_number() OVER (ORDER BY seq) + (SELECT count(*) FROM accoun
 
 
 def _journal(spark: SparkSession, d: str) -> DataFrame:
-    attempts = derive.order_attempts(spark, d)
-    return ledger.journal_of(attempts, admission.classify(attempts, certified=True))
+    return ledger.journal_from(admission.decide(derive.order_attempts(spark, d)))
 
 
 @query(f"WITH {JOURNAL} SELECT lsn, 'ACCOUNT_OPENED' AS type, account_id, kind, CAST(NULL AS INTEGER) AS entry_no, CAST(NULL AS VARCHAR) AS side, CAST(NULL AS BIGINT) AS amount_minor FROM opens UNION ALL SELECT lsn, 'POSTED', account_id, NULL, entry_no, side, amount_minor FROM posts JOIN good USING (seq)")
@@ -272,9 +273,8 @@ def idempotent_outcomes(spark, d):
 
 @query(f"WITH {KEYED} SELECT merchant, key, seq AS bound_seq, now_ms AS captured_at_ms, sha256(unhex('50' || {TRANSFER_HEX})) AS fingerprint FROM decided WHERE outcome = 'POSTED'")
 def bindings(spark, d):
-    attempts = derive.event_attempts(spark, d)
-    out = admission.classify(attempts, certified=True).where("op = 'POST_KEYED' and outcome = 'POSTED'").select("seq")
-    return attempts.join(out, "seq").select("merchant", "key", F.col("seq").alias("bound_seq"), F.col("now_ms").alias("captured_at_ms"), codec.fingerprint(F.col("entries")).alias("fingerprint"))
+    bound = admission.decide(derive.event_attempts(spark, d)).where("op = 'POST_KEYED' and outcome = 'POSTED'")
+    return bound.select("merchant", "key", F.col("seq").alias("bound_seq"), F.col("now_ms").alias("captured_at_ms"), codec.fingerprint(F.col("entries")).alias("fingerprint"))
 
 
 @query(f"WITH {KEYED} SELECT merchant, key, seq AS bound_seq FROM decided WHERE outcome = 'POSTED' AND merchant = (SELECT min(merchant) FROM keyed)")
@@ -302,12 +302,10 @@ def idempotency_conflicts(spark, d):
 
 @query(f"WITH {KEYED} SELECT d.seq, d.merchant, d.key, d.outcome = 'REPLAYED' AS replayed, CAST(CASE outcome WHEN 'CONFLICT' THEN 409 WHEN 'EXPIRED' THEN 410 ELSE 200 END AS INTEGER) AS status, binder_seq AS original_seq, binder_ms AS captured_at_ms FROM decided d")
 def receipts(spark, d):
-    attempts = derive.event_attempts(spark, d)
-    out = admission.classify(attempts, certified=True).where("op = 'POST_KEYED'")
+    out = cut(admission.decide(derive.event_attempts(spark, d)).where("op = 'POST_KEYED'"), "decided")
     status = F.create_map(*[x for k, v in admission.STATUS.items() for x in (F.lit(k), F.lit(v))])[F.col("outcome")]
-    origin = attempts.select(F.col("seq").alias("bound_seq"), F.col("now_ms").alias("captured_at_ms"))
-    own = attempts.select("seq", "merchant", "key")
-    return out.join(own, "seq").join(origin, "bound_seq", "left").select("seq", "merchant", "key", (F.col("outcome") == "REPLAYED").alias("replayed"), status.alias("status"), F.col("bound_seq").alias("original_seq"), "captured_at_ms")
+    origin = out.where("outcome = 'POSTED'").select(F.col("seq").alias("bound_seq"), F.col("now_ms").alias("captured_at_ms"))
+    return out.drop("now_ms").join(origin, "bound_seq", "left").select("seq", "merchant", "key", (F.col("outcome") == "REPLAYED").alias("replayed"), status.alias("status"), F.col("bound_seq").alias("original_seq"), "captured_at_ms")
 
 
 @query(f"WITH {KEYED} SELECT seq, merchant, key, payer, amount AS amount_minor FROM decided WHERE outcome = 'POSTED'")
@@ -319,33 +317,51 @@ def stored_responses(spark, d):
     return found.select("seq", "merchant", "key", F.col("entries")[1]["account_id"].alias("payer"), F.col("entries")[1]["amount_minor"].alias("amount_minor"))
 
 
-@query(f"WITH {KEYED}, b AS (SELECT * FROM keyed WHERE seq < 50) SELECT seq, 100 AS attempts, CAST(1 AS BIGINT) AS posted, CAST(99 AS BIGINT) AS replayed FROM b")
-def duplicate_storm(spark, d):
-    """A hundred identical attempts under one key: one posts, the others replay."""
-    return _storm(derive.keyed_attempts(spark, d).where("seq < 50"))
-
-
-@query(
+STORM = (
     f"WITH {KEYED}, storm AS (SELECT seq AS origin, seq * 100 + r AS retry_seq, merchant, 'storm-' || seq AS storm_key, amount FROM keyed, range(100) t(r)), "
     "replays AS (SELECT origin, retry_seq <> first_value(retry_seq) OVER w AND amount = first_value(amount) OVER w AS replay FROM storm WINDOW w AS (PARTITION BY merchant, storm_key ORDER BY retry_seq)) "
     "SELECT origin AS seq, CAST(count(*) AS INTEGER) AS attempts, count(*) FILTER (NOT replay) AS posted, count(*) FILTER (replay) AS replayed FROM replays GROUP BY origin"
 )
-def duplicate_storm_all(spark, d):
-    """The storm over every keyed attempt; ``duplicate_storm``, as its SQL says, has the first fifty events only."""
-    return _storm(derive.keyed_attempts(spark, d))
 
 
-def _storm(attempts: DataFrame) -> DataFrame:
-    storm = attempts.select(F.col("seq").alias("origin"), "merchant", F.concat(F.lit("storm-"), F.col("seq")).alias("key"), "now_ms", F.lit(None).cast("string").alias("reason"), codec.fingerprint(F.col("entries")).alias("fp"))
-    storm = storm.withColumn("retry", F.explode(F.sequence(F.lit(0), F.lit(99)))).withColumn("seq", F.col("origin") * 100 + F.col("retry"))
-    keyed = admission.bind(storm)
+def _stormed(attempts: DataFrame) -> DataFrame:
+    """Each attempt a hundred times, under a key of its own."""
+    storm = attempts.withColumn("origin", F.col("seq")).withColumn("retry", F.explode(F.sequence(F.lit(0), F.lit(99))))
+    return storm.withColumn("key", F.concat(F.lit("storm-"), F.col("origin"))).withColumn("seq", F.col("origin") * 100 + F.col("retry")).drop("retry")
+
+
+def _counted(replay) -> list:
+    return [F.count(F.lit(1)).cast("int").alias("attempts"), F.sum((~replay).cast("long")).alias("posted"), F.sum(replay.cast("long")).alias("replayed")]
+
+
+@query(STORM)
+def duplicate_storm(spark, d):
+    """A hundred identical attempts under one key, of every event: one posts, the others replay."""
+    opens = derive.event_attempts(spark, d).where("op = 'OPEN'")
+    storm = opens.unionByName(_stormed(derive.keyed_attempts(spark, d)).drop("origin"))
+    outcomes = admission.decide(storm).where("op = 'POST_KEYED'").select(F.floor(F.col("seq") / 100).cast("long").alias("seq"), "outcome")
+    return outcomes.groupBy("seq").agg(*_counted(F.col("outcome") == "REPLAYED"))
+
+
+@query(STORM)
+def duplicate_storm_all(spark, d):
+    """The same by the bindings alone, without validation."""
+    storm = _stormed(derive.keyed_attempts(spark, d)).withColumn("reason", F.lit(None).cast("string")).withColumn("fp", codec.fingerprint(F.col("entries")))
     replay = F.col("binder_seq").isNotNull() & (F.col("fp") == F.col("binder_fp"))
-    return keyed.groupBy(F.col("origin").alias("seq")).agg(F.count(F.lit(1)).cast("int").alias("attempts"), F.sum((~replay).cast("long")).alias("posted"), F.sum(replay.cast("long")).alias("replayed"))
+    return admission.bind(storm).groupBy(F.col("origin").alias("seq")).agg(*_counted(replay))
 
 
 def event_journal(spark: SparkSession, d: str) -> DataFrame:
-    attempts = derive.event_attempts(spark, d)
-    return ledger.journal_of(attempts, admission.classify(attempts, certified=True))
+    return ledger.journal_from(admission.decide(derive.event_attempts(spark, d)))
+
+
+#: The journal of keyed postings: opens (lsn, account_id, kind), posted (lsn, ..., fp), and the balances of its accounts.
+EVENTS = (
+    f"{KEYED}, opens AS (SELECT row_number() OVER (ORDER BY ordinal) AS lsn, account_id, kind FROM (SELECT DISTINCT user_id AS ordinal, 'user-' || user_id AS account_id, 'LIABILITY' AS kind FROM events UNION ALL SELECT 2000000000000, 'pool', 'ASSET')), "
+    f"posted AS (SELECT row_number() OVER (ORDER BY seq) + (SELECT count(*) FROM opens) AS lsn, *, sha256(unhex('50' || {TRANSFER_HEX})) AS fp FROM decided WHERE outcome = 'POSTED'), "
+    "moved AS (SELECT payer AS account_id, -amount AS m FROM posted UNION ALL SELECT 'pool', amount FROM posted), "
+    "folded AS (SELECT lsn, account_id, kind, CAST(coalesce(sum(m), 0) AS BIGINT) AS b FROM opens LEFT JOIN moved USING (account_id) GROUP BY ALL)"
+)
 
 
 @query(f"WITH {KEYED} SELECT seq, sha256(unhex({_ID.format('merchant')} || {_ID.format('key')} || {_hex('now_ms', 16)} || sha256(unhex('50' || {TRANSFER_HEX})) || {TRANSFER_HEX})) AS payload_sha256 FROM decided WHERE outcome = 'POSTED'")
@@ -354,43 +370,64 @@ def encoded_payloads(spark, d):
     return j.select("seq", F.sha2(codec.keyed_payload(F.col("merchant"), F.col("key"), F.col("captured_at_ms"), F.col("entries")), 256).alias("payload_sha256"))
 
 
+def _opened(journal: DataFrame) -> DataFrame:
+    return journal.where("type = 'ACCOUNT_OPENED'").select(F.col("lsn").alias("ordinal"), "account_id", "kind")
+
+
+def _state_hash(journal: DataFrame) -> DataFrame:
+    last = journal.agg(F.coalesce(F.max("lsn"), F.lit(0))).first()[0]
+    return ledger.state_hash(ledger.balances(_opened(journal), ledger.journal_entries(journal)), ledger.bindings(journal), last)
+
+
+def _state_hex(last: str) -> str:
+    """The state section in hex from s (n, h: accounts) and t (m, g: bindings)."""
+    return f"'02' || lpad(lower(to_hex(CAST({last} AS BIGINT))), 16, '0') || lpad(lower(to_hex(n)), 8, '0') || h || lpad(lower(to_hex(m)), 8, '0') || g"
+
+
+ACCOUNT_HEX = f"{_ID.format('kind')} || {_ID.format('account_id')} || {_hex('b', 16)}"
+
+
 @query(
-    f"WITH {BALANCES}, s AS (SELECT count(*) AS n, string_agg({_ID.format('kind')} || {_ID.format('account_id')} || {_hex('balance_minor', 16)}, '' ORDER BY ordinal) AS h FROM balances) "
-    f"SELECT sha256(unhex(x)) AS state_hash, length(x) // 2 AS section_bytes, n AS n_accounts, CAST(0 AS BIGINT) AS n_bindings FROM (SELECT n, '02' || {_hex('n', 16)} || {_hex('n', 8)} || h || '00000000' AS x FROM s)"
+    f"WITH {EVENTS}, s AS (SELECT count(*) AS n, string_agg({ACCOUNT_HEX}, '' ORDER BY lsn) AS h FROM folded), "
+    f"t AS (SELECT count(*) AS m, coalesce(string_agg({_ID.format('merchant')} || {_ID.format('key')} || fp || {_hex('lsn', 16)}, '' ORDER BY lsn), '') AS g FROM posted), x AS (SELECT n, m, {_state_hex('n + m')} AS x FROM s, t) "
+    "SELECT sha256(unhex(x)) AS state_hash, length(x) // 2 AS section_bytes, n AS n_accounts, m AS n_bindings FROM x"
 )
 def state_hash(spark, d):
-    found = _balances(spark, d)
-    none = spark.createDataFrame([], "merchant string, key string, fingerprint string, response_lsn long")
-    return ledger.state_hash(found, none, found.count())
+    """The state behind the journal of keyed postings: accounts, balances and bindings at its last LSN."""
+    return _state_hash(event_journal(spark, d))
 
 
-@query(f"WITH {BALANCES} SELECT sha256(string_agg(account_id || '|' || kind || '|' || balance_minor, chr(10) ORDER BY ordinal)) AS digest FROM balances")
-def journal_digest(spark, d):
-    line = _balances(spark, d).select("ordinal", F.concat_ws("|", "account_id", "kind", "balance_minor").alias("line"))
-    return line.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "line"))), lambda r: r["line"]), "\n").alias("text")).select(F.sha2(F.encode("text", "UTF-8"), 256).alias("digest"))
+@query(
+    f"WITH {JOURNAL}, folded AS (SELECT opens.lsn, opens.account_id, kind, CAST(coalesce(sum({SIGNED}), 0) AS BIGINT) AS b FROM opens LEFT JOIN good ON good.account_id = opens.account_id GROUP BY ALL), "
+    f"s AS (SELECT count(*) AS n, string_agg({ACCOUNT_HEX}, '' ORDER BY lsn) AS h FROM folded), t AS (SELECT 0 AS m, '' AS g, count(*) AS p FROM posts), x AS (SELECT n, {_state_hex('n + p')} AS x FROM s, t) "
+    "SELECT sha256(unhex(x)) AS state_hash, length(x) // 2 AS section_bytes, n AS n_accounts, CAST(0 AS BIGINT) AS n_bindings FROM x"
+)
+def order_state_hash(spark, d):
+    return _state_hash(_journal(spark, d))
 
 
 #: The tree digest of rows (section, lsn, line).
 TREE = """tree AS (SELECT section, lsn // 10000 AS r, sha256(string_agg(line || chr(10), '' ORDER BY lsn)) AS d FROM rendered GROUP BY 1, 2)
 SELECT sha256(string_agg(section || ':' || r || ':' || d || chr(10), '' ORDER BY section, r)) AS digest FROM tree"""
-
-
-@query(
+ORDER_DIGEST = (
     f"WITH {JOURNAL}, tx AS (SELECT seq, 'tx[' || string_agg(side || ' ' || account_id || ' ' || amount_minor, ';' ORDER BY entry_no) || ']' AS t FROM good GROUP BY seq), "
     f"folded AS (SELECT opens.lsn, opens.account_id, CAST(coalesce(sum({SIGNED}), 0) AS BIGINT) AS b FROM opens LEFT JOIN good ON good.account_id = opens.account_id GROUP BY ALL), "
     "rendered AS (SELECT 0 AS section, lsn, 'account(' || account_id || ',' || kind || ')' AS line FROM opens UNION ALL SELECT 1, lsn, 'opened:account(' || account_id || ',' || kind || ')' FROM opens "
     f"UNION ALL SELECT 1, lsn, 'posted:' || t FROM posts JOIN tx USING (seq) UNION ALL SELECT 2, lsn, account_id || '=' || b FROM folded), {TREE}"
 )
-def journal_state_digest(spark, d):
-    """Accounts, every event and balances of the order journal; ``journal_digest``, as its SQL says, has the balances only."""
+
+
+@query(ORDER_DIGEST)
+def journal_digest(spark, d):
+    """Accounts, every event and balances of the order journal, as a tree digest."""
     return ledger.state_digest(_journal(spark, d))
 
 
+QUERIES["journal_state_digest"], ORACLES["journal_state_digest"] = journal_digest, ORDER_DIGEST
+
+
 @query(
-    f"WITH {KEYED}, opens AS (SELECT row_number() OVER (ORDER BY ordinal) AS lsn, account_id, kind FROM (SELECT DISTINCT user_id AS ordinal, 'user-' || user_id AS account_id, 'LIABILITY' AS kind FROM events UNION ALL SELECT 2000000000000, 'pool', 'ASSET')), "
-    f"posted AS (SELECT row_number() OVER (ORDER BY seq) + (SELECT count(*) FROM opens) AS lsn, *, sha256(unhex('50' || {TRANSFER_HEX})) AS fp FROM decided WHERE outcome = 'POSTED'), "
-    "moved AS (SELECT payer AS account_id, -amount AS m FROM posted UNION ALL SELECT 'pool', amount FROM posted), "
-    "folded AS (SELECT lsn, account_id, CAST(coalesce(sum(m), 0) AS BIGINT) AS b FROM opens LEFT JOIN moved USING (account_id) GROUP BY ALL), "
+    f"WITH {EVENTS}, "
     "rendered AS (SELECT 0 AS section, lsn, 'account(' || account_id || ',' || kind || ')' AS line FROM opens UNION ALL SELECT 1, lsn, 'opened:account(' || account_id || ',' || kind || ')' FROM opens "
     "UNION ALL SELECT 1, lsn, 'keyed:' || merchant || '/' || key || '/' || fp || '/' || now_ms || ':tx[DEBIT pool ' || amount || ';CREDIT ' || payer || ' ' || amount || ']' FROM posted "
     f"UNION ALL SELECT 2, lsn, account_id || '=' || b FROM folded), {TREE}"
@@ -439,10 +476,14 @@ def last_journal_lsn(spark, d):
     return _journal(spark, d).where("type <> 'RECOVERY_MARKER'").agg(F.coalesce(F.max("lsn"), F.lit(0)).cast("long").alias("last_lsn"))
 
 
-@query(f"WITH {JOURNAL}, l AS (SELECT lsn FROM opens UNION ALL SELECT lsn FROM posts) SELECT a.lsn FROM l a WHERE lsn % 50 = 1 AND lsn > 1")
+@query(
+    f"WITH {JOURNAL}, l AS (SELECT lsn FROM opens UNION ALL SELECT lsn FROM posts), kept AS (SELECT lsn FROM l WHERE lsn % 50 <> 0 UNION ALL SELECT lsn FROM l WHERE lsn % 77 = 3 AND lsn % 50 <> 0), "
+    "step AS (SELECT lsn, lsn - coalesce(lag(lsn) OVER (ORDER BY lsn), 0) AS step FROM kept) SELECT lsn, CASE WHEN step = 0 THEN 'REPEATED' ELSE 'GAP' END AS problem FROM step WHERE step <> 1"
+)
 def lsn_gaps(spark, d):
-    """Every fiftieth record is taken away: the record behind each hole is reported."""
-    return ledger.lsn_gaps(_journal(spark, d).where("lsn % 50 <> 0"))
+    """Every fiftieth record is taken away and some are repeated: the records behind each hole and the repeated ones are reported."""
+    kept = _journal(spark, d).where("lsn % 50 <> 0").select("lsn")
+    return ledger.lsn_gaps(kept.unionByName(kept.where("lsn % 77 = 3")))
 
 
 @query(f"WITH {JOURNAL}, l AS (SELECT lsn FROM opens UNION ALL SELECT lsn FROM posts) SELECT lsn % 2 = 0 AS forced, count(*) AS n_lost FROM l WHERE lsn % 7 = 0 GROUP BY 1")
@@ -463,11 +504,7 @@ def _frames(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {FRAMES} SELECT lsn, CAST(frame_length AS BIGINT) AS frame_length, CAST(16 + sum(frame_length) OVER (ORDER BY lsn) AS BIGINT) AS end_offset FROM frames")
 def frame_offsets(spark, d):
     """Ends of frames behind a 16-byte header: prefix sums within ranges of LSNs, plus the sums of the ranges before."""
-    ranged = _frames(spark, d).withColumn("range", F.floor(F.col("lsn") / 10_000))
-    before = ranged.groupBy("range").agg(F.sum("frame_length").alias("n"))
-    before = before.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    within = Window.partitionBy("range").orderBy("lsn")
-    return ranged.join(before, "range").select("lsn", "frame_length", (F.sum("frame_length").over(within) + F.col("base") + 16).cast("long").alias("end_offset"))
+    return ledger.frame_ends(_frames(spark, d))
 
 
 @query(f"WITH {FRAMES} SELECT count(*) AS frames, CAST(sum(frame_length) AS BIGINT) AS bytes, (count(*) + 63) // 64 AS groups, CAST(round(sum(frame_length) * 1.0 / (sum(frame_length) - 20 * count(*)) * 1000) AS BIGINT) AS per_mille FROM frames")
@@ -485,26 +522,19 @@ def _checkpoint_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select(key.alias("n"), name.alias("name"))
 
 
-@query(f"WITH {CHECKPOINTS} SELECT n, name, coalesce(TRY_CAST(nullif(regexp_extract(name, '^checkpoint-([0-9]{{19}})\\.lckp$', 1), '') AS BIGINT), -1) AS watermark FROM names")
+@query(f"WITH {CHECKPOINTS} SELECT n, name, coalesce(TRY_CAST(nullif(regexp_extract(name, '^checkpoint-([0-9]{{1,19}})\\.lckp$', 1), '') AS BIGINT), -1) AS watermark FROM names")
 def checkpoint_names(spark, d):
-    from ..sources.checkpoints import watermark_of
-
-    return _checkpoint_names(spark, d).select("n", "name", watermark_of(F.col("name")).alias("watermark"))
+    return _checkpoint_names(spark, d).select("n", "name", checkpoints.watermark_of(F.col("name")).alias("watermark"))
 
 
-@query(f"WITH {CHECKPOINTS}, w AS (SELECT n, TRY_CAST(nullif(regexp_extract(name, '^checkpoint-([0-9]{{19}})\\.lckp$', 1), '') AS BIGINT) AS watermark FROM names) SELECT watermark FROM w WHERE watermark IS NOT NULL ORDER BY watermark DESC LIMIT 2")
+@query(f"WITH {CHECKPOINTS}, w AS (SELECT n, TRY_CAST(nullif(regexp_extract(name, '^checkpoint-([0-9]{{1,19}})\\.lckp$', 1), '') AS BIGINT) AS watermark FROM names) SELECT watermark FROM w WHERE watermark IS NOT NULL ORDER BY watermark DESC LIMIT 2")
 def checkpoint_retention(spark, d):
     """The newest two checkpoints stay."""
-    from ..sources.checkpoints import watermark_of
-
-    return _checkpoint_names(spark, d).select(watermark_of(F.col("name")).alias("watermark")).where("watermark >= 0").orderBy(F.desc("watermark")).limit(2)
+    return _checkpoint_names(spark, d).select(checkpoints.watermark_of(F.col("name")).alias("watermark")).where("watermark >= 0").orderBy(F.desc("watermark")).limit(2)
 
 
 def _log(spark: SparkSession, d: str) -> DataFrame:
     """The whole order journal, written as log segments to the shared folder and read back."""
-    from ..session import shared_folder
-    from ..sources import wal
-
     folder = shared_folder(spark, "log")
     wal.write_segments(_journal(spark, d), folder).write.format("noop").mode("overwrite").save()
     return wal.read_wal(spark, folder)
@@ -518,8 +548,6 @@ SEGMENTS = f"{FRAMES}, segments AS (SELECT (lsn - 1) // 100000 AS segment, lsn,
     "CASE WHEN lsn IN (SELECT lsn FROM opens) THEN 1 ELSE 2 END AS type_code, CASE WHEN lsn IN (SELECT lsn FROM opens) THEN 'ACCOUNT_OPENED' ELSE 'POSTED' END AS type FROM segments"
 )
 def wal_frames(spark, d):
-    from ..sources import wal
-
     return wal.frames_of(_log(spark, d)).drop("file", "payload").withColumnRenamed("offset", "start_offset")
 
 
@@ -528,16 +556,18 @@ def wal_frames(spark, d):
     "max(lsn) AS last_lsn, 'CLEAN_EOF' AS tail, CAST(NULL AS VARCHAR) AS corruption, '' AS detail, CAST(0 AS BIGINT) AS truncated_bytes FROM segments GROUP BY segment"
 )
 def wal_report(spark, d):
-    from ..sources import wal
-
     return wal.report(_log(spark, d)).drop("file")
 
 
-@query()
+@query(
+    f"WITH {EVENTS} SELECT lsn, 'ACCOUNT_OPENED' AS type, account_id, kind, NULL AS merchant, NULL AS key, NULL AS fingerprint, CAST(NULL AS BIGINT) AS captured_at_ms, NULL AS entries, NULL AS corruption FROM opens "
+    "UNION ALL SELECT lsn, 'IDEMPOTENT_POSTING', NULL, NULL, merchant, key, fp, now_ms, 'DEBIT pool ' || amount || ', CREDIT ' || payer || ' ' || amount, NULL FROM posted"
+)
 def decoded_events(spark, d):
-    from ..sources import wal
-
-    return wal.decode_events(wal.frames_of(_log(spark, d)))
+    """Journal columns of every record of a log; entries as text."""
+    events = wal.decode_events(wal.frames_of(_keyed_log(spark, d, event_journal(spark, d))))
+    one = lambda e: F.concat_ws(" ", e["side"], e["account_id"], e["amount_minor"].cast("string"))
+    return events.withColumn("entries", F.array_join(F.transform("entries", one), ", "))
 
 
 @query(
@@ -546,8 +576,518 @@ def decoded_events(spark, d):
 )
 def recover(spark, d):
     """Balances folded from the log's segments."""
-    from ..sources import wal
-
     events = wal.decode_events(wal.frames_of(_log(spark, d)))
     found = events.where("type = 'ACCOUNT_OPENED'").select(F.col("lsn").alias("ordinal"), "account_id", "kind")
     return ledger.balances(found, ledger.journal_entries(events))
+
+
+# --- every rule of the audit, on a journal and indexes that break it --------------------------------------------------------------------
+
+#: How a keyed posting of the journal is broken, by its seq; 0: not at all.
+BREAK = "CASE WHEN {0} % 101 = 0 THEN 1 WHEN {0} % 103 = 0 THEN 2 WHEN {0} % 107 = 0 THEN 3 WHEN {0} % 109 = 0 THEN 4 WHEN {0} % 113 = 0 THEN 5 ELSE 0 END"
+#: Two restored accounts whose postings behind the snapshot don't fit 64 bits.
+WHALES = ("whale", "minnow")
+
+
+def _broken_ledger(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The arguments of ``audit``: the journal of keyed postings and its indexes, broken so that every rule has findings."""
+    good = cut(event_journal(spark, d), "journal")
+    accounts = _opened(good)
+    index, bound = ledger.balances(accounts, ledger.journal_entries(good)), ledger.bindings(good)
+    how = F.when(F.col("type") == "IDEMPOTENT_POSTING", F.expr(BREAK.format("seq"))).otherwise(0)
+    entry = lambda e, **new: F.struct(*[new.get(c, e[c]).alias(c) for c in ("account_id", "side", "amount_minor")])
+    debit = lambda e: e["side"] == "DEBIT"
+    entries = (
+        F.when(how == 1, F.slice("entries", 1, 1))
+        .when(how == 2, F.transform("entries", lambda e: entry(e, amount_minor=F.lit(0).cast("long"))))
+        .when(how == 3, F.transform("entries", lambda e: entry(e, account_id=F.when(debit(e), e["account_id"]).otherwise(F.concat(F.lit("ghost-"), F.col("seq"))))))
+        .when(how == 4, F.transform("entries", lambda e: entry(e, amount_minor=e["amount_minor"] + F.when(debit(e), 1).otherwise(0))))
+        .otherwise(F.col("entries"))
+    )
+    journal = good.withColumn("entries", entries)
+    again = journal.where("type = 'ACCOUNT_OPENED' and lsn % 13 = 0").withColumn("lsn", F.col("lsn") + 1_000_000_000)
+    rebound = journal.where(how == 5).withColumn("lsn", F.col("lsn") + 2_000_000_000)
+    huge = spark.range(2).select((F.lit(3_000_000_000) + F.col("id")).alias("lsn"), F.lit(None).cast("long").alias("seq"), F.lit("POSTED").alias("type"), *[F.lit(None).cast(k).alias(c) for c, k in (("account_id", "string"), ("kind", "string"), ("merchant", "string"), ("key", "string"), ("fingerprint", "string"), ("captured_at_ms", "long"))], transactions.transfer(F.lit(WHALES[1]), F.lit(WHALES[0]), F.lit(money.MAX_MINOR)).alias("entries"))
+    base = spark.range(2).select(F.when(F.col("id") == 0, WHALES[0]).otherwise(WHALES[1]).alias("account_id"), F.lit("ASSET").alias("kind"), F.lit(0).cast("long").alias("balance_minor"))
+    known = accounts.withColumn("kind", F.when(F.col("account_id").rlike("^user-[0-9]*7$"), "EQUITY").otherwise(F.col("kind"))).select("account_id", "kind")
+    off = index.withColumn("balance_minor", F.col("balance_minor") + F.when(F.col("account_id").rlike("^user-[0-9]*9$"), 1).otherwise(0)).select("account_id", "balance_minor")
+    changed = bound.withColumn("fingerprint", F.when(F.col("response_lsn") % 127 == 0, F.lit("00" * 32)).otherwise(F.col("fingerprint")))
+    return {
+        "journal": journal.unionByName(again).unionByName(rebound).unionByName(huge),
+        "accounts": known.unionByName(base.select("account_id", "kind")),
+        "indexed": off.unionByName(base.select("account_id", "balance_minor")),
+        "bound": changed,
+        "base": base,
+    }
+
+
+BROKEN = (
+    f"{EVENTS}, b AS (SELECT *, {BREAK.format('seq')} AS how FROM posted), "
+    "moves AS (SELECT 'pool' AS account_id, CASE how WHEN 2 THEN 0 WHEN 4 THEN amount + 1 WHEN 5 THEN 2 * amount ELSE amount END AS m FROM b "
+    "UNION ALL SELECT CASE how WHEN 3 THEN 'ghost-' || seq ELSE payer END, CASE how WHEN 2 THEN 0 WHEN 5 THEN -2 * amount ELSE -amount END FROM b WHERE how <> 1), "
+    "refolded AS (SELECT folded.account_id, b AS good, coalesce(sum(m), 0) AS f FROM folded LEFT JOIN moves USING (account_id) GROUP BY ALL), "
+    "nines AS (SELECT count(*) AS n FROM opens WHERE regexp_full_match(account_id, 'user-[0-9]*9'))"
+)
+
+
+@query(
+    f"WITH {BROKEN} SELECT 'ACCOUNT_OPENED_TWICE' AS rule, account_id AS subject FROM opens WHERE lsn % 13 = 0 UNION ALL SELECT 'TOO_FEW_ENTRIES', CAST(lsn AS VARCHAR) FROM b WHERE how = 1 "
+    "UNION ALL SELECT 'AMOUNT_NOT_POSITIVE', CAST(lsn AS VARCHAR) FROM b WHERE how = 2 UNION ALL SELECT 'UNKNOWN_ACCOUNT', 'ghost-' || seq FROM b WHERE how = 3 "
+    "UNION ALL SELECT 'UNBALANCED', CAST(lsn AS VARCHAR) FROM b WHERE how IN (1, 4) UNION ALL SELECT 'KEY_BOUND_TWICE', merchant || '/' || key FROM b WHERE how = 5 "
+    "UNION ALL SELECT 'ACCOUNT_INDEX', account_id FROM opens WHERE regexp_full_match(account_id, 'user-[0-9]*7') "
+    "UNION ALL SELECT 'BALANCE_INDEX', account_id FROM refolded WHERE f <> good + CASE WHEN regexp_full_match(account_id, 'user-[0-9]*9') THEN 1 ELSE 0 END "
+    "UNION ALL SELECT 'BALANCE_INDEX', w FROM (VALUES ('whale'), ('minnow')) t(w) UNION ALL SELECT 'BALANCE_OVERFLOW', w FROM (VALUES ('whale'), ('minnow')) t(w) "
+    "UNION ALL SELECT 'BINDING_INDEX', merchant || '/' || key FROM b WHERE lsn % 127 = 0 UNION ALL SELECT 'TOTAL_NOT_ZERO', 'TOTAL' FROM nines WHERE n > 0"
+)
+def audit_rules(spark, d):
+    """A ledger in which each of the eleven rules is broken."""
+    return audit.audit(**_broken_ledger(spark, d))
+
+
+@query(
+    f"WITH {BROKEN} SELECT lsn + 1000000000 AS lsn, 'DUPLICATE_ACCOUNT' AS rule FROM opens WHERE lsn % 13 = 0 UNION ALL SELECT lsn + 2000000000, 'DUPLICATE_BINDING' FROM b WHERE how = 5 "
+    "UNION ALL SELECT lsn, CASE how WHEN 1 THEN 'TOO_FEW_ENTRIES' WHEN 2 THEN 'AMOUNT_NOT_POSITIVE' WHEN 3 THEN 'UNKNOWN_ACCOUNT' ELSE 'UNBALANCED' END FROM b WHERE how BETWEEN 1 AND 4 "
+    "UNION ALL SELECT 3000000001, 'OVERFLOWING_BALANCE'"
+)
+def replay_refusals(spark, d):
+    """The records of that ledger's journal that a replay refuses, each with the rule; two accounts come from a snapshot."""
+    broken = _broken_ledger(spark, d)
+    return audit.replay_violations(broken["journal"], broken["base"])
+
+
+# --- overflowing postings, refused keyed postings, dry runs, and going on from a state ---------------------------------------------------
+
+HALF = 2**62 - 1
+
+
+@query(
+    f"WITH e AS (SELECT event_id AS seq, user_id, event_id % 5 = 0 AS double FROM events), n AS (SELECT *, count(*) FILTER (NOT double) OVER (PARTITION BY user_id ORDER BY seq) AS n FROM e) "
+    "SELECT seq, CASE WHEN double OR n > 2 THEN 'REJECTED' ELSE 'POSTED' END AS outcome, CASE WHEN double THEN 'OVERFLOWING_TOTALS' WHEN n > 2 THEN 'OVERFLOWING_BALANCE' END AS reason FROM n"
+)
+def overflow_outcomes(spark, d):
+    """Postings of almost 2^62 between two accounts a user: two of them fit. Each fifth has totals that don't fit."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("seq"), "user_id")
+    name = lambda kind: F.concat(F.lit(kind), F.col("user_id"))
+    null = lambda kind: F.lit(None).cast(kind)
+    one = transactions.transfer(name("down-"), name("up-"), F.lit(HALF))
+    two = F.concat(transactions.transfer(name("down-"), name("up-"), F.lit(money.MAX_MINOR)), transactions.transfer(name("down-"), name("up-"), F.lit(money.MAX_MINOR)))
+    rest = [null("string").alias("merchant"), null("string").alias("key"), null("long").alias("now_ms")]
+    posts = e.select("seq", F.lit("POST").alias("op"), null("string").alias("account_id"), null("string").alias("kind"), *rest, F.when(F.col("seq") % 5 == 0, two).otherwise(one).alias("entries"))
+    users = e.select("user_id").distinct()
+    opens = users.select((F.col("user_id") * 2 - 2 * derive.EQUITY).alias("seq"), name("up-").alias("account_id")).unionByName(users.select((F.col("user_id") * 2 + 1 - 2 * derive.EQUITY).alias("seq"), name("down-").alias("account_id")))
+    opens = opens.select("seq", F.lit("OPEN").alias("op"), "account_id", F.lit("ASSET").alias("kind"), *rest, null(transactions.ENTRY).alias("entries"))
+    return admission.classify(opens.unionByName(posts)).where("op = 'POST'").select("seq", "outcome", "reason")
+
+
+def _some_bad_keyed(spark: SparkSession, d: str) -> DataFrame:
+    """The keyed attempts, some with amounts of zero, some with an account that nobody opened."""
+    amount = lambda e: F.when(F.col("seq") % 11 == 0, F.lit(0).cast("long")).otherwise(e["amount_minor"]).alias("amount_minor")
+    account = lambda e: F.when((F.col("seq") % 13 == 0) & (e["side"] == "CREDIT"), "nobody").otherwise(e["account_id"]).alias("account_id")
+    return derive.keyed_attempts(spark, d).withColumn("entries", F.transform("entries", lambda e: F.struct(account(e), e["side"].alias("side"), amount(e))))
+
+
+@query(
+    f"WITH {KEYED}, v AS (SELECT seq, merchant, key, now_ms, amount, seq % 13 = 0 AS stray, CASE WHEN seq % 11 = 0 THEN 'UNCONSTRUCTIBLE' WHEN seq % 13 = 0 THEN 'UNKNOWN_ACCOUNT' END AS reason FROM keyed), "
+    "f AS (SELECT merchant, key, min(seq) FILTER (reason IS NULL) AS b FROM v GROUP BY ALL), "
+    "j AS (SELECT v.*, b.seq AS binder, v.amount = b.amount AND NOT v.stray AS same, v.now_ms - b.now_ms AS age FROM v JOIN f USING (merchant, key) LEFT JOIN v b ON b.seq = f.b AND b.seq < v.seq), "
+    "o AS (SELECT *, CASE WHEN reason = 'UNCONSTRUCTIBLE' THEN reason WHEN binder IS NOT NULL AND NOT same THEN 'CONFLICT' WHEN binder IS NOT NULL AND age < 86400000 THEN 'REPLAYED' WHEN binder IS NOT NULL THEN 'EXPIRED' "
+    "WHEN reason IS NULL THEN 'POSTED' ELSE 'REJECTED' END AS outcome FROM j) "
+    "SELECT seq, outcome, CASE WHEN outcome IN ('REJECTED', 'UNCONSTRUCTIBLE') THEN reason END AS reason, CASE outcome WHEN 'POSTED' THEN seq WHEN 'REJECTED' THEN NULL WHEN 'UNCONSTRUCTIBLE' THEN NULL ELSE binder END AS bound_seq FROM o"
+)
+def keyed_rejections(spark, d):
+    """A refused attempt leaves its key free; behind a binding, even an invalid body is only compared with the bound one."""
+    opens = derive.event_attempts(spark, d).where("op = 'OPEN'")
+    return admission.classify(opens.unionByName(_some_bad_keyed(spark, d))).where("op = 'POST_KEYED'").select("seq", "outcome", "reason", "bound_seq")
+
+
+@query(
+    f"WITH {VERDICTS}, over AS (SELECT DISTINCT seq FROM bad JOIN customer ON account_id = 'cust-' || c_custkey WHERE c_custkey % 3 = 0 AND side = 'DEBIT' AND amount_minor > 5000000) "
+    "SELECT seq, CASE WHEN reason IS NULL AND seq IN (SELECT seq FROM over) THEN 'OVERFLOWING_BALANCE' ELSE reason END AS reason FROM verdicts"
+)
+def check_transactions(spark, d):
+    """Each posting by itself against a ledger in which every third customer can take 50,000.00 more."""
+    posts = transactions.nest(derive.order_entries(spark, d, bad=True))
+    full = F.col("account_id").startswith("cust-") & (F.substring("account_id", 6, 20).cast("long") % 3 == 0)
+    held = derive.accounts(spark, d).select("account_id", F.when(full, F.lit(money.MAX_MINOR - 5_000_000)).otherwise(0).cast("long").alias("balance_minor"))
+    return admission.check(posts, held, held)
+
+
+def _first_half(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, int]:
+    attempts = derive.event_attempts(spark, d)
+    middle = table(spark, d, "events").agg(F.max("event_id")).first()[0] // 2
+    return attempts, cut(ledger.journal_from(admission.decide(attempts.where(F.col("seq") <= middle))), "journal"), middle
+
+
+@query(f"WITH {KEYED}, k AS (SELECT max(event_id) // 2 AS k FROM events) SELECT seq, outcome, binder_seq AS bound_seq FROM decided, k WHERE seq > k")
+def continued_outcomes(spark, d):
+    """The second half of the keyed attempts, from the accounts, balances and bindings that the first half left."""
+    attempts, journal, middle = _first_half(spark, d)
+    bound = ledger.bindings(journal).join(journal.select(F.col("lsn").alias("response_lsn"), F.col("seq").alias("bound_seq")), "response_lsn")
+    state = admission.State(_opened(journal), ledger.balances(_opened(journal), ledger.journal_entries(journal)), bound)
+    return admission.classify(attempts.where(F.col("seq") > middle), state=state).select("seq", "outcome", "bound_seq")
+
+
+@query(f"WITH {EVENTS} SELECT merchant, key, fp AS fingerprint, lsn AS response_lsn, now_ms AS captured_at_ms FROM posted")
+def restored_bindings(spark, d):
+    """The bindings of a snapshot in the middle, and those of the journal behind it."""
+    journal = cut(event_journal(spark, d), "journal")
+    middle = journal.agg(F.max("lsn")).first()[0] // 2
+    return ledger.bindings(journal.where(F.col("lsn") > middle), ledger.bindings(journal.where(F.col("lsn") <= middle)))
+
+
+@query(f"WITH {EVENTS} SELECT lsn AS ordinal, account_id, kind, b AS balance_minor, CASE WHEN kind = 'ASSET' THEN b >= 0 ELSE b <= 0 END AS is_natural FROM folded")
+def restored_balances(spark, d):
+    """Accounts and balances of a snapshot between two openings, and what the journal behind it opens and moves."""
+    journal = cut(event_journal(spark, d), "journal")
+    middle = journal.where("type = 'ACCOUNT_OPENED'").agg(F.max("lsn")).first()[0] // 2
+    old, tail = journal.where(F.col("lsn") <= middle), journal.where(F.col("lsn") > middle)
+    base = ledger.balances(_opened(old), ledger.journal_entries(old))
+    found = ledger.restored_accounts(base, tail)
+    numbers = F.when(F.col("ordinal") > middle, F.col("ordinal") - middle).otherwise(F.col("ordinal"))
+    return ledger.balances(found, ledger.journal_entries(tail), base).withColumn("ordinal", numbers)
+
+
+# --- micro-batches ---------------------------------------------------------------------------------------------------------------------
+
+
+def _ingested(spark: SparkSession, d: str) -> str:
+    """The folder into which the keyed attempts went in three batches."""
+    folder = shared_folder(spark, "ingest")
+    attempts = derive.event_attempts(spark, d)
+    last = table(spark, d, "events").agg(F.max("event_id")).first()[0]
+    for batch in range(3):
+        edges = [None, last // 3, last * 2 // 3, None]
+        rows = attempts if batch == 0 else attempts.where(F.col("seq") > edges[batch])
+        rows = rows if batch == 2 else rows.where(F.col("seq") <= edges[batch + 1])
+        ingest.commit_batch(rows, batch, folder, every=2)
+    return folder
+
+
+@query(f"WITH {KEYED} SELECT seq, outcome, binder_seq AS bound_seq FROM decided")
+def ingest_outcomes(spark, d):
+    """The outcomes of three micro-batches, each decided from the state that those before it left."""
+    return spark.read.schema(ingest.OUTCOMES).parquet(_ingested(spark, d) + "/outcomes").where("op = 'POST_KEYED'").select("seq", "outcome", "bound_seq")
+
+
+@query(
+    f"WITH {EVENTS} SELECT lsn, CAST(22 + length(account_id) AS BIGINT) AS frame_length, true AS forced, sha256(unhex(CASE kind WHEN 'ASSET' THEN '00' ELSE '01' END || {_ID.format('account_id')})) AS digest FROM opens "
+    f"UNION ALL SELECT lsn, CAST(20 + 2 + length(merchant) + length(key) + 40 + 2 + 2 * 10 + 4 + length(payer) AS BIGINT), true, sha256(unhex({_ID.format('merchant')} || {_ID.format('key')} || {_hex('now_ms', 16)} || fp || {TRANSFER_HEX})) FROM posted"
+)
+def ingest_acks(spark, d):
+    """An ack for every record that the batches appended."""
+    return spark.read.schema(ingest.ACKS).parquet(_ingested(spark, d) + "/acks").drop("seq", "batch")
+
+
+@query(
+    f"WITH {EVENTS}, f AS (SELECT 22 + length(account_id) AS n FROM opens UNION ALL SELECT 84 + 4 + length(merchant) + length(key) + length(payer) FROM posted), n AS (SELECT count(*) AS e FROM events) "
+    "SELECT CAST(3 AS BIGINT) AS groups, (SELECT count(*) FROM opens) + (SELECT count(*) FROM events) AS attempts, count(*) AS frames, CAST(sum(n) AS BIGINT) AS bytes FROM f"
+)
+def ingest_stats(spark, d):
+    return ingest.stats(spark, _ingested(spark, d))
+
+
+# --- damaged logs, repair, findings, acks ------------------------------------------------------------------------------------------------
+
+#: What happens to a segment of the log, by its number; m is a record in its middle.
+DAMAGES = (
+    "NONE", "CUT_FRAME", "CUT_HEADER", "EMPTIED", "CUT_SEGMENT_HEADER", "BAD_LENGTH", "FLIPPED_BIT", "OTHER_LSN", "RESERVED_BYTE", "UNKNOWN_TYPE", "FUTURE_VERSION", "SHORT_MARKER", "OLD_VERSION", "HEADER_FIELD", "PAYLOAD_LENGTH",
+)
+SMALL = 200
+
+
+def _damage(how: str, raw: bytes, at: int) -> bytes:
+    """The segment with damage at the frame that begins at ``at``; changed frames get their checksum anew, so that only the change is found."""
+    size = int.from_bytes(raw[at : at + 4])
+    body, rest = bytearray(raw[at : at + size]), raw[at + size :]
+    sealed = lambda b: bytes(b[:-4]) + codec.crc32c(bytes(b[:-4])).to_bytes(4)
+    header = lambda version, size=16: (head := raw[:4] + bytes([version, 0]) + size.to_bytes(2) + bytes(4)) + codec.crc32c(head).to_bytes(4)
+    if how == "CUT_FRAME":
+        return raw[: at + size - 1]
+    if how == "CUT_HEADER":
+        return raw[: at + 8]
+    if how == "EMPTIED":
+        return b""
+    if how == "CUT_SEGMENT_HEADER":
+        return raw[:10]
+    if how == "BAD_LENGTH":
+        body[:4] = (5).to_bytes(4)
+        return raw[:at] + bytes(body) + rest
+    if how == "PAYLOAD_LENGTH":
+        body[14:16] = (size - 21).to_bytes(2)
+        return raw[:at] + sealed(body) + rest
+    if how == "FLIPPED_BIT":
+        body[-5] ^= 1
+        return raw[:at] + bytes(body) + rest
+    if how == "OTHER_LSN":
+        body[4:12] = (int.from_bytes(body[4:12]) + 1).to_bytes(8)
+        return raw[:at] + sealed(body) + rest
+    if how == "RESERVED_BYTE":
+        body[13] = 1
+        return raw[:at] + sealed(body) + rest
+    if how == "UNKNOWN_TYPE":
+        body[12] = 0x7F
+        return raw[:at] + sealed(body) + rest
+    if how == "SHORT_MARKER":
+        body[12] = codec.RECORD_TYPES["RECOVERY_MARKER"]
+        return raw[:at] + sealed(body) + rest
+    if how == "FUTURE_VERSION":
+        return header(3) + raw[16:]
+    if how == "HEADER_FIELD":
+        return header(2, 17) + raw[16:]
+    if how == "OLD_VERSION":
+        return header(1) + raw[16:]
+    return raw
+
+
+def _damaged_files(spark: SparkSession, d: str) -> DataFrame:
+    """Segments (path, content) of the journal of keyed postings, each damaged in its own way at the first record of its second half."""
+    folder = shared_folder(spark, "log")
+    wal.write_segments(event_journal(spark, d), folder, SMALL).write.format("noop").mode("overwrite").save()
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wal").load(folder).select("path", "content")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for path, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                at = 16
+                for _ in range(SMALL // 2):
+                    step = int.from_bytes(raw[at : at + 4])
+                    if at + step >= len(raw):
+                        break
+                    at += step
+                out.append(_damage(DAMAGES[(wal.first_lsn(path) // SMALL) % len(DAMAGES)], raw, at))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(out, pa.binary())], ["path", "content"])
+
+    return files.mapInArrow(run, "path string, content binary")
+
+
+_PAYLOAD = "CASE WHEN kind IS NULL THEN 84 + 4 + length(merchant) + length(key) + length(payer) ELSE 22 + length(account_id) END"
+#: Segments (s), what happens to each, the first record m of its second half, and what is before it.
+SEGMENTED = (
+    f"{EVENTS}, records AS (SELECT lsn, account_id, kind, NULL AS merchant, NULL AS key, NULL AS payer FROM opens UNION ALL SELECT lsn, NULL, NULL, merchant, key, payer FROM posted), "
+    f"f AS (SELECT lsn, (lsn - 1) // {SMALL} AS s, {_PAYLOAD} AS n, kind IS NULL AS keyed FROM records), "
+    f"g AS (SELECT s, (s * {SMALL} + 1) // {SMALL} % {len(DAMAGES)} AS d, least(s * {SMALL} + 1 + {SMALL // 2}, max(lsn)) AS m, max(lsn) AS most, sum(n) AS bytes, min(lsn) FILTER (keyed) AS k FROM f GROUP BY s), "
+    "before AS (SELECT g.*, coalesce((SELECT sum(n) FROM f WHERE f.s = g.s AND lsn < m), 0) AS half, coalesce((SELECT sum(n) FROM f WHERE f.s = g.s AND lsn < k), 0) AS old, (SELECT n FROM f WHERE lsn = m) AS own FROM g), "
+    f"dealt AS (SELECT *, [{', '.join(repr(x) for x in DAMAGES)}][d + 1] AS how FROM before), "
+    "seen AS (SELECT *, CASE how WHEN 'CUT_FRAME' THEN 'SHORT_FRAME' WHEN 'CUT_HEADER' THEN 'SHORT_FRAME_HEADER' WHEN 'EMPTIED' THEN 'EMPTY_FILE' WHEN 'BAD_LENGTH' THEN 'BAD_FRAME_LENGTH' WHEN 'PAYLOAD_LENGTH' THEN 'BAD_FRAME_LENGTH' "
+    "WHEN 'FLIPPED_BIT' THEN 'CRC_MISMATCH' WHEN 'OTHER_LSN' THEN 'LSN_MISMATCH' WHEN 'RESERVED_BYTE' THEN 'CRC_MISMATCH' WHEN 'NONE' THEN 'CLEAN_EOF' WHEN 'OLD_VERSION' THEN CASE WHEN k IS NULL THEN 'CLEAN_EOF' END END AS tail, "
+    "CASE WHEN how IN ('CUT_SEGMENT_HEADER', 'FUTURE_VERSION', 'HEADER_FIELD') THEN 'BAD_SEGMENT_HEADER' WHEN how = 'UNKNOWN_TYPE' OR how = 'OLD_VERSION' AND k IS NOT NULL THEN 'UNKNOWN_RECORD_TYPE' WHEN how = 'SHORT_MARKER' THEN 'PAYLOAD_MALFORMED' END AS corruption, "
+    f"CASE WHEN how IN ('EMPTIED', 'CUT_SEGMENT_HEADER', 'FUTURE_VERSION', 'HEADER_FIELD') THEN 0 WHEN how = 'NONE' OR how = 'OLD_VERSION' AND k IS NULL THEN most - s * {SMALL} WHEN how = 'OLD_VERSION' THEN k - s * {SMALL} - 1 ELSE m - s * {SMALL} - 1 END AS kept, "
+    "CASE WHEN how IN ('EMPTIED', 'CUT_SEGMENT_HEADER', 'FUTURE_VERSION', 'HEADER_FIELD') THEN 0 WHEN how = 'NONE' OR how = 'OLD_VERSION' AND k IS NULL THEN 16 + bytes WHEN how = 'OLD_VERSION' THEN 16 + old ELSE 16 + half END AS clean, "
+    "CASE how WHEN 'EMPTIED' THEN 0 WHEN 'CUT_SEGMENT_HEADER' THEN 10 WHEN 'CUT_FRAME' THEN 16 + half + own - 1 WHEN 'CUT_HEADER' THEN 16 + half + 8 ELSE 16 + bytes END AS size FROM dealt)"
+)
+
+
+@query(
+    f"WITH {SEGMENTED} SELECT CAST(s AS BIGINT) AS segment, CAST(size AS BIGINT) AS file_bytes, CAST(clean AS BIGINT) AS clean_bytes, CAST(size - clean AS BIGINT) AS truncated_bytes, CAST(kept AS BIGINT) AS frames, CAST(0 AS BIGINT) AS markers, "
+    "coalesce(tail IN ('SHORT_FRAME', 'SHORT_FRAME_HEADER', 'BAD_FRAME_LENGTH', 'CRC_MISMATCH', 'LSN_MISMATCH'), false) AS torn, tail, corruption FROM seen"
+)
+def wal_damage(spark, d):
+    """The report of a log of which nearly every segment is damaged, in all ways that a reader tells apart."""
+    found = wal.report(wal.frames_in(_damaged_files(spark, d)))
+    segment = (F.regexp_extract("file", r"segment-([0-9]{19})", 1).cast("long") / SMALL).cast("long")
+    return found.select(segment.alias("segment"), "file_bytes", "clean_bytes", "truncated_bytes", "frames", "markers", F.coalesce(wal.is_tear(F.col("tail")), F.lit(False)).alias("torn"), "tail", "corruption")
+
+
+@query(
+    f"WITH {SEGMENTED} SELECT CAST(s * {SMALL} + kept + 1 AS BIGINT) AS lsn, tail AS reason, CAST(size - clean AS BIGINT) AS bytes_dropped, CAST(kept AS BIGINT) AS frames_kept, CAST(s * {SMALL} + kept AS BIGINT) AS last_lsn FROM seen "
+    "WHERE tail NOT IN ('CLEAN_EOF', 'EMPTY_FILE')"
+)
+def wal_repair(spark, d):
+    """The markers in the repaired segments of that log, which are clean now; corrupt ones are refused."""
+    fixed = wal.repaired(_damaged_files(spark, d)).where("content is not null").select(F.col("name").alias("path"), "content")
+    found = cut(wal.frames_in(fixed), "repaired")
+    torn = found.where(wal.is_tear(F.col("tail")) | F.col("corruption").isNotNull()).select(F.raise_error(F.lit("a repaired segment is torn")).cast("long").alias("lsn"))
+    return wal.markers(wal.frames_of(found)).unionByName(torn, allowMissingColumns=True)
+
+
+@query(f"WITH {SEGMENTED} SELECT CAST(s * {SMALL} + kept + 1 AS BIGINT) AS lsn, tail AS reason, CAST(kept AS BIGINT) AS frames_kept FROM seen WHERE tail NOT IN ('CLEAN_EOF', 'EMPTY_FILE') ORDER BY s DESC LIMIT 1")
+def last_marker(spark, d):
+    fixed = wal.repaired(_damaged_files(spark, d)).where("content is not null").select(F.col("name").alias("path"), "content")
+    return wal.last_marker(wal.frames_of(wal.frames_in(fixed))).select("lsn", "reason", "frames_kept")
+
+
+def _keyed_log(spark: SparkSession, d: str, journal: DataFrame) -> DataFrame:
+    folder = shared_folder(spark, "log")
+    wal.write_segments(journal, folder).write.format("noop").mode("overwrite").save()
+    return wal.read_wal(spark, folder)
+
+
+@query(
+    f"WITH {BROKEN} SELECT lsn, CASE how WHEN 2 THEN 'PAYLOAD_MALFORMED' ELSE 'DOMAIN_REJECTED' END AS corruption, CASE how WHEN 1 THEN 'TOO_FEW_ENTRIES' WHEN 2 THEN '' WHEN 3 THEN 'UNKNOWN_ACCOUNT' ELSE 'UNBALANCED' END AS detail FROM b WHERE how BETWEEN 1 AND 4"
+)
+def log_findings(spark, d):
+    """The records of a whole, well-framed log for which it is refused: payloads that don't decode, and postings that the domain rejects."""
+    journal = _broken_ledger(spark, d)["journal"].where("lsn < 1000000000")
+    return wal.findings(_keyed_log(spark, d, journal)).select("lsn", "corruption", "detail")
+
+
+@query(
+    f"WITH {EVENTS}, l AS (SELECT lsn, false AS keyed FROM opens UNION ALL SELECT lsn, true FROM posted) SELECT lsn, lsn % 2 = 0 AS forced, CASE WHEN lsn % 7 = 0 THEN 'LOST' WHEN lsn % 11 = 0 THEN 'NOT_AN_EVENT' ELSE 'OTHER_BYTES' END AS problem "
+    "FROM l WHERE lsn % 7 = 0 OR lsn % 11 = 0 OR keyed AND lsn % 13 = 0"
+)
+def ack_reconciliation(spark, d):
+    """Acks of a whole log against a log that lost some records, has markers in place of others, and other bytes in others."""
+    found = _keyed_log(spark, d, event_journal(spark, d))
+    acks = wal.acks(found).withColumn("forced", F.col("lsn") % 2 == 0)
+    frames = wal.frames_of(found).where("lsn % 7 <> 0")
+    frames = frames.withColumn("type", F.when(F.col("lsn") % 11 == 0, "RECOVERY_MARKER").otherwise(F.col("type")))
+    other = (F.col("type") == "IDEMPOTENT_POSTING") & (F.col("lsn") % 13 == 0)
+    return ledger.reconcile(acks, frames.withColumn("payload", F.when(other, F.unhex(F.lit("00"))).otherwise(F.col("payload"))))
+
+
+@query(
+    f"WITH {EVENTS}, f AS (SELECT lsn, 22 + length(account_id) AS n FROM opens UNION ALL SELECT lsn, 84 + 4 + length(merchant) + length(key) + length(payer) FROM posted) "
+    "SELECT lsn, CAST(n AS INTEGER) AS frame_length, CAST(16 + sum(n) OVER (PARTITION BY (lsn - 1) // 100000 ORDER BY lsn) AS BIGINT) AS end_offset, lsn <= 100 AS forced FROM f"
+)
+def log_acks(spark, d):
+    return wal.acks(_keyed_log(spark, d, event_journal(spark, d)), durable_through=100).select("lsn", "frame_length", "end_offset", "forced")
+
+
+# --- checkpoints -------------------------------------------------------------------------------------------------------------------------
+
+
+def _durable(spark: SparkSession, d: str) -> tuple[str, str, DataFrame]:
+    """Folders of a log of the keyed postings (one segment for each 100,000 records) and of its checkpoints, and the checkpoints as they are read."""
+    log, folder = shared_folder(spark, "log"), shared_folder(spark, "checkpoints")
+    journal = cut(event_journal(spark, d), "journal")
+    last = journal.agg(F.max("lsn")).first()[0]
+    wal.write_segments(journal, log).write.format("noop").mode("overwrite").save()
+    for k in (1, 2, 3):
+        durable.checkpoint(spark, log, folder, last * k // 4)
+    return log, folder, journal
+
+
+AT = "(SELECT (SELECT count(*) FROM opens) + (SELECT count(*) FROM posted) AS n)"
+STATES = (
+    f"{EVENTS}, marks AS (SELECT k, n * k // 4 AS w FROM {AT}, (VALUES (2), (3)) t(k)), "
+    f"f AS (SELECT lsn, 22 + length(account_id) AS n FROM opens UNION ALL SELECT lsn, 84 + 4 + length(merchant) + length(key) + length(payer) FROM posted), "
+    "moves AS (SELECT lsn, payer AS account_id, -amount AS m FROM posted UNION ALL SELECT lsn, 'pool', amount FROM posted), "
+    "a AS (SELECT w, opens.lsn, account_id, kind, CAST(coalesce((SELECT sum(m) FROM moves WHERE moves.account_id = opens.account_id AND moves.lsn <= w), 0) AS BIGINT) AS b FROM opens, marks WHERE opens.lsn <= w), "
+    f"s AS (SELECT w, count(*) AS n, string_agg({ACCOUNT_HEX}, '' ORDER BY lsn) AS h FROM a GROUP BY w), "
+    f"t AS (SELECT w, count(p.lsn) AS m, coalesce(string_agg({_ID.format('merchant')} || {_ID.format('key')} || fp || {_hex('p.lsn', 16)}, '' ORDER BY p.lsn), '') AS g FROM marks LEFT JOIN posted p ON p.lsn <= w GROUP BY w), "
+    f"states AS (SELECT w, sha256(unhex({_state_hex('w')})) AS state_hash, (SELECT 16 + 16 * ((w - 1) // 100000) + sum(f.n) FROM f WHERE lsn <= w) AS covered FROM s JOIN t USING (w))"
+)
+
+
+@query(f"WITH {STATES} SELECT w AS watermark, CAST(covered AS BIGINT) AS covered_bytes, state_hash, CAST(NULL AS VARCHAR) AS refusal FROM states")
+def checkpoint_files(spark, d):
+    """The checkpoints at the second and third quarter of the log; that at the first was deleted when the third was written."""
+    log, folder, _ = _durable(spark, d)
+    return checkpoints.verified(spark, log, folder, wal.read_wal(spark, log)).select("watermark", "covered_bytes", "state_hash", "refusal")
+
+
+@query(f"WITH {STATES} SELECT w AS watermark, state_hash FROM states ORDER BY w DESC LIMIT 1")
+def checkpoint_load(spark, d):
+    """The newest checkpoint that verifies against the log."""
+    log, folder, _ = _durable(spark, d)
+    return checkpoints.newest_valid(checkpoints.verified(spark, log, folder, wal.read_wal(spark, log))).select("watermark", "state_hash")
+
+
+@query(f"WITH {STATES} SELECT w AS watermark, row_number() OVER (PARTITION BY w ORDER BY lsn) AS ordinal, account_id, kind, b AS balance_minor FROM a WHERE w = (SELECT max(w) FROM marks)")
+def checkpoint_state(spark, d):
+    """The accounts in the newest checkpoint's state."""
+    log, folder, _ = _durable(spark, d)
+    chosen = checkpoints.newest_valid(checkpoints.read_checkpoints(spark, folder))
+    return checkpoints.accounts_in(chosen).join(F.broadcast(chosen.select("watermark"))).select("watermark", "ordinal", "account_id", "kind", "balance_minor")
+
+
+def _spoiled(name: str, raw: bytes, why: str) -> tuple[str, bytes | None]:
+    """A checkpoint file that is refused for ``why``."""
+    sealed = lambda b: bytes(b[:-4]) + codec.crc32c(bytes(b[:-4])).to_bytes(4)
+    state_size, timing_size = int.from_bytes(raw[32:36]), int.from_bytes(raw[36:40])
+    state, timing = raw[72 : 72 + state_size], raw[72 + state_size : 72 + state_size + timing_size]
+    again = lambda s, t, w=int.from_bytes(raw[16:24]), c=int.from_bytes(raw[24:32]), digest=raw[40:72]: checkpoints.encode_checkpoint(s, w, c, digest, [int.from_bytes(t[k : k + 8], signed=True) for k in range(0, len(t), 8)])
+    if why == "BAD_MAGIC":
+        return name, b"XXXX" + raw[4:]
+    if why == "BAD_HEADER":
+        return name, sealed(raw[:4] + b"\x01" + raw[5:])
+    if why == "LENGTH_MISMATCH":
+        return name, raw + b"x"
+    if why == "CRC_MISMATCH":
+        return name, raw[:-1] + bytes([raw[-1] ^ 1])
+    if why == "STATE_DIGEST_MISMATCH":
+        return name, sealed(raw[:-36] + bytes(36))
+    if why == "STATE_MALFORMED":
+        return name, again(state + b"x", timing)
+    if why == "NAME_MISMATCH":
+        return checkpoints.name_for(int.from_bytes(raw[16:24]) + 1), raw
+    if why == "TIMING_MISMATCH":
+        return name, again(state, timing + bytes(8))
+    if why == "COVERAGE_GONE":
+        return name, again(state, timing, c=int.from_bytes(raw[24:32]) + 1)
+    if why == "WAL_DIGEST_MISMATCH":
+        return name, again(state, timing, digest=bytes(32))
+    return name, None if why == "UNREADABLE" else raw
+
+
+REFUSALS = ("BAD_MAGIC", "BAD_HEADER", "LENGTH_MISMATCH", "CRC_MISMATCH", "STATE_DIGEST_MISMATCH", "STATE_MALFORMED", "NAME_MISMATCH", "COVERAGE_GONE", "WAL_DIGEST_MISMATCH", "TIMING_MISMATCH", "UNREADABLE")
+
+
+@query(f"SELECT unnest([{', '.join(repr(x) for x in (*REFUSALS, 'NONE'))}]) AS spoiled, nullif(unnest([{', '.join(repr(x) for x in (*REFUSALS, 'NONE'))}]), 'NONE') AS refusal")
+def checkpoint_refusals(spark, d):
+    """The newest checkpoint, spoiled in eleven ways and as it is, against its log."""
+    log, folder, _ = _durable(spark, d)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.lckp").load(folder).select("path", "content")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for path, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                made = [_spoiled(path.rsplit("/", 1)[-1], raw, why) for why in (*REFUSALS, "NONE")]
+                yield pa.RecordBatch.from_arrays([pa.array([f"{why}/{name}" for why, (name, _) in zip((*REFUSALS, "NONE"), made)]), pa.array([x for _, x in made], pa.binary())], ["path", "content"])
+
+    newest = files.orderBy(F.desc("path")).limit(1)
+    out = None
+    spoiled = cut(newest.mapInArrow(run, "path string, content binary"), "spoiled")
+    for why in (*REFUSALS, "NONE"):
+        found = checkpoints.inspected(spoiled.where(F.col("path").startswith(f"{why}/"))).withColumn("spoiled", F.lit(why))
+        out = found if out is None else out.unionByName(found)
+    frames = wal.clean_frames(wal.read_wal(spark, log))
+    asked = out.where("covered_bytes is not null").select("covered_bytes").distinct()
+    return checkpoints.against_log(out, checkpoints.log_ends(frames), wal.prefix_digests(spark, log, asked)).select("spoiled", "refusal")
+
+
+@query(f"WITH {EVENTS}, m AS (SELECT n * 3 // 4 AS w, n FROM {AT}) SELECT lsn AS ordinal, account_id, kind, b AS balance_minor, CASE WHEN kind = 'ASSET' THEN b >= 0 ELSE b <= 0 END AS is_natural, w AS watermark, n AS last_lsn FROM folded, m")
+def recover_from_checkpoint(spark, d):
+    """The ledger as its newest checkpoint and the log behind it give it, with replay's refusals and the audit run on the way."""
+    log, folder, _ = _durable(spark, d)
+    found = durable.recover(spark, log, folder)
+    return found.balances.withColumn("watermark", F.lit(found.watermark).cast("long")).withColumn("last_lsn", F.lit(found.last_lsn).cast("long"))
+
+
+@query(
+    f"WITH {EVENTS}, m AS (SELECT n - 1 AS last, n FROM {AT}), moves AS (SELECT lsn, payer AS account_id, -amount AS m FROM posted UNION ALL SELECT lsn, 'pool', amount FROM posted) "
+    "SELECT opens.lsn AS ordinal, account_id, kind, CAST(coalesce(sum(moves.m), 0) AS BIGINT) AS balance_minor, last AS last_lsn FROM opens LEFT JOIN (SELECT moves.* FROM moves, m WHERE lsn <= last) moves USING (account_id), m GROUP BY ALL"
+)
+def recover_torn(spark, d):
+    """The same when the log's last record is cut in two: it is repaired first, and the record is gone."""
+    log, folder, _ = _durable(spark, d)
+    torn = shared_folder(spark, "torn")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wal").load(log)
+    last = files.agg(F.max("path")).first()[0]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            store, root = wal._store(torn)
+            store.create_dir(root, recursive=True)
+            for path, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                wal._publish(store, f"{root}/{path.rsplit('/', 1)[-1]}", [raw[:-3] if path == last else raw])
+            yield pa.RecordBatch.from_arrays([batch.column("path")], ["path"])
+
+    files.select("path", "content").mapInArrow(run, "path string").write.format("noop").mode("overwrite").save()
+    found = durable.recover(spark, torn, folder)
+    return found.balances.drop("is_natural").withColumn("last_lsn", F.lit(found.last_lsn).cast("long"))
+
+
+@query(f"SELECT o_orderkey AS n, 'checkpoint-' || lpad(CAST(o_orderkey AS VARCHAR), 19, '0') || '.lckp.x.tmp' AS name, true AS is_temp FROM orders UNION ALL SELECT o_orderkey, 'checkpoint-' || lpad(CAST(o_orderkey AS VARCHAR), 19, '0') || '.lckp', false FROM orders")
+def checkpoint_temp_names(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("n"))
+    name = F.format_string("checkpoint-%019d.lckp", "n")
+    both = o.select("n", name.alias("name")).unionByName(o.select("n", F.concat(name, F.lit(".x.tmp")).alias("name")))
+    return both.withColumn("is_temp", checkpoints.is_temp_name(F.col("name")))

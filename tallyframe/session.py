@@ -37,5 +37,18 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in ``spark.checkpoint.dir``; only where a session names none (one machine) below a temporary folder."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or _own_folder()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in ``spark.checkpoint.dir``; a session on one machine that names none gets one below a temporary folder.
+
+    A cluster must name one: what one executor writes to its own disk the others don't see, and it is lost with the executor.
+    """
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(at or _own_folder()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: it is computed once, and a lost executor costs no more than a read."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

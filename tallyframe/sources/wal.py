@@ -1,10 +1,12 @@
 """Write-ahead log files: framing, recovery report, payload decoding, writing and repair.
 
-A segment is a 16-byte header and frames; where a frame ends is known only from its length, so one file is one task's sequential walk, with one
-frame in hand at a time, and many files are many tasks. Reading never decodes payloads: tears and fatal findings come from the framing, malformed payloads
-from ``decode_events``. A repaired log is a new file; nothing is changed in place. Durability is the store's, there is no fsync here.
+A log is a folder of segments, ``segment-<first LSN>.wal``, each written and read by a task of its own. A segment is a 16-byte header and frames; where a
+frame ends is known only from its length, so one segment is one task's sequential walk, some thousand frames at a time, whose checksums are computed together.
+Reading never decodes payloads: tears and fatal findings come from the framing, malformed payloads from ``decode_events``, and records that
+the domain refuses from ``findings``. A repaired log is a new folder; nothing is changed in place. Durability is the store's, there is no fsync here.
 
-A long log is a folder of segments, ``segment-<first LSN>.wal``: each is written and read by a task of its own.
+The records of a log are those of its clean prefix (``clean_frames``): all segments before the first that is torn, corrupt or doesn't continue the one before,
+and of that one the frames before the tear. A tear is cut by ``repair``, which leaves a marker frame about it; a corruption is never cut.
 """
 
 from __future__ import annotations
@@ -15,18 +17,34 @@ import struct
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.codec import FINGERPRINT_TAG, KIND_CODES, RECORD_TYPES, SIDE_CODES, crc32c
+from ..functions.codec import FINGERPRINT_TAG, KIND_CODES, RECORD_TYPES, SIDE_CODES, crc32c, crc32c_of
 
 #: Fixed values of the file format.
-MAGIC, VERSION, HEADER, OVERHEAD, MOST_PAYLOAD, MARKER_SIZE = b"LWAL", 2, 16, 20, 65_535, 21
+MAGIC, VERSION, OLDEST, HEADER, OVERHEAD, MOST_PAYLOAD, MARKER_SIZE = b"LWAL", 2, 1, 16, 20, 65_535, 21
+#: A tail's place in this list is its code in a marker.
+TAILS = ("EMPTY_FILE", "CLEAN_EOF", "SHORT_FRAME_HEADER", "BAD_FRAME_LENGTH", "SHORT_FRAME", "CRC_MISMATCH", "LSN_MISMATCH")
+TEARS = TAILS[2:]
 TYPES = {code: name for name, code in RECORD_TYPES.items()}
 KINDS = {code: name for name, code in KIND_CODES.items()}
 SIDES = {code: name for name, code in SIDE_CODES.items()}
 FRAMES = "file string, offset long, frame_length int, lsn long, type_code int, type string, payload binary, tail string, corruption string, file_bytes long, clean_bytes long, detail string"
 EVENTS = "lsn long, type string, account_id string, kind string, merchant string, key string, fingerprint string, captured_at_ms long, entries array<struct<account_id:string,side:string,amount_minor:bigint>>, corruption string"
+#: Frames that a task has in hand at a time.
+TOGETHER = 8192
+
+
+def is_tear(tail: Column) -> Column:
+    """Whether a tail means that the segment is cut there; an empty file and a clean end are none."""
+    return tail.isin(*TEARS)
+
+
+def is_journal_event(type_: Column) -> Column:
+    """A marker is a record, but no event."""
+    return type_.isNotNull() & (type_ != "RECOVERY_MARKER")
 
 
 def segment_header(version: int = VERSION) -> bytes:
@@ -34,45 +52,108 @@ def segment_header(version: int = VERSION) -> bytes:
     return head + struct.pack(">I", crc32c(head))
 
 
-def frame(lsn: int, kind: int, payload: bytes) -> bytes:
-    if len(payload) > MOST_PAYLOAD:
+def frames_bytes(records: list[tuple[int, int, bytes]]) -> bytes:
+    """The frames of (lsn, type code, payload), one behind the other."""
+    if any(len(payload) > MOST_PAYLOAD for _, _, payload in records):
         raise ValueError("a payload has at most 65,535 bytes")
-    body = struct.pack(">IQBBH", OVERHEAD + len(payload), lsn, kind, 0, len(payload)) + payload
-    return body + struct.pack(">I", crc32c(body))
+    raw = bytearray(b"".join([struct.pack(">IQBBH", OVERHEAD + len(p), lsn, kind, 0, len(p)) + p + bytes(4) for lsn, kind, p in records]))
+    ends = np.cumsum([OVERHEAD + len(p) for _, _, p in records], dtype=np.int64)
+    starts = ends - [OVERHEAD + len(p) for _, _, p in records]
+    for end, crc in zip(ends.tolist(), crc32c_of(np.frombuffer(bytes(raw), np.uint8), starts, ends - 4) if records else ()):
+        struct.pack_into(">I", raw, end - 4, crc)
+    return bytes(raw)
+
+
+def frame(lsn: int, kind: int, payload: bytes) -> bytes:
+    return frames_bytes([(lsn, kind, payload)])
+
+
+def marker_payload(tail: str, dropped: int, kept: int, last_lsn: int) -> bytes:
+    """What a repair says about its cut: the tail, bytes dropped, frames kept, the last LSN; four bytes are spare."""
+    return struct.pack(">BIIq", TAILS.index(tail), min(dropped, 0xFFFFFFFF), kept, last_lsn) + bytes(4)
+
+
+class Walk:
+    """A pass over one segment; once ``frames`` is through, tail or corruption, clean_bytes and detail say how it ended."""
+
+    def __init__(self, raw: bytes, first: int = 1):
+        self.raw, self.expected = raw, first
+        self.tail = self.corruption = None
+        self.clean_bytes, self.detail = 0, ""
+
+    def _header(self) -> bool:
+        if not self.raw:
+            self.tail = "EMPTY_FILE"
+            return False
+        head = self.raw[:HEADER]
+        if len(head) == HEADER:
+            magic, version, _, size, reserved, crc = struct.unpack(">4sBBHII", head)
+            if magic == MAGIC and OLDEST <= version <= VERSION and size == HEADER and not reserved and crc == crc32c(head[:12]):
+                self.version, self.clean_bytes = version, HEADER
+                return True
+        self.corruption, self.detail = "BAD_SEGMENT_HEADER", head.hex()
+        return False
+
+    def _bounds(self, at: int) -> tuple[int, int, int, int] | None:
+        """Size, LSN, type and reserved byte of the frame at ``at``; None with a tail if no frame can begin there."""
+        left = len(self.raw) - at
+        if not left:
+            self.tail = "CLEAN_EOF"
+        elif left < 16:
+            self.tail, self.detail = "SHORT_FRAME_HEADER", f"{left} bytes"
+        else:
+            size, lsn, kind, reserved, payload = struct.unpack_from(">IQBBH", self.raw, at)
+            if not OVERHEAD <= size <= OVERHEAD + MOST_PAYLOAD:
+                self.tail, self.detail = "BAD_FRAME_LENGTH", str(size)
+            elif size > left:
+                self.tail, self.detail = "SHORT_FRAME", f"{left} of {size} bytes"
+            elif payload != size - OVERHEAD:
+                self.tail, self.detail = "BAD_FRAME_LENGTH", f"payload of {payload}"
+            else:
+                return size, lsn, kind, reserved
+        return None
+
+    def _finding(self, lsn: int, kind: int, reserved: int, size: int, same: bool) -> tuple[str | None, str | None, str] | None:
+        """Tail, corruption and detail of a whole frame that isn't valid."""
+        if not same:
+            return "CRC_MISMATCH", None, ""
+        if lsn != self.expected:
+            return "LSN_MISMATCH", None, f"{lsn} where {self.expected} was due"
+        if reserved:
+            return "CRC_MISMATCH", None, f"the reserved byte is {reserved}"
+        if kind not in TYPES or self.version == 1 and TYPES[kind] == "IDEMPOTENT_POSTING":
+            return None, "UNKNOWN_RECORD_TYPE", f"type {kind}"
+        if TYPES[kind] == "RECOVERY_MARKER" and size != OVERHEAD + MARKER_SIZE:
+            return None, "PAYLOAD_MALFORMED", f"a marker of {size - OVERHEAD}"
+        return None
+
+    def frames(self) -> Iterator[list[tuple[int, int, int, int, bytes]]]:
+        """Lists of valid frames (offset, length, lsn, type, payload) in order."""
+        if not self._header():
+            return
+        data, at = np.frombuffer(self.raw, np.uint8), HEADER
+        while self.tail is None and self.corruption is None:
+            found, good = [], []
+            while len(found) < TOGETHER and (bounds := self._bounds(at)):
+                found.append((at, *bounds))
+                at += bounds[0]
+            sums = crc32c_of(data, [x[0] for x in found], [x[0] + x[1] - 4 for x in found]) if found else []
+            for (start, size, lsn, kind, reserved), crc in zip(found, sums):
+                end = start + size
+                wrong = self._finding(lsn, kind, reserved, size, crc == int.from_bytes(self.raw[end - 4 : end]))
+                if wrong:
+                    self.tail, self.corruption, self.detail = wrong
+                    break
+                good.append((start, size, lsn, kind, self.raw[start + 16 : end - 4]))
+                self.expected, self.clean_bytes = lsn + 1, end
+            yield good
 
 
 def walk(raw: bytes, first: int = 1) -> tuple[list[tuple[int, int, int, int, bytes]], str | None, str | None, int, str]:
     """Frames (offset, length, lsn, type, payload), tail, corruption, clean bytes and a detail of one segment."""
-    frames: list[tuple[int, int, int, int, bytes]] = []
-    if not raw:
-        return frames, "EMPTY_FILE", None, 0, ""
-    head = raw[:HEADER]
-    if len(head) < HEADER or head[:4] != MAGIC or head[4] not in (1, 2) or head[5] or struct.unpack(">H", head[6:8])[0] != HEADER or crc32c(head[:12]) != struct.unpack(">I", head[12:])[0]:
-        return frames, None, "BAD_SEGMENT_HEADER", 0, head.hex()
-    at, expected = HEADER, first
-    while True:
-        left = len(raw) - at
-        if not left:
-            return frames, "CLEAN_EOF", None, at, ""
-        if left < HEADER:
-            return frames, "SHORT_FRAME_HEADER", None, at, f"{left} bytes"
-        size, lsn, kind, reserved, payload_size = struct.unpack(">IQBBH", raw[at : at + 16])
-        if size < OVERHEAD or size > OVERHEAD + MOST_PAYLOAD:
-            return frames, "BAD_FRAME_LENGTH", None, at, str(size)
-        if size > left:
-            return frames, "SHORT_FRAME", None, at, f"{left} of {size} bytes"
-        if payload_size != size - OVERHEAD:
-            return frames, "BAD_FRAME_LENGTH", None, at, f"payload of {payload_size}"
-        if crc32c(raw[at : at + size - 4]) != struct.unpack(">I", raw[at + size - 4 : at + size])[0]:
-            return frames, "CRC_MISMATCH", None, at, ""
-        if lsn != expected:
-            return frames, "LSN_MISMATCH", None, at, f"{lsn} where {expected} was due"
-        if reserved or kind not in TYPES or head[4] == 1 and kind == RECORD_TYPES["IDEMPOTENT_POSTING"]:
-            return frames, None, "UNKNOWN_RECORD_TYPE", at, f"type {kind}"
-        if TYPES[kind] == "RECOVERY_MARKER" and payload_size != MARKER_SIZE:
-            return frames, None, "PAYLOAD_MALFORMED", at, f"a marker of {payload_size}"
-        frames.append((at, size, lsn, kind, raw[at + 16 : at + size - 4]))
-        at, expected = at + size, expected + 1
+    pass_ = Walk(raw, first)
+    frames = [f for part in pass_.frames() for f in part]
+    return frames, pass_.tail, pass_.corruption, pass_.clean_bytes, pass_.detail
 
 
 def first_lsn(file: str) -> int:
@@ -81,21 +162,35 @@ def first_lsn(file: str) -> int:
     return int(found[1]) if found else 1
 
 
+def segment_name(first: int) -> str:
+    return f"segment-{first:019d}.wal"
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.wal").load(path).select("path", "content")
+
+
 def read_wal(spark: SparkSession, path: str) -> DataFrame:
     """One row a frame; each file's last row (without lsn) carries its tail or corruption."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wal").load(path).select("path", "content")
+    return frames_in(_files(spark, path))
+
+
+def frames_in(files: DataFrame) -> DataFrame:
+    """``read_wal`` of files that are at hand as rows (path, content)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         names = [c.strip().split(" ")[0] for c in FRAMES.split(", ")]
         kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
         for batch in batches:
             for file, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                frames, tail, corruption, clean, detail = walk(raw, first_lsn(file))
-                rows = [(file, o, n, lsn, t, TYPES[t], p, None, None, None, None, None) for o, n, lsn, t, p in frames]
-                rows.append((file, clean, None, None, None, None, None, tail, corruption, len(raw), clean, detail))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                pass_ = Walk(raw, first_lsn(file))
+                for part in pass_.frames():
+                    if part:
+                        yield made([(file, o, n, lsn, t, TYPES[t], p, None, None, None, None, None) for o, n, lsn, t, p in part])
+                yield made([(file, pass_.clean_bytes, None, None, None, None, None, pass_.tail, pass_.corruption, len(raw), pass_.clean_bytes, pass_.detail)])
 
     return files.mapInArrow(run, FRAMES)
 
@@ -108,12 +203,124 @@ def report(found: DataFrame) -> DataFrame:
     """A row a file: file_bytes, clean_bytes, truncated_bytes, frames, journal_records, markers, last_lsn, tail, corruption, detail."""
     of = lambda c: F.max(c).alias(c)
     out = found.groupBy("file").agg(
-        of("file_bytes"), of("clean_bytes"), F.count("lsn").alias("frames"), F.count(F.when(F.col("type") != "RECOVERY_MARKER", 1)).alias("journal_records"),
+        of("file_bytes"), of("clean_bytes"), F.count("lsn").alias("frames"), F.count(F.when(is_journal_event(F.col("type")), 1)).alias("journal_records"),
         F.count(F.when(F.col("type") == "RECOVERY_MARKER", 1)).alias("markers"), F.coalesce(F.max("lsn"), F.lit(0)).alias("last_lsn"), of("tail"), of("corruption"), of("detail"),
     )
     return out.withColumn("truncated_bytes", F.col("file_bytes") - F.col("clean_bytes"))
 
 
+def clean_frames(found: DataFrame) -> DataFrame:
+    """The frames of the log's clean prefix, over all its segments."""
+    first = F.coalesce(F.nullif(F.regexp_extract("file", r"segment-([0-9]{19})\.wal$", 1), F.lit("")).cast("long"), F.lit(1).cast("long"))
+    ends = report(found).select(first.alias("first"), "last_lsn", ((F.col("tail") != "CLEAN_EOF") | F.col("tail").isNull()).alias("broken"))
+    follows = ends.select((F.greatest("last_lsn", F.col("first") - 1) + 1).alias("first"))
+    stray = ends.where("first <> 1").join(follows, "first", "left_anti").select("first")  # no segment ends where this one begins
+    cut = ends.where("broken").select((F.col("first") + 1).alias("first")).unionByName(stray).agg(F.min("first").alias("cut"))
+    frames = frames_of(found).withColumn("first", first)
+    return frames.join(F.broadcast(cut), (F.col("first") < F.col("cut")) | F.col("cut").isNull()).drop("first", "cut")
+
+
+def markers(frames: DataFrame) -> DataFrame:
+    """lsn, reason, bytes_dropped, frames_kept and last_lsn of the markers."""
+    number = lambda at, n: F.conv(F.hex(F.substring("payload", at, n)), 16, -10).cast("long")
+    names = F.array(*[F.lit(t) for t in TAILS])
+    reason = F.coalesce(F.get(names, number(1, 1).cast("int")), F.lit("CLEAN_EOF"))
+    return frames.where("type = 'RECOVERY_MARKER'").select("lsn", reason.alias("reason"), number(2, 4).alias("bytes_dropped"), number(6, 4).alias("frames_kept"), number(10, 8).alias("last_lsn"))
+
+
+def last_marker(frames: DataFrame) -> DataFrame:
+    """The marker of the greatest LSN, if there is one."""
+    return markers(frames).orderBy(F.desc("lsn")).limit(1)
+
+
+def repaired(files: DataFrame) -> DataFrame:
+    """Each segment (path, content) as a repair leaves it: name, content, tail, corruption, bytes_dropped.
+
+    A torn segment is cut to its clean bytes and gets a marker with the next LSN; clean segments stay as they are. A corrupt one is refused:
+    its content is null, for a reader could only guess what it held.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for file, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                pass_ = Walk(raw, first_lsn(file))
+                kept = sum(map(len, pass_.frames()))
+                fixed, dropped = raw, len(raw) - pass_.clean_bytes
+                if pass_.corruption:
+                    fixed = None
+                elif pass_.tail in TEARS:
+                    fixed = raw[: pass_.clean_bytes] + frame(pass_.expected, RECORD_TYPES["RECOVERY_MARKER"], marker_payload(pass_.tail, dropped, kept, pass_.expected - 1))
+                elif not raw:
+                    fixed = segment_header()
+                columns = ([file.rsplit("/", 1)[-1]], [fixed], [pass_.tail], [pass_.corruption], [dropped])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.binary(), pa.string(), pa.string(), pa.int64()))], ["name", "content", "tail", "corruption", "bytes_dropped"])
+
+    return files.mapInArrow(run, "name string, content binary, tail string, corruption string, bytes_dropped long")
+
+
+def repair(spark: SparkSession, path: str, folder: str) -> DataFrame:
+    """Write the log below ``path`` to ``folder``, each segment as ``repaired`` leaves it; returns name, tail, corruption, bytes_dropped and bytes.
+
+    Segments behind the first torn one don't continue the repaired log any more; ``clean_frames`` doesn't read them.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            store, root = _store(folder)
+            store.create_dir(root, recursive=True)
+            sizes = []
+            for name, raw in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
+                if raw is not None:
+                    _publish(store, f"{root}/{name}", [raw])
+                sizes.append(None if raw is None else len(raw))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("name", "tail", "corruption", "bytes_dropped")), pa.array(sizes, pa.int64())], ["name", "tail", "corruption", "bytes_dropped", "bytes"])
+
+    return repaired(_files(spark, path)).mapInArrow(run, "name string, tail string, corruption string, bytes_dropped long, bytes long")
+
+
+def _store(folder: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
+
+
+def _publish(store, path: str, chunks) -> None:
+    """Write under a name of this attempt, then rename."""
+    mine = f"{path}.{uuid.uuid4().hex}.tmp"
+    with store.open_output_stream(mine) as out:
+        for chunk in chunks:
+            out.write(chunk)
+    store.move(mine, path)
+
+
+def prefix_digests(spark: SparkSession, path: str, covered: DataFrame) -> DataFrame:
+    """(covered_bytes, digest) for each row of ``covered`` (covered_bytes, distinct): SHA-256 of so many first bytes of the log.
+
+    The log's bytes are those of its segments in order of their names. Of a single segment this is the digest of the file's prefix; of several, each segment's
+    prefix is hashed in its own task and the digest is that of the segments' digests in order (a single stream over a long log would be one task's). No digest: the log is shorter.
+    """
+    sizes = spark.read.format("binaryFile").option("pathGlobFilter", "*.wal").load(path).select("path", F.col("length").alias("n"))
+    names = {r.path: r.n for r in sizes.collect()}  # a row a segment
+    base, places = 0, []
+    for file in sorted(names):
+        places.append((file, base))
+        base += names[file]
+    if not places:
+        return covered.select("covered_bytes", F.when(F.col("covered_bytes") == 0, hashlib.sha256(b"").hexdigest()).alias("digest"))
+    starts = spark.createDataFrame(places, "path string, base long")
+    asked = covered.where(F.col("covered_bytes").between(0, base))
+    wanted = F.array(*[F.lit(r.covered_bytes) for r in asked.collect()]).cast("array<bigint>")  # one for each checkpoint
+    parts = _files(spark, path).join(F.broadcast(starts), "path").withColumn("covered", F.explode(F.filter(wanted, lambda n: n > F.col("base"))))
+    own = F.sha2(F.expr("substring(content, 1, cast(least(covered - base, length(content)) as int))"), 256)
+    hashed = parts.groupBy(F.col("covered").alias("covered_bytes")).agg(F.sort_array(F.collect_list(F.struct("base", own.alias("d")))).alias("ds"))
+    digest = F.when(F.size("ds") == 1, F.col("ds")[0]["d"]).otherwise(F.sha2(F.unhex(F.array_join(F.transform("ds", lambda x: x["d"]), "")), 256))
+    return asked.join(hashed, "covered_bytes", "left").select("covered_bytes", F.coalesce(digest, F.lit(hashlib.sha256(b"").hexdigest())).alias("digest"))
+
+
 class _Reader:
     def __init__(self, raw: bytes):
         self.raw, self.at = raw, 0
@@ -197,20 +404,8 @@ def payloads(journal: DataFrame) -> DataFrame:
     return journal.select("lsn", number.alias("type_code"), body.alias("payload"))
 
 
-def write_wal(journal: DataFrame, path: str) -> int:
-    """Write the journal as one segment at a local path (a segment is one ordered file); returns its bytes."""
-    size = HEADER
-    with open(path, "wb") as out:
-        out.write(segment_header())
-        for row in payloads(journal).orderBy("lsn").toLocalIterator():
-            data = frame(row.lsn, row.type_code, bytes(row.payload))
-            out.write(data)
-            size += len(data)
-    return size
-
-
 def write_segments(journal: DataFrame, folder: str, records: int = 100_000) -> DataFrame:
-    """Write the journal as segments of ``records`` LSNs below ``folder``, which all executors see; returns file and bytes of each.
+    """Write the journal as segments of ``records`` LSNs below ``folder``, which all executors see; returns file, bytes, first and last LSN of each.
 
     A segment's rows meet in one task, so ``records`` bounds a task. Files get their name when they are whole: a repeated attempt replaces them.
     """
@@ -219,32 +414,64 @@ def write_segments(journal: DataFrame, folder: str, records: int = 100_000) -> D
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
+        store, root = _store(folder)
         store.create_dir(root, recursive=True)
-        done: list[tuple[str, int]] = []
-        out, name, size = None, "", 0
+        done: list[tuple[str, int, int, int]] = []
+        out, now, size, last = None, None, 0, 0
 
         def close() -> None:
             out.close()
-            store.move(f"{root}/{name}{mine}", f"{root}/{name}")
-            done.append((name, size))
+            store.move(f"{root}/{segment_name(now)}{mine}", f"{root}/{segment_name(now)}")
+            done.append((segment_name(now), size, now, last))
 
-        mine = "." + uuid.uuid4().hex
+        mine = f".{uuid.uuid4().hex}.tmp"
         for batch in batches:
-            for first, lsn, kind, payload in zip(*(batch.column(c).to_pylist() for c in ("first", "lsn", "type_code", "payload"))):
-                if name != f"segment-{first:019d}.wal":
+            firsts = batch.column("first").to_numpy()
+            columns = [batch.column(c).to_pylist() for c in ("lsn", "type_code", "payload")]
+            edges = [0, *(np.flatnonzero(np.diff(firsts)) + 1).tolist(), len(firsts)]
+            for a, b in zip(edges[:-1], edges[1:]):
+                if a == b:
+                    continue
+                if firsts[a] != now:
                     if out:
                         close()
-                    name, size = f"segment-{first:019d}.wal", HEADER
-                    out = store.open_output_stream(f"{root}/{name}{mine}")
+                    now, size = int(firsts[a]), HEADER
+                    out = store.open_output_stream(f"{root}/{segment_name(now)}{mine}")
                     out.write(segment_header())
-                data = frame(lsn, kind, payload)
+                data = frames_bytes(list(zip(*(c[a:b] for c in columns))))
                 out.write(data)
-                size += len(data)
+                size, last = size + len(data), columns[0][b - 1]
         if out:
             close()
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), (pa.string(), pa.int64()))], ["file", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), (pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["file", "bytes", "first_lsn", "last_lsn"])
+
+    return rows.mapInArrow(run, "file string, bytes long, first_lsn long, last_lsn long")
+
+
+def acks(found: DataFrame, durable_through: int | None = None) -> DataFrame:
+    """A row a record of a log that was written: lsn, file, offset, frame_length, end_offset, forced, digest (of the payload).
+
+    A segment is published whole, so every record of it is forced; with ``durable_through``, only those up to it are.
+    """
+    forced = F.lit(True) if durable_through is None else F.col("lsn") <= durable_through
+    return frames_of(found).select("lsn", "file", "offset", "frame_length", (F.col("offset") + F.col("frame_length")).alias("end_offset"), forced.alias("forced"), F.sha2("payload", 256).alias("digest"))
+
+
+def findings(found: DataFrame) -> DataFrame:
+    """(file, lsn, corruption, detail): everything for which a log is refused instead of cut, from the framing, the payloads and the domain."""
+    from ..operators import audit
+
+    framing = found.where("corruption is not null").select("file", F.lit(None).cast("long").alias("lsn"), "corruption", "detail")
+    frames = clean_frames(found)
+    events = decode_events(frames)
+    files = frames.select("lsn", "file")
+    malformed = events.where("corruption is not null").select("lsn", "corruption", F.lit("").alias("detail"))
+    refused = audit.replay_violations(events.where("corruption is null")).select("lsn", F.lit("DOMAIN_REJECTED").alias("corruption"), F.col("rule").alias("detail"))
+    return framing.unionByName(malformed.unionByName(refused).join(files, "lsn").select("file", "lsn", "corruption", "detail"))
+
 
-    return rows.mapInArrow(run, "file string, bytes long")
+def strict(found: DataFrame) -> DataFrame:
+    """``found`` unchanged; raises where a segment is corrupt, as a reader does that has no use for findings."""
+    why = F.concat_ws(": ", F.col("corruption"), F.col("file"), F.col("detail"))
+    return found.where(F.when(F.col("corruption").isNotNull(), F.raise_error(why).cast("boolean")).otherwise(True))

@@ -1,14 +1,16 @@
 """The engine against a sequential model, byte goldens, every truncation of a log, and DuckDB on the smallest tables."""
 
+import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.functions import codec, identifiers, money
 from tallyframe.operators import admission, audit, ledger
 from tallyframe.plans import registry
-from tallyframe.sources import checkpoints, wal
+from tallyframe.sources import checkpoints, durable, wal
 
 MAX = 2**63 - 1
 
@@ -139,29 +141,59 @@ def log_a(spark):
     return ledger.journal_of(attempts, admission.classify(attempts))
 
 
+def one_segment(journal, folder):
+    """The journal as the only segment of a log; its bytes."""
+    wal.write_segments(journal, str(folder)).collect()
+    return (folder / wal.segment_name(1)).read_bytes()
+
+
 def test_byte_goldens(spark, tmp_path):
     journal = log_a(spark).cache()
-    assert codec.crc32c(b"123456789") == 0xE3069283
+    assert codec.crc32c(b"123456789") == 0xE3069283 and codec.crc32c(b"456789", codec.crc32c(b"123")) == 0xE3069283
     assert wal.segment_header().hex() == "4c57414c02000010000000009c406c4b" and wal.segment_header(1).hex() == "4c57414c01000010000000004704eb22"
     assert wal.frame(1, 2, bytes([0, 1, 2])).hex() == "000000170000000000000001020000030001027fc8cef4"
     prints = journal.where("lsn = 3").select(codec.fingerprint(F.col("entries")), codec.fingerprint(F.reverse("entries"))).first()
     assert tuple(prints) == ("abdc589546bb2d8ffc1611011c3c57b8cf930d0cc0a61e2305c11f1fe69169b9", "d97ca5020e1c6f245e15344b8d0ba694c3d523d3a6442ce9f72d336989628e1b")
-    assert wal.write_wal(journal, str(tmp_path / "a.wal")) == 126
-    import hashlib
-
-    assert hashlib.sha256((tmp_path / "a.wal").read_bytes()).hexdigest() == "51d254786e63cff4c16b3d16374b0b38d68ac64251ae81a391a477a855096931"
+    raw = one_segment(journal, tmp_path)
+    assert len(raw) == 126 and hashlib.sha256(raw).hexdigest() == "51d254786e63cff4c16b3d16374b0b38d68ac64251ae81a391a477a855096931"
     accounts = journal.where("type = 'ACCOUNT_OPENED'").select(F.col("lsn").alias("ordinal"), "account_id", "kind")
     found = ledger.balances(accounts, ledger.journal_entries(journal))
     state = ledger.state_hash(found, ledger.bindings(journal), 3).first()
     assert (state.section_bytes, state.state_hash) == (63, "d3c6cb895271ab28417d71162e3abba38ce270377748bbbbfe504889e152d304")
     section = checkpoints.encode_state(3, [("ASSET", "acct-0", -5000), ("LIABILITY", "acct-1", 5000)], [])
     assert hashlib.sha256(section).hexdigest() == state.state_hash
-    assert len(checkpoints.encode_checkpoint(section, 3, 126, bytes(32), [])) == 171
+    digest = hashlib.sha256(raw).digest()
+    file = checkpoints.encode_checkpoint(section, 3, 126, digest, [])
+    # Magic, version, flags, header size, 8 reserved bytes, watermark, coverage, sizes of state and timing, digest of the log; state; hash; checksum.
+    assert len(file) == 171 and file[:40].hex() == "4c434b50" + "0200" + "0048" + "00" * 8 + f"{3:016x}{126:016x}{63:08x}{0:08x}"
+    assert file[40:72] == digest and file[72:135] == section and file[135:167] == hashlib.sha256(section).digest() and file[167:] == codec.crc32c(file[:167]).to_bytes(4)
+    assert checkpoints.write_checkpoint(str(tmp_path), found, ledger.bindings(journal), 3, 126, digest.hex()) == []
+    assert (tmp_path / checkpoints.name_for(3)).read_bytes() == file
+
+
+def test_crc_of_many_messages():
+    rng = random.Random(2)
+    table = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0x82F63B78 if n & 1 else 0)
+        table.append(n)
+
+    def by_byte(data):
+        crc = 0xFFFFFFFF
+        for b in data:
+            crc = table[(crc ^ b) & 255] ^ crc >> 8
+        return crc ^ 0xFFFFFFFF
+
+    sizes = [0, 1, 2, 3, 4, 5, 40, 41, 300, 2047, 2048, 2049, 4096, 9001] + [rng.randint(0, 200) for _ in range(50)]
+    data = rng.randbytes(sum(sizes))
+    ends = np.cumsum(sizes)
+    got = codec.crc32c_of(np.frombuffer(data, np.uint8), ends - sizes, ends)
+    assert got == [by_byte(data[e - n : e]) for n, e in zip(sizes, ends.tolist())]
 
 
 def test_every_truncation(spark, tmp_path):
-    wal.write_wal(log_a(spark), str(tmp_path / "a.wal"))
-    raw = (tmp_path / "a.wal").read_bytes()
+    raw = one_segment(log_a(spark), tmp_path)
     for n in range(127):
         frames, tail, corruption, clean, _ = wal.walk(raw[:n])
         if n == 0:
@@ -177,13 +209,71 @@ def test_every_truncation(spark, tmp_path):
         broken[bit // 8] ^= 1 << bit % 8
         frames, tail, corruption, _, _ = wal.walk(bytes(broken))
         assert len(frames) < 3 and (tail != "CLEAN_EOF" or corruption)
-    found = wal.read_wal(spark, str(tmp_path / "a.wal"))
+    found = wal.read_wal(spark, str(tmp_path))
     events = wal.decode_events(wal.frames_of(found)).orderBy("lsn").collect()
     assert [e.type for e in events] == ["ACCOUNT_OPENED", "ACCOUNT_OPENED", "POSTED"] and events[2].entries[0].amount_minor == 5000
-    assert wal.report(found).first().tail == "CLEAN_EOF"
-    bad = wal.segment_header() + wal.frame(1, 1, b"\x09\x01a")
-    (tmp_path / "b.wal").write_bytes(bad)
-    assert wal.decode_events(wal.frames_of(wal.read_wal(spark, str(tmp_path / "b.wal")))).first().corruption == "PAYLOAD_MALFORMED"
+    assert wal.report(found).first().tail == "CLEAN_EOF" and wal.strict(found).count() == 4
+    flagged = bytearray(wal.segment_header()[:12])
+    flagged[5] = 7  # a byte that readers ignore; the reserved word behind the size they don't
+    assert wal.walk(bytes(flagged) + codec.crc32c(bytes(flagged)).to_bytes(4))[1] == "CLEAN_EOF"
+    flagged[11] = 1
+    assert wal.walk(bytes(flagged) + codec.crc32c(bytes(flagged)).to_bytes(4))[2] == "BAD_SEGMENT_HEADER"
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "b.wal").write_bytes(wal.segment_header() + wal.frame(1, 1, b"\x09\x01a") + wal.frame(2, 9, b""))
+    bad = wal.read_wal(spark, str(tmp_path / "b"))
+    assert wal.decode_events(wal.frames_of(bad)).first().corruption == "PAYLOAD_MALFORMED"
+    assert {r.corruption for r in wal.findings(bad).collect()} == {"PAYLOAD_MALFORMED", "UNKNOWN_RECORD_TYPE"}
+    with pytest.raises(Exception, match="UNKNOWN_RECORD_TYPE"):
+        wal.strict(bad).collect()
+
+
+def test_repair_goes_on_densely(spark, tmp_path):
+    """LSNs 1, 2 and 4: two stay, the marker takes 3; segments behind the tear are not read any more."""
+    opened = lambda name: b"\x00\x01" + name
+    torn = wal.segment_header() + wal.frame(1, 1, opened(b"a")) + wal.frame(2, 1, opened(b"b")) + wal.frame(4, 1, opened(b"c"))
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / wal.segment_name(1)).write_bytes(torn)
+    (tmp_path / "log" / wal.segment_name(5)).write_bytes(wal.segment_header() + wal.frame(5, 1, opened(b"d")))
+    done = wal.repair(spark, str(tmp_path / "log"), str(tmp_path / "fixed")).collect()
+    assert {(r.name, r.tail, r.bytes_dropped) for r in done} == {(wal.segment_name(1), "LSN_MISMATCH", 23), (wal.segment_name(5), "CLEAN_EOF", 0)}
+    frames = wal.clean_frames(wal.read_wal(spark, str(tmp_path / "fixed")))
+    assert [(r.lsn, r.type) for r in frames.orderBy("lsn").collect()] == [(1, "ACCOUNT_OPENED"), (2, "ACCOUNT_OPENED"), (3, "RECOVERY_MARKER")]
+    assert tuple(wal.last_marker(frames).first()) == (3, "LSN_MISMATCH", 23, 2, 2)
+    assert (tmp_path / "log" / wal.segment_name(1)).read_bytes() == torn
+    found = durable.recover(spark, str(tmp_path / "log"))
+    assert [r.account_id for r in found.balances.orderBy("ordinal").collect()] == ["a", "b"] and found.last_lsn == 2
+    with pytest.raises(ValueError, match="repair is off"):
+        durable.recover(spark, str(tmp_path / "log"), repair=False)
+
+
+def test_checkpoints_on_the_way(spark, tmp_path):
+    """A policy of every 5 records: what recovery makes of the log is the same with any checkpoint, damaged ones included, and without."""
+    history = [{"op": "OPEN", "account_id": a, "kind": "ASSET"} for a in ("a0", "a1", "a2")] + random_history(random.Random(11), 40)
+    attempts = frame_of(spark, history)
+    journal = ledger.journal_from(admission.decide(attempts)).cache()
+    log, folder = str(tmp_path / "log"), str(tmp_path / "checkpoints")
+    n = journal.count()
+    (tmp_path / "checkpoints").mkdir()
+    (tmp_path / "checkpoints" / "checkpoint-0000000000000000001.lckp.x.tmp").write_bytes(b"half")
+    assert durable.write_log(spark, journal, log, folder, checkpoints.Policy(every=5), records=7) == n // 5
+    names = sorted(p.name for p in (tmp_path / "checkpoints").iterdir() if not p.name.startswith("."))
+    assert names == [checkpoints.name_for(n // 5 * 5 - 5), checkpoints.name_for(n // 5 * 5)]
+    whole = durable.recover(spark, log)
+    of = lambda r: (sorted(map(tuple, r.balances.collect())), sorted(map(tuple, r.bindings.collect())), r.last_lsn)
+    want = of(whole)
+    first = durable.recover(spark, log, folder)
+    assert of(first) == want and (whole.watermark, first.watermark) == (0, n // 5 * 5) and first.tail.count() == n % 5
+    newest = tmp_path / "checkpoints" / names[1]
+    newest.write_bytes(newest.read_bytes()[:-1] + b"?")
+    second = durable.recover(spark, log, folder)
+    assert of(second) == want and second.watermark == n // 5 * 5 - 5
+    assert {r.refusal for r in second.checkpoints.collect()} == {None, "CRC_MISMATCH"}
+    assert not checkpoints.Policy(every=0).due(10**6) and checkpoints.Policy(every=3).due(3)
+    # One just written stays, though it isn't among the newest.
+    empty = journal.limit(0)
+    accounts = empty.select(F.col("lsn").alias("ordinal"), "account_id", "kind", F.lit(0).cast("long").alias("balance_minor"))
+    gone = checkpoints.write_checkpoint(folder, accounts, ledger.bindings(empty), 0, 16, "00" * 32, retain=1)
+    assert gone == [names[0]] and (tmp_path / "checkpoints" / checkpoints.name_for(0)).exists()
 
 
 def test_checkpoint_refusals(spark, tmp_path):
@@ -206,13 +296,21 @@ def test_checkpoint_refusals(spark, tmp_path):
     }
     for why, (file, raw) in cases.items():
         assert checkpoints.inspect(file, raw)[4] == why
+    assert checkpoints.inspect(name, b"XXXX")[4] == "LENGTH_MISMATCH"  # lengths come before the magic
+    assert checkpoints.inspect(name, again(good[:15] + b"\1" + good[16:-4]))[4] == "BAD_HEADER"  # reserved bytes
+    assert checkpoints.inspect(name, checkpoints.encode_checkpoint(section, 4, 126, b"\1" * 32, [7]))[4] == "BAD_HEADER"  # not the state's LSN
+    assert checkpoints.inspect(name, again(good[:32] + b"\xff" * 4 + good[36:-4]))[4] == "BAD_HEADER"  # more than a state may have
+    for spoiled in ([("ASSET", "a b", 1)], [("ASSET", "x" * 65, 1)], [("CASH", "a", 1)], [("ASSET", "a", 1)] * 2):
+        assert checkpoints.inspect(name, checkpoints.encode_checkpoint(checkpoints.encode_state(3, spoiled, []), 3, 126, b"\1" * 32, []))[4] == "STATE_MALFORMED"
     (tmp_path / name).write_bytes(good)
     (tmp_path / checkpoints.name_for(9)).write_bytes(good)
     found = checkpoints.read_checkpoints(spark, str(tmp_path))
     assert checkpoints.newest_valid(found).first().watermark == 3
-    assert checkpoints.against_log(found, 100, lambda n: "").where("refusal = 'COVERAGE_GONE'").count() == 1
-    assert checkpoints.against_log(found, 126, lambda n: "00").where("refusal = 'WAL_DIGEST_MISMATCH'").count() == 1
-    assert checkpoints.newest_valid(checkpoints.against_log(found, 126, lambda n: "01" * 32)).count() == 1
+    ends = lambda end: spark.createDataFrame([(3, end)], "lsn long, end_offset long")
+    digests = lambda text: spark.createDataFrame([(126, text)], "covered_bytes long, digest string")
+    assert checkpoints.against_log(found, ends(100), digests("01" * 32)).where("refusal = 'COVERAGE_GONE'").count() == 1
+    assert checkpoints.against_log(found, ends(126), digests("00" * 32)).where("refusal = 'WAL_DIGEST_MISMATCH'").count() == 1
+    assert checkpoints.newest_valid(checkpoints.against_log(found, ends(126), digests("01" * 32))).count() == 1
 
 
 def test_streaming_equals_batch(spark, tmp_path):
@@ -223,11 +321,74 @@ def test_streaming_equals_batch(spark, tmp_path):
     for k in range(3):
         attempts.where(f"seq div 11 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(admission.ATTEMPTS).parquet(str(tmp_path / "in"))
-        ingest(stream, str(tmp_path / "out"), str(tmp_path / "ck"), retention_ms=80).awaitTermination(120)
+        ingest(stream, str(tmp_path / "out"), str(tmp_path / "ck"), retention_ms=80, every=2).awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out/outcomes")).select("seq", "outcome", "reason").collect()
     assert sorted(map(tuple, got)) == model(history, 80)
     lsns = sorted(r.lsn for r in spark.read.parquet(str(tmp_path / "out/journal")).collect())
     assert lsns == list(range(1, len(lsns) + 1))
+    acks = spark.read.parquet(str(tmp_path / "out/acks"))
+    assert sorted(r.lsn for r in acks.collect()) == lsns and all(r.forced for r in acks.collect())
+
+
+def test_a_seq_is_decided_once(spark, tmp_path):
+    """A batch may not begin before the last seq that was decided, though that was refused; a batch that runs again replaces its own output."""
+    from tallyframe.streaming import ingest
+
+    folder = str(tmp_path / "out")
+    pay = lambda x: {"op": "POST", "entries": [("a", "DEBIT", x), ("b", "CREDIT", x)]}
+    attempts = frame_of(spark, [{"op": "OPEN", "account_id": a, "kind": "ASSET"} for a in ("a", "b")] + [pay(1), pay(0), pay(2), pay(3)])
+    ingest.commit_batch(attempts.where("seq < 4"), 0, folder)
+    for _ in range(2):
+        ingest.commit_batch(attempts.where("seq = 4"), 1, folder, every=1)
+    with pytest.raises(ValueError, match="was decided"):
+        ingest.commit_batch(attempts.where("seq in (3, 5)"), 2, folder)
+    ingest.commit_batch(attempts.where("seq = 5"), 2, folder)
+    assert sorted((r.seq, r.lsn) for r in spark.read.parquet(folder + "/journal").collect()) == [(0, 1), (1, 2), (2, 3), (4, 4), (5, 5)]
+    state = ingest.state_before(spark, folder, 3, 1)
+    assert {r.account_id: r.balance_minor for r in state["balances"].collect()} == {"a": 6, "b": -6}
+    assert tuple(ingest.stats(spark, folder).first())[:3] == (3, 6, 5)
+
+
+def test_overflow_in_the_audit_is_a_finding(spark):
+    journal = log_a(spark)
+    accounts = journal.where("type = 'ACCOUNT_OPENED'").select(F.col("lsn").alias("ordinal"), "account_id", "kind")
+    huge = [("acct-0", "DEBIT", MAX), ("acct-0", "DEBIT", MAX), ("acct-1", "CREDIT", MAX), ("acct-1", "CREDIT", MAX)]
+    more = spark.createDataFrame([(9, None, "POSTED", None, None, None, None, None, None, huge)], journal.schema)
+    index = ledger.balances(accounts, ledger.journal_entries(journal))
+    got = audit.audit(journal.unionByName(more), accounts, index, ledger.bindings(journal)).collect()
+    assert {tuple(r) for r in got} == {(rule, a) for rule in ("BALANCE_OVERFLOW", "BALANCE_INDEX") for a in ("acct-0", "acct-1")}
+
+
+def test_every_audit_rule_fires(spark):
+    got = registry.QUERIES["audit_rules"](spark, "/root/testdata/sf0.01")
+    assert {r.rule for r in got.select("rule").distinct().collect()} == set(audit.RULES)
+
+
+def test_hot_account_and_hot_key(spark):
+    """One account in all postings and one key on most: no task of the window or the join has more than a small share."""
+    n = 4000
+    rows = spark.range(n).select(
+        F.col("id").alias("seq"), F.explode(F.array(F.struct(F.lit("pool").alias("a"), F.lit("DEBIT").alias("s")), F.struct(F.concat(F.lit("u"), F.col("id") % 50).alias("a"), F.lit("CREDIT").alias("s")))).alias("e")
+    )
+    entries = rows.select("seq", F.col("e.a").alias("account_id"), F.col("e.s").alias("side"), F.lit(1).cast("long").alias("amount_minor"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which would put these few rows together again
+    got = ledger.running_balances(entries, span=64)
+    assert {r.seq: r.balance_minor for r in got.where("account_id = 'pool'").collect()} == {k: k + 1 for k in range(n)}
+    with_parts = got.withColumn("p", F.spark_partition_id()).groupBy("p").count().agg(F.max("count")).first()[0]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert with_parts < 2 * n * 0.4  # four tasks
+    null = F.lit(None).cast("string")
+    keyed = spark.range(n).select(F.col("id").alias("seq"), F.lit("m").alias("merchant"), F.when(F.col("id") % 10 == 0, F.col("id").cast("string")).otherwise("hot").alias("key"), F.lit("f").alias("fp"), F.col("id").alias("now_ms"), F.when(F.col("id") < 5, "UNBALANCED").alias("reason"), null.alias("x"))
+    bound = {r.seq: r.binder_seq for r in admission.bind(keyed).collect()}
+    assert bound[3] is None and bound[5] is None and all(bound[k] == 5 for k in range(6, n) if k % 10) and bound[20] is None
+
+
+def test_numbers_that_dont_follow(spark):
+    got = ledger.lsn_gaps(spark.createDataFrame([(x,) for x in (1, 2, 2, 3, 5, 64, 65, 200, 200)], "lsn long"), span=64)
+    assert sorted(map(tuple, got.collect())) == [(2, "REPEATED"), (5, "GAP"), (64, "GAP"), (200, "GAP"), (200, "REPEATED")]
+    sizes = spark.range(1, 300).select(F.col("id").alias("lsn"), (F.col("id") % 7 + 20).alias("frame_length"))
+    ends = [r.end_offset for r in ledger.frame_ends(sizes, span=8).orderBy("lsn").collect()]
+    assert ends == np.cumsum([16] + [k % 7 + 20 for k in range(1, 300)])[1:].tolist()
 
 
 def test_scalars(spark):
@@ -277,8 +438,6 @@ def test_duplicate_storm_takes_every_event(spark):
 
 
 def test_state_digest_tells_events_apart(spark):
-    import hashlib
-
     opens = [{"op": "OPEN", "account_id": a, "kind": "ASSET"} for a in ("a", "b")]
     post = lambda x: {"op": "POST", "entries": [("a", "DEBIT", x), ("b", "CREDIT", x)]}
     journals = []
