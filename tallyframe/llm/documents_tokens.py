@@ -14,7 +14,7 @@ from .common import blank_text, slices
 from .tokens import REMEMBERED, encoder
 
 #: Bytes of text whose ids a task holds at a time (or one longer text).
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 4_000_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
