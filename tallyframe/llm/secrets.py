@@ -5,10 +5,13 @@ are OR-ed, anything else promises nothing. The index holds postings (trigram, te
 names. Grouping the postings by text intersects them, the queries are evaluated on what is left, and only candidates are
 verified with the regular expression. Rules without mandatory trigrams scan every text.
 
-The key of a text is its 64-bit hash. Equal texts share their postings; should different texts ever share a key, both are
-verified against the union of their postings, so no span is lost.
+The key of a row is the 64-bit hash of all its columns, so that copies of a text under many ids are dealt to many tasks; should different rows ever share a key,
+both are verified against the union of their postings, so no span is lost. Rows without a posting, empty and null texts among them, meet nothing in the join
+with the candidates; what they have to be dealt by is their own hash.
 
-Nulls: a null text is empty; a null doc_id is kept. Repeated rows each get their row. Spans are code points, end exclusive.
+Nulls: a null text is empty; a null doc_id is kept. Repeated rows each get their row. Spans are code points, end exclusive. Texts of any length and number of matches take
+little more than in proportion (running sums go over blocks of the matches). Other columns are kept whatever their names; only one that is
+called ``spans`` is replaced. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import blank_text, let
 
+#: Matches whose running sums are added up one by one; more are taken in blocks of their square root.
+BLOCK = 64
 #: More literal alternatives than this at one place count as anything.
 ALTERNATIVES = 64
 
@@ -127,6 +132,12 @@ def candidates(docs: DataFrame, rules) -> DataFrame:
     return grams.select("key", hit.alias("rules")).where(F.size("rules") > 0)
 
 
+def _blocks(values: Column) -> Column:
+    """An array as an array of blocks: a running sum by blocks costs n ** 1.5, while an array that grows in an aggregate is copied for each element."""
+    size = F.greatest(F.lit(BLOCK), F.ceil(F.sqrt(F.size(values)))).cast("int")
+    return F.when(F.size(values) > 0, let(size, lambda n: F.transform(F.sequence(F.lit(1), F.size(values), n), lambda k: F.slice(values, k, n)))).otherwise(F.slice(F.array(values), 1, 0))
+
+
 def _spans(text: Column, rule: Rule, order: int) -> Column:
     """Spans of a rule's leftmost non-overlapping matches that are long enough."""
     regex = F.lit(rule.regex)
@@ -134,33 +145,37 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
     matches = F.arrays_zip(
         size(F.split(text, rule.regex, -1)).alias("gap"), size(F.regexp_extract_all(text, regex, 0)).alias("size"), size(F.regexp_extract_all(text, regex, rule.group)).alias("part")
     )
-    span = lambda start, m: F.struct(start.alias("start"), F.lit(order).alias("order"), (start + m["size"]).alias("end"), F.lit(rule.kind).alias("kind"))
-    empty = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
+    length = lambda ms: F.aggregate(ms, F.lit(0), lambda acc, m: acc + m["gap"] + F.coalesce(m["size"], F.lit(0)))
+    total = lambda ns: F.aggregate(ns, F.lit(0), lambda acc, n: acc + n)
+
+    def span(at: Column, m: Column) -> Column:
+        return F.when(m["part"] >= rule.least, F.struct((at + m["gap"]).alias("start"), F.lit(order).alias("order"), (at + m["gap"] + m["size"]).alias("end"), F.lit(rule.kind).alias("kind")))
+
+    def of_block(block: Column, base: Column) -> Column:
+        return F.array_compact(F.transform(block, lambda m, k: let(base + length(F.slice(block, 1, k)), lambda at: span(at, m))))
 
-    def step(acc: Column, m: Column) -> Column:
-        start = acc["at"] + m["gap"]
-        found = F.when(m["part"] >= rule.least, F.array_append(acc["spans"], span(start, m))).otherwise(acc["spans"])
-        return F.struct((start + F.coalesce(m["size"], F.lit(0))).alias("at"), found.alias("spans"))
+    def placed(blocks: Column) -> Column:
+        return let(F.transform(blocks, length), lambda sums: F.flatten(F.transform(blocks, lambda block, k: let(total(F.slice(sums, 1, k)), lambda base: of_block(block, base)))))
 
-    return F.aggregate(matches, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
+    return let(matches, lambda ms: let(_blocks(ms), placed))
 
 
 def find_secrets(docs: DataFrame, rules=RULES) -> DataFrame:
     """``docs`` with ``spans`` added: array of (start, order, end, kind) by start, then by the rules' order."""
-    keyed = docs.withColumn("_text", blank_text()).withColumn("_key", F.xxhash64("_text"))
-    found = candidates(keyed.select(F.col("_key").alias("key"), F.col("_text").alias("text")), rules)
-    found = found.select(F.col("key").alias("_key"), F.col("rules").alias("_rules"))
-    joined = keyed.join(found, "_key", "left")
+    kept = [c for c in docs.columns if c != "spans"]
+    keyed = docs.select(F.struct(*kept).alias("row"), blank_text().alias("text"), F.xxhash64(*docs.columns).alias("key"))
+    found = candidates(keyed.select("key", "text"), rules)
+    joined = keyed.join(found, "key", "left")
     none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
     each = []
     for order, rule in enumerate(rules):
-        spans = _spans(F.col("_text"), rule, order)
+        spans = _spans(F.col("text"), rule, order)
         if trigram_query(rule.regex):
-            spans = F.when(F.array_contains("_rules", rule.kind), spans).otherwise(none)
+            spans = F.when(F.array_contains("rules", rule.kind), spans).otherwise(none)
         else:  # a plain search first: most texts have none
-            spans = F.when(F.col("_text").rlike(rule.regex), spans).otherwise(none)
+            spans = F.when(F.col("text").rlike(rule.regex), spans).otherwise(none)
         each.append(spans)
-    return joined.withColumn("spans", F.array_sort(F.concat(*each))).drop("_key", "_rules", "_text")
+    return joined.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], F.array_sort(F.concat(*each)).alias("spans"))
 
 
 def span_list(spans: Column) -> Column:
@@ -185,17 +200,26 @@ def redact(docs: DataFrame, rules=RULES, mask: str = "[SECRET]") -> DataFrame:
 
     A column n_chars, if there is one, is set to the new length. A null text stays null.
     """
-    packed = docs.select("text", F.struct(*docs.columns).alias("_row"))
+    packed = docs.select("text", F.struct(*docs.columns).alias("row"))
     text = F.col("text").cast("string")
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    end = lambda spans: F.coalesce(F.array_max(F.transform(spans, lambda s: s["end"])), F.lit(0))
+
+    def of_block(block: Column, first: Column, base: Column) -> Column:
+        """The text from ``base``, the end of all spans before the block, to the end of its spans; a span that begins behind those before it has a mask."""
+
+        def piece(own: Column, s: Column, k: Column) -> Column:
+            upto = F.greatest(base, end(F.slice(block, 1, k)))
+            return let(upto, lambda at: F.when((first & (k == 0)) | (s["start"] > at), F.concat(own.substr(at - base + 1, s["start"] - at), F.lit(mask))).otherwise(""))
+
+        return let(text.substr(base + 1, F.greatest(end(block) - base, F.lit(0))), lambda own: F.array_join(F.transform(block, lambda s, k: piece(own, s, k)), ""))
 
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.concat(acc["out"], text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))
-        fresh = (s["start"] > acc["at"]) | (acc["at"] == 0)
-        return F.struct(F.when(fresh, kept).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+    def masked(blocks: Column) -> Column:
+        ends = F.transform(blocks, end)
+        whole = lambda es: F.transform(blocks, lambda block, k: let(F.coalesce(F.array_max(F.slice(es, 1, k)), F.lit(0)), lambda base: of_block(block, k == 0, base)))
+        return let(ends, lambda es: F.concat(F.array_join(whole(es), ""), text.substr(F.array_max(es) + 1, F.length(text))))
 
-    clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
-    found = find_secrets(packed, rules).withColumn("_clean", F.when(F.size("spans") > 0, clean).otherwise(text))
-    changed = {"text": F.col("_clean"), "n_chars": F.coalesce(F.length("_clean"), F.lit(0))}
+    found = find_secrets(packed, rules)
+    found = found.withColumn("clean", F.when(F.size("spans") > 0, let(_blocks(F.col("spans")), masked)).otherwise(text))
+    changed = {"text": F.col("clean"), "n_chars": F.coalesce(F.length("clean"), F.lit(0))}
     kinds = dict(docs.dtypes)
-    return found.select(*[changed[c].cast(kinds[c]).alias(c) if c in changed else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    return found.select(*[changed[c].cast(kinds[c]).alias(c) if c in changed else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
