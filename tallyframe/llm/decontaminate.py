@@ -6,12 +6,16 @@ neighbouring ones on a diagonal join to maximal matches. Tiling takes the longes
 on both sides, marks it, and repeats; matches that overlap marked words are cut to what is unmarked and queued again, down to ``least``
 words. Coverage is the share of the item's words under tiles, so passages whose parts were moved about are caught, too.
 
-The benchmark is read in blocks of at most ``block_words`` words, each block broadcast, so that its size is bounded;
-every block sees every whole document, in the tasks that hold it: documents are never shuffled. Before tiling, the share of
-the item's words under any shared seed is an upper bound of coverage, and pairs below the threshold are left there.
+Documents are read once, whatever the benchmark's size:
+
+1. the seeds of all items are a table; a bit map of a fixed size over them (``FILTER_BITS``) is broadcast;
+2. tasks hash each whole document and keep those with a seed in the map, with these seeds; nothing else of a document is shuffled;
+3. these seeds meet the items' in a join. The shared seeds of a pair cover at most so many of the item's words: pairs below the threshold are left there;
+4. the texts of the pairs that are left meet, and are tiled.
 
 Nulls: null texts have no words, match nothing and stay. Null item_ids are kept as ids. Repeated benchmark rows (or ids) are tiled as
-separate items; repeated document rows each give their rows. An empty benchmark matches nothing.
+separate items; repeated document rows each give their rows. Texts of any length are taken whole. Other columns are dropped by ``contaminated``, and kept by
+``drop_contaminated`` whatever their names. An empty benchmark, or an empty table, matches nothing.
 """
 
 from __future__ import annotations
@@ -25,11 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank_text
+from .common import blank_text, cut, slices
 
 LEAST = 5
 COVERAGE = 0.5
-BLOCK_WORDS = 200_000
+#: Bits of the map of seeds, a power of two: 8 MB. A larger benchmark lets more foreign seeds pass to the join, and loses none.
+FILTER_BITS = 1 << 26
+#: Contaminated rows that are broadcast to drop them; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Words whose hashes a worker remembers.
+REMEMBERED = 200_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"[^\W_]+")
 
@@ -79,93 +88,139 @@ def tile(item: np.ndarray, doc: np.ndarray, seeds: list[tuple[int, int]], width:
     return tiles
 
 
-class Block:
-    """Items of one block: words as ids, and the sorted hashes of their seeds."""
-
-    def __init__(self, items: list[tuple[int | None, list[str]]], least: int):
-        self.vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws in items for w in ws}), 1)}
-        self.names = [name for name, _ in items]
-        self.items = [np.array([self.vocabulary[w] for w in ws], np.uint64) for _, ws in items]
-        rows = [(h, np.full(len(h), k), np.arange(len(h))) for k, x in enumerate(self.items) for h in [rolling(x, least)]]
-        hashes, owners, places = (np.concatenate(c) for c in zip(*rows))
-        order = np.argsort(hashes, kind="stable")
-        self.width, self.hashes, self.owners, self.places = least, hashes[order], owners[order], places[order]
-
-    def matches(self, words: list[str], coverage: float) -> Iterator[tuple[int | None, float, list[tuple[int, int, int]]]]:
-        width, hashes = self.width, self.hashes
-        ids = np.array(list(map(self.vocabulary.get, words, [0] * len(words))), np.uint64)
-        here = rolling(ids, width)
-        low = np.searchsorted(hashes, here, "left")
-        hit = np.nonzero(hashes[np.minimum(low, len(hashes) - 1)] == here)[0]
-        high = np.searchsorted(hashes, here[hit], "right")
-        found: dict[int, list[tuple[int, int]]] = {}
-        for j, a, b in zip(hit.tolist(), low[hit].tolist(), high.tolist()):
-            for owner, i in zip(self.owners[a:b].tolist(), self.places[a:b].tolist()):
-                found.setdefault(owner, []).append((i, j))
-        for owner, seeds in found.items():
-            item = self.items[owner]
-            under = np.zeros(len(item) + 1, np.int64)
-            starts = np.array(sorted({i for i, _ in seeds}))
-            under[starts] += 1
-            under[starts + width] -= 1
-            if (np.cumsum(under)[:-1] > 0).sum() < coverage * len(item):
-                continue
-            tiles = tile(item, ids, seeds, width)
-            share = sum(n for _, _, n in tiles) / len(item)
-            if share >= coverage:
-                yield self.names[owner], share, tiles
-
-
-def blocks(benchmark: DataFrame, least: int, block_words: int) -> Iterator[Block]:
-    """The benchmark (item_id, text) in blocks of at most ``block_words`` words (or of one longer item)."""
-    items, size = [], 0
-    ordered = benchmark.select(F.col("item_id").cast("long").alias("item_id"), blank_text().alias("text")).orderBy("item_id", "text")
-    for row in ordered.toLocalIterator():
-        found = word_list(row.text)
-        if items and size + len(found) > block_words:
-            yield Block(items, least)
-            items, size = [], 0
-        if len(found) >= least:
-            items.append((row.item_id, found))
-            size += len(found)
-    if items:
-        yield Block(items, least)
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = LEAST, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, item_id, coverage and tiles (item_place, doc_place, words) of all pairs that reach ``coverage``."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), blank_text().alias("text"))
-    schema = "doc_id long, item_id long, coverage double, tiles array<struct<item_place:int,doc_place:int,words:int>>"
-    kind = pa.list_(pa.struct([("item_place", pa.int32()), ("doc_place", pa.int32()), ("words", pa.int32())]))
-    out = docs.sparkSession.createDataFrame([], schema)
-    for block in blocks(benchmark, least, block_words):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = [
-                    (doc_id, item_id, share, [dict(zip(("item_place", "doc_place", "words"), t)) for t in tiles])
-                    for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())
-                    for item_id, share, tiles in shared.value.matches(word_list(text), coverage)
-                ]
-                if rows:
-                    a, b, c, d = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64()), pa.array(d, kind)], ["doc_id", "item_id", "coverage", "tiles"])
-
-        out = out.unionByName(plain.mapInArrow(run, schema))
+class _Words(dict):
+    """64-bit hashes of words, of which the latest are remembered."""
+
+    def __missing__(self, word: str) -> int:
+        from xxhash import xxh64_intdigest
+
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = found = xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return found
+
+
+def seeds_of(words: list[str], least: int, known: dict[str, int]) -> np.ndarray:
+    """Hashes of all windows of ``least`` words."""
+    return rolling(np.array([known[w] for w in words], np.uint64), least)
+
+
+def _slot(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place and bit of hashes in a map of ``size`` bits; the highest bits of a product, since a rolling hash's own are not mixed."""
+    at = (hashes * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - size.bit_length() + 1)
+    return at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63))
+
+
+def items_of(benchmark: DataFrame, least: int) -> DataFrame:
+    """item (a number), item_id, text, words and seeds (place, seed) of the benchmark's rows with ``least`` words or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
+        for batch in slices(batches, "text", 1_000_000):
+            found = [word_list(t) for t in batch.column("text").to_pylist()]
+            seeds = [seeds_of(ws, least, known).view(np.int64) for ws in found]
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), batch.column("text"), pa.array(map(len, found), pa.int32()), pa.array(seeds, pa.list_(pa.int64()))], ["item_id", "text", "words", "seeds"])
+
+    plain = benchmark.select(F.col("item_id").cast("long").alias("item_id"), blank_text().alias("text"))
+    found = plain.mapInArrow(run, "item_id long, text string, words int, seeds array<long>").where(F.col("words") >= least)
+    return cut(found.withColumn("item", F.monotonically_increasing_id()), "items")  # the numbers are written with the rows
+
+
+def seed_map(items: DataFrame, size: int = FILTER_BITS) -> np.ndarray:
+    """The bit map of the items' seeds; a task gives a row for each of its 64-bit words that isn't empty, and these are joined by OR."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, bit = _slot(batch.column("seeds").flatten().to_numpy().view(np.uint64), size)
+            places, back = np.unique(at, return_inverse=True)
+            bits = np.zeros(len(places), np.uint64)
+            np.bitwise_or.at(bits, back, bit)
+            yield pa.RecordBatch.from_arrays([pa.array(places.view(np.int64)), pa.array(bits.view(np.int64))], ["place", "bits"])
+
+    found = items.select("seeds").mapInArrow(run, "place long, bits long").groupBy("place").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()  # size / 64 rows at most
+    out = np.zeros(size // 64, np.uint64)
+    out[found.column("place").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = LEAST, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of ``docs`` without an item that reaches ``coverage``, with the same columns."""
-    for block in blocks(benchmark, least, block_words):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+def touched(docs: DataFrame, bits: np.ndarray, least: int) -> DataFrame:
+    """row (a number), doc_id, text and seeds (distinct) of the documents that have a seed in the map."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
+        for batch in slices(batches, "text", 4_000_000):
+            keep, seeds = [], []
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                here = seeds_of(word_list(text), least, known)
+                place, bit = _slot(here, 64 * len(shared.value))
+                hit = here[shared.value[place] & bit != 0]
+                if len(hit):
+                    keep.append(k)
+                    seeds.append(np.unique(hit).view(np.int64))
+            if keep:
+                kept = batch.take(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(seeds, pa.list_(pa.int64()))], [*kept.schema.names, "seeds"])
+
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = plain.where("text is not null").mapInArrow(run, "doc_id long, text string, seeds array<long>")
+    return cut(found.withColumn("row", F.monotonically_increasing_id()), "touched")
+
+
+def candidates(rows: DataFrame, items: DataFrame, coverage: float, least: int) -> DataFrame:
+    """(row, item) of the pairs whose shared seeds can cover ``coverage`` of the item's words."""
+    own = items.select("item", F.explode("seeds").alias("seed")).groupBy("seed", "item").agg(F.count(F.lit(1)).alias("times"))
+    met = rows.select("row", F.explode("seeds").alias("seed")).join(own, "seed").groupBy("row", "item").agg(F.sum("times").alias("times"))
+    return met.join(items.select("item", "words"), "item").where(F.col("times") * least >= F.lit(coverage) * F.col("words")).select("row", "item")
+
+
+def match(item: list[str], words: list[str], least: int, coverage: float) -> tuple[float, list[tuple[int, int, int]]]:
+    """Coverage of an item's words by tiles, and the tiles (none where the words under shared seeds are too few)."""
+    names = {w: k for k, w in enumerate(dict.fromkeys(item), 1)}
+    a, b = np.array([names[w] for w in item], np.uint64), np.array([names.get(w, 0) for w in words], np.uint64)
+    places: dict[int, list[int]] = {}
+    for i, h in enumerate(rolling(a, least).tolist()):
+        places.setdefault(h, []).append(i)
+    hits = [(j, places[h]) for j, h in enumerate(rolling(b, least).tolist()) if h in places]
+    under = np.zeros(len(item) + 1, np.int64)
+    starts = np.array(sorted({i for _, found in hits for i in found}), np.int64)
+    under[starts] += 1
+    under[starts + least] -= 1
+    if (np.cumsum(under)[:-1] > 0).sum() < coverage * len(item):
+        return 0.0, []
+    tiles = tile(a, b, [(i, j) for j, found in hits for i in found], least)
+    return sum(n for _, _, n in tiles) / len(item), tiles
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = LEAST, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """doc_id, item_id, coverage and tiles (item_place, doc_place, words) of all pairs that reach ``coverage``."""
+    return _tiled(docs, benchmark, coverage, least, filter_bits).select("doc_id", "item_id", "coverage", "tiles")
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-                clean = [next(shared.value.matches(word_list(t), coverage), None) is None for t in texts]
-                yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+def _tiled(docs: DataFrame, benchmark: DataFrame, coverage: float, least: int, filter_bits: int) -> DataFrame:
+    items = items_of(benchmark, least)
+    rows = touched(docs, seed_map(items, filter_bits), least)
+    pairs = candidates(rows, items, coverage, least)
+    texts = pairs.join(items.select("item", "item_id", F.col("text").alias("item_text")), "item").join(rows.select("row", "doc_id", "text"), "row")
+    tiles = pa.list_(pa.struct([("item_place", pa.int32()), ("doc_place", pa.int32()), ("words", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 4_000_000):
+            found = [match(word_list(a), word_list(b), least, coverage) for a, b in zip(batch.column("item_text").to_pylist(), batch.column("text").to_pylist())]
+            shares = pa.array([c for c, _ in found], pa.float64())
+            placed = pa.array([[dict(zip(("item_place", "doc_place", "words"), t)) for t in ts] for _, ts in found], tiles)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), batch.column("item_id"), shares, placed], ["doc_id", "text", "item_id", "coverage", "tiles"])
+
+    schema = "doc_id long, text string, item_id long, coverage double, tiles array<struct<item_place:int,doc_place:int,words:int>>"
+    return texts.select("doc_id", "text", "item_id", "item_text").mapInArrow(run, schema).where((F.col("coverage") >= coverage) & (F.size("tiles") > 0))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = LEAST, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of ``docs`` without an item that reaches ``coverage``, with the same columns."""
+    found = _tiled(docs, benchmark, coverage, least, filter_bits)
+    bad = cut(found.select(F.xxhash64("text").alias("_h"), F.length("text").alias("_n"), F.col("doc_id").alias("_d")).distinct(), "contaminated")
+    small = bad.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    text = F.col("text").cast("string")
+    same = (F.xxhash64(text) == F.col("_h")) & (F.length(text) == F.col("_n")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_d"))
+    packed = docs.select(F.struct(*docs.columns).alias("row"), "text", "doc_id")
+    return packed.join(F.broadcast(bad) if small else bad, same, "left_anti").select("row.*")
