@@ -18,7 +18,8 @@ share one of these), and all that meet in a neighbour are linked to the least of
 Links are between distinct fingerprints, so copies cost nothing. Components come from rounds of large-star and small-star
 contraction, each round cut to the shared folder.
 
-Nulls: a null text has no words; null doc_ids count last, a group of nothing else has a null component_id. Repeated rows each get a row.
+Nulls: a null text has no words; null doc_ids count last, a group of nothing else has a null component_id. Repeated rows each get a row. Texts of any length
+are hashed whole. Other columns, whatever their names, are dropped by ``near_duplicates`` and kept by ``keep_one``. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -207,13 +208,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, **limits) -> DataFrame:
-    """doc_id, h, fp and component_id (the smallest doc_id reachable over links of fingerprints) of every row."""
+    """doc_id, h, fp, root (the least fingerprint of the component) and component_id (the smallest doc_id reachable over links of fingerprints) of every row."""
     rows = cut(fingerprints(docs), "fingerprints")
     first = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(links(first.select("fp"), **limits))
     owned = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = owned.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(owned.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp")
+    return rows.join(owned.select("fp", "root").join(least, "root"), "fp")
 
 
 def fingerprint_hex(fp: Column) -> Column:
@@ -224,9 +225,8 @@ def keep_one(docs: DataFrame, **limits) -> DataFrame:
     """One row of each group of near-duplicates: that with the smallest doc_id, of equal ones that with the least hash of its text."""
     found = near_duplicates(docs, **limits)
     order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", F.col("h").isNotNull().alias("full"), "h")
-    # A group of null doc_ids only has no component_id, so that the fingerprint stands for it.
-    group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp"))
-    chosen = found.groupBy(group.alias("g")).agg(F.min(order).alias("o")).select("o.doc_id", "o.h")
+    # Components are told apart by their root: one doc_id may stand on rows of several, and on rows without any.
+    chosen = found.groupBy("root").agg(F.min(order).alias("o")).select("o.doc_id", "o.h")
     keys = chosen.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("_id"), F.coalesce(F.col("h").cast("string"), F.lit("-")).alias("_h")).distinct()
     packed = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")).alias("_id"), F.coalesce(text_key().cast("string"), F.lit("-")).alias("_h"))
     kept = packed.join(keys, ["_id", "_h"], "left_semi")
