@@ -15,7 +15,8 @@ to all tasks. Each part then computes its windows' probabilities and sends them
 in a cogroup. A task holds ``PART_ROWS`` counts, or those of one ending if there are more of them; nothing is pruned or rounded.
 
 Words are looked up alike, by their 64-bit hashes, for the base score. Nulls: a null text is empty (one end token, one end byte); a null doc_id counts
-as empty text for the choice of held-out documents. Repeated rows each get a row. Without training documents every window has p = 1/2 a bit.
+as empty text for the choice of held-out documents. Repeated rows each get a row. Without training documents every window has p = 1/2 a bit. A text of any length
+is scored whole; one beyond ``block_bytes`` is a block by itself. Other columns are dropped, whatever their names. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -282,8 +283,8 @@ def block_counts(docs: DataFrame, depth: int) -> DataFrame:
 _PARTS = "kind int, n_keys long, n_rows long, keys binary, n binary, at binary, blocks binary, tokens long, vocabulary long, n_nodes long, nodes binary, total binary, ones binary, below binary"
 
 
-def tree_parts(counts: DataFrame, depth: int, part_rows: int = PART_ROWS) -> DataFrame:
-    """Packed rows, each with all counts of some endings of contexts (or of some words): the keys' sums, the blocks that have them, and what the tree above needs."""
+def tree_parts(counts: DataFrame, depth: int, tasks: int, part_rows: int = PART_ROWS) -> DataFrame:
+    """Dealt to ``tasks`` tasks: packed rows, each with all counts of some endings of contexts (or of some words): the keys' sums, the blocks that have them, and what the tree above needs."""
     top = min(depth, SHARED)
 
     def ending(kind: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -329,7 +330,7 @@ def tree_parts(counts: DataFrame, depth: int, part_rows: int = PART_ROWS) -> Dat
             yield from ready(True)
 
     by = F.when(F.col("kind") == WINDOW, F.shiftright("key", 8).bitwiseAND(F.lit((1 << (8 * top)) - 1))).otherwise(F.col("key"))
-    return counts.repartition("kind", by).sortWithinPartitions("kind", by).mapInArrow(run, _PARTS)
+    return counts.repartition(tasks, "kind", by).sortWithinPartitions("kind", by).mapInArrow(run, _PARTS)
 
 
 def crown_of(parts: DataFrame, top: int) -> tuple[np.ndarray, ...]:
@@ -382,7 +383,9 @@ def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH, block
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), blank_text().alias("text"), held_out.alias("held_out"))
     plain = cut(plain.mapInArrow(number, "doc_id long, text string, held_out boolean, block long"), "documents")
-    parts = cut(tree_parts(block_counts(plain, depth), depth), "tree")
+    # Tasks grow in number with the blocks, not in size with the input; twice as many, since hashes deal blocks unevenly.
+    tasks = max(2 * plain.select("block").distinct().count(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = cut(tree_parts(block_counts(plain, depth), depth, tasks), "tree")
     known = parts.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("vocabulary"), F.lit(0))).first()
     total, vocabulary = int(known[0]), int(known[1])
     found = block_values(parts, crown_of(parts, min(depth, SHARED)), depth)
@@ -423,7 +426,7 @@ def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH, block
         )
 
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return plain.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(score, out)
+    return plain.repartition(tasks, "block").groupBy("block").cogroup(found.repartition(tasks, "block").groupBy("block")).applyInArrow(score, out)
 
 
 def hold_out(doc_id: Column, n: int = 7, which: int = 2) -> Column:
