@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.transactions import nest, transfer
-from ..session import table
+from ..session import cut, table
 
 #: Openings come before every posting; ordinals leave each table its own range, so that no global numbering is needed.
 SUPPLIERS, EQUITY = 1_000_000_000_000, 2_000_000_000_000
@@ -70,7 +70,8 @@ def order_attempts(spark: SparkSession, d: str) -> DataFrame:
     posts = nest(order_entries(spark, d, bad=True))
     empty = lambda kind: F.lit(None).cast(kind)
     posts = posts.select("seq", F.lit("POST").alias("op"), empty("string").alias("account_id"), empty("string").alias("kind"), empty("string").alias("merchant"), empty("string").alias("key"), empty("long").alias("now_ms"), "entries")
-    return _opens(accounts(spark, d), F.col("ordinal") - 2 * EQUITY).unionByName(posts)
+    # Attempts are a table that admission reads several times; deriving them from the lines of orders is done once.
+    return cut(_opens(accounts(spark, d), F.col("ordinal") - 2 * EQUITY).unionByName(posts), "attempts")
 
 
 def user_accounts(spark: SparkSession, d: str) -> DataFrame:
