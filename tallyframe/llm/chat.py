@@ -10,7 +10,8 @@ What a span leaves of the room is filled with the last turns before it, at most
 texts of the span's own assistant turns, so that every assistant text is learned once.
 
 Order within a conversation: turn, role, text; null turns first. Null roles and texts are empty, a null conv_id is a conversation. Repeated rows are
-separate turns. Windows are bounded by the budget; only the digest of ``read_back`` runs through a conversation in order, and keeps no more than a hash state.
+separate turns. Other columns are dropped, whatever their names; an empty table gives an empty one. Windows are bounded by the budget, but for a turn beyond it; only the
+digest of ``read_back`` runs through a conversation in order, and keeps no more than a hash state.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, slices
@@ -48,7 +49,7 @@ def format_turn(role: str, text: str) -> tuple[str, int, int]:
 
 
 def turn_tokens(turns: DataFrame, tokenizer: str) -> DataFrame:
-    """conv_id, turn, role, text and tokens (of the formatted turn)."""
+    """``turns`` (role, text, ...; no nulls) with tokens, the number of the formatted turn's tokens, added."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
@@ -56,25 +57,53 @@ def turn_tokens(turns: DataFrame, tokenizer: str) -> DataFrame:
             made = [format_turn(r, t)[0] for r, t in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(x) // enc.dtype.itemsize for x in enc.encode(made)], pa.int64())], [*batch.schema.names, "tokens"])
 
+    return turns.mapInArrow(run, ", ".join([f"{c} {kind}" for c, kind in turns.dtypes] + ["tokens long"]))
+
+
+def _bases(sums: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """For each stretch (_p, conv_id) the aggregates of the conversation's stretches before it; a row a stretch."""
+    before = Window.partitionBy("conv_id").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select("_p", F.col("conv_id").alias("_c"), *[F.coalesce(c.over(before), F.lit(0)).cast("long").alias(name) for name, c in columns.items()])
+
+
+def _placed(turns: DataFrame, tokenizer: str, budget: int) -> DataFrame:
+    """Turns with n (place in the conversation, from 1), start (tokens before), system, kept, room, longs and share.
+
+    A long conversation is no single task: turns are dealt by ranges of their order, running values are taken within each stretch of a conversation
+    in a range, and the stretches' sums are added up in order.
+    """
+    order = ["conv_id", "turn", "role", "text"]
+    # Equal turns are dealt by their place in the input; the ranges' bounds are sampled, so what they gave is written.
     filled = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")]
-    plain = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *filled)
-    return plain.mapInArrow(run, "conv_id long, turn long, role string, text string, tokens long")
+    plain = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *filled, (F.monotonically_increasing_id() % 997).alias("_row"))
+    dealt = cut(turn_tokens(plain.repartitionByRange(*order, "_row").withColumn("_p", F.spark_partition_id()), tokenizer), "ranges")
+    stretch = Window.partitionBy("_p", "conv_id").orderBy("turn", "role", "text", "_row")
+    before, upto = stretch.rowsBetween(Window.unboundedPreceding, -1), stretch.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    same = F.col("conv_id").eqNullSafe(F.col("_c"))
+
+    at = dealt.withColumn("_n", F.row_number().over(stretch)).withColumn("_start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
+    sums = dealt.groupBy("_p", "conv_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("tokens").alias("all"), F.min(F.struct("turn", "role", "text", "_row", "tokens")).alias("head"))
+    head = F.first("head").over(Window.partitionBy("conv_id").orderBy("_p"))
+    bases = _bases(sums, {"_rows": F.sum("rows"), "_all": F.sum("all")})
+    heads = sums.select(F.col("_p").alias("_hp"), F.col("conv_id").alias("_hc"), F.when(head["role"] == "system", head["tokens"]).otherwise(0).alias("kept"))
+    bases = bases.join(heads, (F.col("_p") == F.col("_hp")) & F.col("_c").eqNullSafe(F.col("_hc"))).select(F.col("_p").alias("_q"), "_c", "_rows", "_all", "kept")
+    at = at.join(bases, (F.col("_p") == F.col("_q")) & same).drop("_q", "_c")
+    at = at.withColumn("n", (F.col("_n") + F.col("_rows")).cast("long")).withColumn("start", F.col("_start") + F.col("_all"))
+    at = at.withColumn("system", (F.col("n") == 1) & (F.col("role") == "system")).withColumn("room", F.greatest(F.lit(budget) - F.col("kept"), F.lit(2)))
+    at = at.withColumn("step", F.floor(F.col("room") / 2)).withColumn("_long", F.col("tokens") > F.col("step"))
+    at = at.withColumn("_longs", F.sum(F.col("_long").cast("int")).over(upto)).withColumn("_origin", F.max(F.when(F.col("_long"), F.col("start"))).over(upto))
+    at = cut(at.drop("_rows", "_all", "_n", "_start"), "stretches")
+
+    sums = at.groupBy("_p", "conv_id").agg(F.sum(F.col("_long").cast("int")).alias("longs"), F.max(F.when(F.col("_long"), F.col("start"))).alias("origin"))
+    bases = _bases(sums, {"_before": F.sum("longs"), "_from": F.max("origin")}).withColumnRenamed("_p", "_q")
+    at = at.join(bases, (F.col("_p") == F.col("_q")) & same).withColumn("longs", F.col("_longs") + F.col("_before")).withColumn("_origin", F.coalesce("_origin", "_from"))
+    at = at.withColumn("share", F.floor((F.col("start") - F.col("_origin")) / F.col("step")))
+    return cut(at.select("conv_id", "turn", "role", "text", "tokens", "n", "start", "system", "kept", "room", "longs", "share"), "turns")
 
 
 def windows(turns: DataFrame, tokenizer: str, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """conv_id, window (from 0), text, repeated (leading turns that are repeats), loss (spans in code points), tokens, over."""
-    whole = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    before = whole.rowsBetween(Window.unboundedPreceding, -1)
-    upto = whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at = turn_tokens(turns, tokenizer).withColumn("n", F.row_number().over(whole).cast("long"))
-    at = at.withColumn("system", (F.col("n") == 1) & (F.col("role") == "system"))
-    at = at.withColumn("kept", F.coalesce(F.max(F.when(F.col("system"), F.col("tokens"))).over(upto), F.lit(0)))
-    at = at.withColumn("room", F.greatest(F.lit(budget) - F.col("kept"), F.lit(2))).withColumn("step", F.floor(F.col("room") / 2))
-    at = at.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
-    long = F.col("tokens") > F.col("step")
-    at = at.withColumn("longs", F.sum(long.cast("int")).over(upto)).withColumn("origin", F.coalesce(F.max(F.when(long, F.col("start"))).over(upto), F.lit(0)))
-    at = at.withColumn("share", F.floor((F.col("start") - F.col("origin")) / F.col("step")))
-    at = cut(at.drop("step", "origin"), "turns")
+    at = _placed(turns, tokenizer, budget)
 
     key = ["conv_id", "longs", "share"]
     conv = F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("_conv")
