@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -29,12 +30,19 @@ def _own_dir() -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where a session names none (tests on one machine) a temporary folder is used.
+    Only a session on one machine (tests) may name none, and gets a temporary folder; a cluster's executors would lose what they write to their own disks.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return at.rstrip("/") if at else _own_dir()
 
 
+def find_on_executors(spark: SparkSession) -> None:
+    """Let tasks find this package wherever the driver was started, if the session doesn't say how."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

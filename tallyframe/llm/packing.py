@@ -84,20 +84,21 @@ def best_fit_pack(pieces: DataFrame, capacity: int) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to ``pieces`` (doc_id, piece, length, ...).
 
     Lengths are 1 to ``capacity``; other rows, null lengths included, raise an error. Repeated rows are separate pieces. Within a
-    sequence the pieces lie without gaps from offset 0. An empty table gives an empty one.
+    sequence the pieces lie without gaps from offset 0. An empty table gives an empty one. Other columns are kept whatever their names; only
+    ``sequence_id`` and ``offset`` are replaced.
     """
     wrong = F.col("length").isNull() | ~F.col("length").between(1, capacity)
-    checked = pieces.withColumn("length", F.when(wrong, F.raise_error(F.lit("a piece's length must be from 1 to the capacity"))).otherwise(F.col("length")))
+    length = F.when(wrong, F.raise_error(F.lit("a piece's length must be from 1 to the capacity"))).otherwise(F.col("length")).cast("long")
+    kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    checked = pieces.select(F.struct(*kept).alias("row"), "doc_id", "piece", length.alias("length"))
     ranked = rank_within(checked, "length", ["doc_id", "piece"])
     lengths = {r.length: r.n for r in checked.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
     runs = pieces.sparkSession.createDataFrame(plan_runs(lengths, capacity), RUNS)
     by_length = runs.groupBy(F.col("size").alias("length")).agg(F.sort_array(F.collect_list(F.struct("first", "n", "bin", "offset", "per_bin"))).alias("runs"))
     run = F.filter("runs", lambda r: (r.first <= F.col("rank")) & (F.col("rank") < r.first + r.n))[0]
-    return (
-        ranked.join(F.broadcast(by_length), "length")
-        .withColumn("run", run)
-        .withColumn("within", F.col("rank") - F.col("run.first"))
-        .withColumn("sequence_id", F.expr("run.bin + within div run.per_bin"))
-        .withColumn("offset", F.expr("run.offset + within % run.per_bin * length"))
-        .drop("rank", "runs", "run", "within")
+    placed = ranked.join(F.broadcast(by_length), "length").withColumn("run", run).withColumn("within", F.col("rank") - F.col("run.first"))
+    return placed.select(
+        *[F.col(f"row.`{c}`").alias(c) for c in kept],
+        F.expr("run.bin + within div run.per_bin").alias("sequence_id"),
+        F.expr("run.offset + within % run.per_bin * length").alias("offset"),
     )

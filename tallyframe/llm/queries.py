@@ -2,24 +2,21 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import binary_tokens, chat, decontaminate, documents_tokens, langid, licenses, lm, packing, quality, secrets, simhash
-from .common import cut, table
+from .common import cut, find_on_executors, table
 from .tokens import default_tokenizer
 
 QUERIES: dict = {}
 #: Hashes, tokenizers and fitted models are beyond SQL; tests hold these queries against brute force.
 ORACLES: dict = {}
-_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def query(f):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        spark.sparkContext.environment.setdefault("PYTHONPATH", _ROOT)  # tasks find this package wherever the driver was started
+        find_on_executors(spark)
         return f(spark, sf_dir)
 
     QUERIES[f.__name__] = run
