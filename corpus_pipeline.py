@@ -1,11 +1,16 @@
-"""From raw documents to packed training sequences: five stages, each written as Parquet and read again."""
+"""From raw documents to packed training sequences: five stages, each written as Parquet and read again.
+
+All stages but the last return the columns of documents, extra ones of any name included. A null or empty text has no words: the quality rules reject it. Null doc_ids
+are kept. Rows that are repeated, or near copies, leave one of them: that with the least doc_id, of equal ones that with the least hash of its text. Texts of any
+length are judged, masked and encoded whole. An empty table gives an empty one at each stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyframe.llm import decontaminate, documents_tokens, packing, quality, secrets, simhash
-from tallyframe.llm.common import cut, table
+from tallyframe.llm.common import cut, find_on_executors, table
 from tallyframe.llm.tokens import default_tokenizer
 
 #: Words that a worker of the packing stage remembers: fewer than by itself, since the stages before have filled the executor's heap.
@@ -52,6 +57,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that the last stage returns for the table ``documents`` below ``sf_dir``."""
+    find_on_executors(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
