@@ -1091,3 +1091,11 @@ def checkpoint_temp_names(spark, d):
     name = F.format_string("checkpoint-%019d.lckp", "n")
     both = o.select("n", name.alias("name")).unionByName(o.select("n", F.concat(name, F.lit(".x.tmp")).alias("name")))
     return both.withColumn("is_temp", checkpoints.is_temp_name(F.col("name")))
+
+
+@query(f"WITH {EVENTS}, d AS (SELECT n // 100 AS due FROM {AT}) SELECT k * 100 AS watermark, CAST(NULL AS VARCHAR) AS refusal FROM (SELECT unnest([due - 1, due]) AS k FROM d) WHERE k > 0")
+def policy_checkpoints(spark, d):
+    """What a policy of a checkpoint after every hundred records, of which two are kept, leaves behind a log."""
+    log, folder = shared_folder(spark, "log"), shared_folder(spark, "checkpoints")
+    durable.write_log(spark, cut(event_journal(spark, d), "journal"), log, folder, checkpoints.Policy(every=100))
+    return checkpoints.verified(spark, log, folder, wal.read_wal(spark, log)).select("watermark", "refusal")
