@@ -1099,3 +1099,38 @@ def policy_checkpoints(spark, d):
     log, folder = shared_folder(spark, "log"), shared_folder(spark, "checkpoints")
     durable.write_log(spark, cut(event_journal(spark, d), "journal"), log, folder, checkpoints.Policy(every=100))
     return checkpoints.verified(spark, log, folder, wal.read_wal(spark, log)).select("watermark", "refusal")
+
+
+# --- what the driver tables by themselves don't reach --------------------------------------------------------------------------------------
+
+
+@query(f"WITH {BALANCES} SELECT account_id, kind, -balance_minor AS balance_minor FROM balances WHERE CASE WHEN kind = 'ASSET' THEN balance_minor > 0 ELSE balance_minor < 0 END")
+def unnatural_after_reversal(spark, d):
+    """Accounts on the wrong side once every order is reversed."""
+    nested = transactions.nest(derive.order_entries(spark, d))
+    reversed_ = transactions.flatten(nested.select("seq", transactions.reverse(F.col("entries")).alias("entries")))
+    return ledger.balances(derive.accounts(spark, d), reversed_).where("not is_natural").select("account_id", "kind", "balance_minor")
+
+
+@query(
+    "WITH e AS (SELECT event_id AS seq, CASE event_id % 3 WHEN 0 THEN 9223372036854775807 WHEN 1 THEN 4611686018427387904 ELSE 1 END AS a FROM events) "
+    "SELECT seq, CAST(4 AS BIGINT) AS n_entries, CASE WHEN a < 4611686018427387904 THEN 2 * a END AS debits, CASE WHEN a < 4611686018427387904 THEN 2 * a END AS credits, a >= 4611686018427387904 AS overflows, a < 4611686018427387904 AS is_balanced FROM e"
+)
+def overflowing_totals(spark, d):
+    """Totals of transactions whose sides are equal, but of which two in three don't fit 64 bits."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("seq"))
+    amount = F.when(F.col("seq") % 3 == 0, F.lit(money.MAX_MINOR)).when(F.col("seq") % 3 == 1, F.lit(2**62)).otherwise(1).cast("long")
+    entry = lambda no, account, side: F.struct(F.lit(no).alias("entry_no"), F.lit(account).alias("account_id"), F.lit(side).alias("side"), amount.alias("amount_minor"))
+    rows = e.select("seq", F.explode(F.array(entry(0, "a", "DEBIT"), entry(1, "b", "DEBIT"), entry(2, "c", "CREDIT"), entry(3, "d", "CREDIT"))).alias("e"))
+    return transactions.totals(rows.select("seq", "e.*"))
+
+
+@query(
+    "SELECT event_id, CASE WHEN length(i) = 0 THEN 'EMPTY' WHEN length(i) > 255 THEN 'TOO_LONG' WHEN NOT regexp_full_match(i, '[A-Za-z0-9._-]+') THEN 'BAD_CHARACTER' END AS problem "
+    "FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN repeat('k', 250 + event_id % 12) WHEN 1 THEN repeat('k', 64 + event_id % 3) WHEN 2 THEN 'key ' || event_id ELSE repeat('', 1) END AS i FROM events)"
+)
+def key_check(spark, d):
+    """Idempotency keys may have up to 255 characters."""
+    k = F.col("event_id")
+    i = F.when(k % 4 == 0, F.expr("repeat('k', cast(250 + event_id % 12 as int))")).when(k % 4 == 1, F.expr("repeat('k', cast(64 + event_id % 3 as int))")).when(k % 4 == 2, F.concat(F.lit("key "), k)).otherwise("")
+    return table(spark, d, "events").select("event_id", identifiers.problem(i, "key").alias("problem"))
