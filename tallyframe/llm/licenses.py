@@ -105,6 +105,8 @@ def _tagged(lines: DataFrame) -> DataFrame:
     return tag.where("lower(licence) not in ('none', 'noassertion')").select("key", plain.alias("licence"), F.lit(1.0).alias("cosine"))
 
 
+#: Directories with a licence to inherit that are broadcast; beyond, each directory's files are dealt in so many shares.
+BROADCAST_ROWS, SHARES = 500_000, 32
 #: Where a candidate comes from; those of lines have three or more.
 WHOLE_TEXT, HEADER, LINES = 0, 1, 3
 
@@ -173,7 +175,14 @@ def scan_licences(files: DataFrame, least: float = LEAST) -> DataFrame:
     nearest = lone.join(nearest, "here", "left").join(F.broadcast(root)).select(
         "here", F.coalesce("f.folder", F.when(F.col("root_licence").isNotNull(), "")).alias("inherited_from"), F.coalesce("f.folder_licence", "root_licence").alias("inherited_licence")
     )
-    joined = small.withColumn("here", here).join(nearest, "here", "left")
+    # A directory of a third of all files is a join with one row: a broadcast where that is proven small, else shares of each directory.
+    nearest = cut(nearest.where("inherited_licence is not null"), "directories")
+    placed = small.withColumn("here", here)
+    if nearest.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        joined = placed.join(F.broadcast(nearest), "here", "left")
+    else:
+        dealt = nearest.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+        joined = placed.withColumn("share", F.pmod(F.xxhash64("key", "_row"), F.lit(SHARES)).cast("int")).join(dealt, ["here", "share"], "left")
     inherits = F.col("own_licence").isNull()
     return joined.select(
         *[F.col(f"_row.`{c}`").alias(c) for c in kept],
