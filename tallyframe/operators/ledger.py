@@ -37,7 +37,7 @@ def prefix_sums(rows: DataFrame, key: str, order: str, value: str, name: str, sp
 
     A hot key isn't one task: its rows are dealt by ranges of ``span`` numbers, and only the ranges' sums are added up in order.
     """
-    ranged = rows.withColumn("_range", F.floor(F.col(order) / span))
+    ranged = cut(rows.withColumn("_range", F.floor(F.col(order) / span)), "ranged")  # read twice, computed once
     sums = ranged.groupBy(key, "_range").agg(money.wide_sum(F.col(value)).alias("_own"))
     before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select(key, "_range", F.coalesce(F.sum("_own").over(before), F.lit(0)).cast(money.WIDE).alias("_base"))
@@ -93,9 +93,9 @@ def restored_accounts(restored: DataFrame, journal: DataFrame) -> DataFrame:
     later = journal.where("type = 'ACCOUNT_OPENED'")
     old = restored.select(F.lit(0).alias("_old"), F.col("ordinal").alias("_at"), "account_id", "kind")
     both = old.unionByName(later.select(F.lit(1).alias("_old"), F.col("lsn").alias("_at"), "account_id", "kind"))
-    last = restored.agg(F.coalesce(F.max("ordinal"), F.lit(0)).alias("_last"))
-    place = F.when(F.col("_old") == 0, F.col("_at")).otherwise(F.col("_last") + F.col("_at"))
-    return both.join(F.broadcast(last)).select(place.alias("ordinal"), "account_id", "kind")
+    last = restored.agg(F.coalesce(F.max("ordinal"), F.lit(0))).first()[0]
+    place = F.when(F.col("_old") == 0, F.col("_at")).otherwise(F.lit(last) + F.col("_at"))
+    return both.select(place.alias("ordinal"), "account_id", "kind")
 
 
 def total_balance(found: DataFrame) -> DataFrame:

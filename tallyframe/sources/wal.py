@@ -215,9 +215,8 @@ def clean_frames(found: DataFrame) -> DataFrame:
     ends = report(found).select(first.alias("first"), "last_lsn", ((F.col("tail") != "CLEAN_EOF") | F.col("tail").isNull()).alias("broken"))
     follows = ends.select((F.greatest("last_lsn", F.col("first") - 1) + 1).alias("first"))
     stray = ends.where("first <> 1").join(follows, "first", "left_anti").select("first")  # no segment ends where this one begins
-    cut = ends.where("broken").select((F.col("first") + 1).alias("first")).unionByName(stray).agg(F.min("first").alias("cut"))
-    frames = frames_of(found).withColumn("first", first)
-    return frames.join(F.broadcast(cut), (F.col("first") < F.col("cut")) | F.col("cut").isNull()).drop("first", "cut")
+    cut = ends.where("broken").select((F.col("first") + 1).alias("first")).unionByName(stray).agg(F.min("first")).first()[0]
+    return frames_of(found) if cut is None else frames_of(found).where(first < cut)
 
 
 def markers(frames: DataFrame) -> DataFrame:
