@@ -163,17 +163,17 @@ def scan_licences(files: DataFrame, least: float = LEAST) -> DataFrame:
     own = header_licences(keyed, least)
     small = cut(keyed.drop("text"), "files").join(own.select("key", F.col("licence").alias("own_licence"), "cosine", "whole"), "key", "left")
     speaks = small.where((F.col("path").rlike(_FILE) | (F.col("whole") >= WHOLE)) & F.col("own_licence").isNotNull())
-    folders = speaks.groupBy(_folders(F.col("path"))[0].alias("folder")).agg(F.min("own_licence").alias("folder_licence"))
+    folders = cut(speaks.groupBy(_folders(F.col("path"))[0].alias("folder")).agg(F.min("own_licence").alias("folder_licence")), "folders")
     # Files of one directory inherit alike, so directories meet the licensed ones, and a directory of many files is one row. What all directories have in
-    # common, the root, would be one key of the join: its licence is a single row and joined by itself.
+    # common, the root, would be one key of the join: its licence is a single value.
     here = F.when(F.col("path").isNotNull(), _folders(F.col("path"))[0]).alias("here")
     lone = small.where("own_licence is null and path is not null").select(here).distinct()
     up = F.posexplode(F.filter(F.concat(F.array("here"), _folders(F.col("here"))), lambda f: f != "")).alias("up", "folder")
     near = lone.select("here", up).join(folders.where("folder <> ''"), "folder")
     nearest = near.groupBy("here").agg(F.min(F.struct("up", "folder", "folder_licence")).alias("f"))
-    root = folders.where("folder = ''").agg(F.max("folder_licence").alias("root_licence"))
-    nearest = lone.join(nearest, "here", "left").join(F.broadcast(root)).select(
-        "here", F.coalesce("f.folder", F.when(F.col("root_licence").isNotNull(), "")).alias("inherited_from"), F.coalesce("f.folder_licence", "root_licence").alias("inherited_licence")
+    root = folders.where("folder = ''").agg(F.max("folder_licence")).first()[0]
+    nearest = lone.join(nearest, "here", "left").select(
+        "here", F.coalesce("f.folder", F.lit(None if root is None else "")).alias("inherited_from"), F.coalesce("f.folder_licence", F.lit(root)).cast("string").alias("inherited_licence")
     )
     # A directory of a third of all files is a join with one row: a broadcast where that is proven small, else shares of each directory.
     nearest = cut(nearest.where("inherited_licence is not null"), "directories")
