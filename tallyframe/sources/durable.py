@@ -31,13 +31,18 @@ class Recovered:
     findings: DataFrame
 
 
-def checkpoint(spark: SparkSession, log: str, folder: str, upto: int, retain: int = 2, base: Recovered | None = None) -> list[str]:
-    """Write the checkpoint of the log's records up to LSN ``upto``; returns the names of old files that were deleted."""
-    found = wal.read_wal(spark, log)
-    frames = cut(wal.clean_frames(found), "frames")
-    events = wal.decode_events(frames.where(F.col("lsn") <= upto))
+def read_log(spark: SparkSession, log: str) -> tuple[DataFrame, DataFrame]:
+    """The ends (lsn, end_offset) and the decoded events of the log's clean prefix, walked through and decoded once."""
+    frames = wal.clean_frames(cut(wal.read_wal(spark, log), "frames"))
+    return checkpoints.log_ends(frames), cut(wal.decode_events(frames), "events")
+
+
+def checkpoint(spark: SparkSession, log: str, folder: str, upto: int, retain: int = 2, base: Recovered | None = None, read: tuple[DataFrame, DataFrame] | None = None) -> list[str]:
+    """Write the checkpoint of the log's records up to LSN ``upto``; returns the names of old files that were deleted. ``read``: the log's ``read_log``, for several checkpoints of one log."""
+    places, events = read or read_log(spark, log)
+    events = events.where(F.col("lsn") <= upto)
     opened = events.where("type = 'ACCOUNT_OPENED'").select(F.col("lsn").alias("ordinal"), "account_id", "kind")
-    ends = checkpoints.log_ends(frames).where(F.col("lsn") == upto).first()
+    ends = places.where(F.col("lsn") == upto).first()
     covered = ends.end_offset if ends else wal.HEADER
     digest = wal.prefix_digests(spark, log, spark.createDataFrame([(covered,)], "covered_bytes long")).first().digest
     return checkpoints.write_checkpoint(folder, ledger.balances(opened, ledger.journal_entries(events)), ledger.bindings(events), upto, covered, digest, retain)
@@ -51,8 +56,9 @@ def write_log(spark: SparkSession, journal: DataFrame, log: str, folder: str, po
     last = journal.agg(F.coalesce(F.max("lsn"), F.lit(0))).first()[0]
     wal.write_segments(journal, log, records).write.format("noop").mode("overwrite").save()
     due = last // policy.every if policy.every else 0
+    read = read_log(spark, log) if due else None
     for k in range(max(1, due - policy.retain + 1), due + 1):
-        checkpoint(spark, log, folder, k * policy.every, policy.retain)
+        checkpoint(spark, log, folder, k * policy.every, policy.retain, read=read)
     return due
 
 
@@ -72,8 +78,8 @@ def recover(spark: SparkSession, log: str, folder: str | None = None, repair: bo
             raise ValueError(f"the log is torn ({torn[0].tail} in {torn[0].file}) and repair is off")
         at = shared_folder(spark, "repaired")
         wal.repair(spark, log, at).write.format("noop").mode("overwrite").save()
-    found = wal.read_wal(spark, at)
-    frames = cut(wal.clean_frames(found), "frames")
+    found = cut(wal.read_wal(spark, at), "frames")
+    frames = wal.clean_frames(found)
     events = cut(wal.decode_events(frames), "events")
     malformed = events.where("corruption is not null").limit(1).collect()
     if malformed:

@@ -453,3 +453,48 @@ def test_state_digest_tells_events_apart(spark):
     sha = lambda lines: hashlib.sha256("".join(x + "\n" for x in lines).encode()).hexdigest()
     ranges = [(s, n // 2, [x for k, x in enumerate(lines, 1) if k // 2 == n // 2]) for s, lines in enumerate(sections) for n in range(1, len(lines) + 1) if n == 1 or n % 2 == 0]
     assert ledger.state_digest(journals[0], span=2).first().digest == sha([f"{s}:{r}:{sha(lines)}" for s, r, lines in ranges])
+
+
+def test_checkpoints_are_read_in_blocks(spark, tmp_path, monkeypatch):
+    """A task asks for a block of a checkpoint at a time, whatever its size, and Spark's rows carry its path, not its bytes."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(checkpoints, "BLOCK", 300)
+    monkeypatch.setattr(checkpoints, "TOGETHER", 7)
+
+    class Watched:
+        def __init__(self, raw):
+            self.inner, self.most = pa.BufferReader(raw), 0
+
+        def size(self):
+            return self.inner.size()
+
+        def read_at(self, n, at):
+            self.most = max(self.most, n)
+            return self.inner.read_at(n, at)
+
+    accounts = [("ASSET", f"account-{k}", k) for k in range(200)]
+    bound = [("m", f"key-{k}", f"{k:064x}", k + 1) for k in range(100)]
+    of = lambda a, b: checkpoints.encode_checkpoint(checkpoints.encode_state(9, a, b), 9, 16, bytes(32), list(range(len(b))))
+    good = Watched(of(accounts, bound))
+    assert checkpoints.inspect(checkpoints.name_for(9), good)[:2] == (9, 16) and good.most == 300
+    for a, b in ((accounts + accounts[3:4], bound), (accounts, bound + bound[5:6])):
+        assert checkpoints.inspect(checkpoints.name_for(9), of(a, b))[4:] == ("STATE_MALFORMED", "a repeated name")
+    (tmp_path / checkpoints.name_for(9)).write_bytes(of(accounts, bound))
+    found = checkpoints.read_checkpoints(spark, str(tmp_path))
+    assert "binary" not in dict(found.dtypes).values()
+    assert [tuple(r)[1:] for r in checkpoints.accounts_in(found).orderBy("ordinal").collect()] == [(a, kind, b) for kind, a, b in accounts]
+    assert [tuple(r) for r in checkpoints.bindings_in(found).orderBy("response_lsn").collect()] == [(*b, k) for k, b in enumerate(bound)]
+    gone = checkpoints.inspected(spark.createDataFrame([(str(tmp_path / checkpoints.name_for(8)),)], "path string")).first()
+    assert gone.refusal == "UNREADABLE"
+
+
+def test_segments_are_read_in_blocks(tmp_path, monkeypatch):
+    monkeypatch.setattr(wal, "BLOCK", 1 << 17)
+    payloads = [b"\x00\x01" + b"a" * (k * 997 % 60_000) for k in range(40)]
+    raw = wal.segment_header() + wal.frames_bytes([(k + 1, 1, p) for k, p in enumerate(payloads)])
+    (tmp_path / wal.segment_name(1)).write_bytes(raw[:-1])
+    pass_ = wal.Walk(wal._opened(str(tmp_path / wal.segment_name(1))))
+    parts = list(pass_.frames())
+    assert [f[4] for part in parts for f in part] == payloads[:-1] and len(parts) > 5
+    assert (pass_.tail, pass_.clean_bytes) == ("SHORT_FRAME", len(raw) - wal.OVERHEAD - len(payloads[-1]))
