@@ -24,12 +24,12 @@ JOURNAL_COLUMNS = ("lsn", "seq", "type", "account_id", "kind", "merchant", "key"
 
 def dense_numbers(rows: DataFrame, order: str, name: str = "lsn", start: int = 1) -> DataFrame:
     """Number rows from ``start`` by ``order`` (unique), without one task for all: partitions by range, then prefix sums of their sizes."""
-    # Both uses must see the same ranges, whose bounds are sampled: the rows are written once, with their range.
-    ranged = cut(rows.repartitionByRange(order).withColumn("_p", F.spark_partition_id()), "numbered")
-    within = Window.partitionBy("_p").orderBy(order)
-    counts = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # a row a partition
+    # All uses must see the same ranges, whose bounds are sampled: the rows are written once, in order, with their range and their place in it.
+    ranged = cut(rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    range_, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = ranged.groupBy(range_.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))  # a row a partition
     before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    return ranged.join(F.broadcast(before), "_p").withColumn(name, (F.row_number().over(within) + F.col("_b") + (start - 1)).cast("long")).drop("_p", "_b")
+    return ranged.withColumn("_p", range_).join(F.broadcast(before), "_p").withColumn(name, (place + F.col("_b") + start).cast("long")).drop("_p", "_b", "_at")
 
 
 def prefix_sums(rows: DataFrame, key: str, order: str, value: str, name: str, span: int = SPAN) -> DataFrame:
@@ -198,7 +198,7 @@ def state_hash(accounts: DataFrame, bound: DataFrame, last_lsn: int) -> DataFram
 def state_digest(journal: DataFrame, span: int = 10_000) -> DataFrame:
     """SHA-256 of the whole journal as text: its accounts, every event, and the balances, each in the order of LSNs (balances: of the openings).
 
-    A tree: each range of ``span`` LSNs of a section is rendered and hashed in its own task, then the ranges' digests are hashed in order.
+    A tree: each range of ``span`` LSNs of a section is rendered in many tasks, sorted, and hashed line by line; then the ranges' digests are hashed in order.
     """
     opened = journal.where("type = 'ACCOUNT_OPENED'").select("lsn", "account_id", "kind")
     account = F.format_string("account(%s,%s)", "account_id", "kind")
@@ -211,12 +211,27 @@ def state_digest(journal: DataFrame, span: int = 10_000) -> DataFrame:
     rows = rows.unionByName(journal.where("type <> 'RECOVERY_MARKER'").select(F.lit(1).alias("section"), "lsn", event.alias("line")))
     rows = rows.unionByName(found.select(F.lit(2).alias("section"), F.col("ordinal").alias("lsn"), F.concat_ws("=", "account_id", F.col("balance_minor").cast("string")).alias("line")))
 
-    def digest(order: list[str]):
-        lines = F.transform(F.array_sort(F.collect_list(F.struct(*order, "line"))), lambda r: F.concat(r["line"], F.lit("\n")))
-        return F.sha2(F.encode(F.array_join(lines, ""), "UTF-8"), 256).alias("digest")
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    tree = rows.groupBy("section", F.floor(F.col("lsn") / span).alias("range")).agg(digest(["lsn"]))
-    return tree.withColumn("line", F.concat_ws(":", "section", "range", "digest")).agg(digest(["section", "range"]))
+        now, digest, done = None, None, []
+        for batch in batches:
+            for section, range_, line in zip(*(batch.column(c).to_pylist() for c in ("section", "range", "line"))):
+                if (section, range_) != now:
+                    if now:
+                        done.append((*now, digest.hexdigest()))
+                    now, digest = (section, range_), hashlib.sha256()
+                if line is not None:
+                    digest.update(f"{line}\n".encode())
+        if now:
+            done.append((*now, digest.hexdigest()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), (pa.int32(), pa.int64(), pa.string()))], ["section", "range", "digest"])
+
+    ranged = rows.withColumn("range", F.floor(F.col("lsn") / span)).select("section", "range", "lsn", "line")
+    ordered = ranged.repartition("section", "range").sortWithinPartitions("section", "range", "lsn", "line")
+    tree = ordered.mapInArrow(run, "section int, range long, digest string").withColumn("line", F.concat_ws(":", "section", "range", "digest"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("section", "range", "line"))), lambda r: F.concat(r["line"], F.lit("\n")))  # a row a range
+    return tree.agg(F.sha2(F.encode(F.array_join(lines, ""), "UTF-8"), 256).alias("digest"))
 
 
 def lsn_gaps(journal: DataFrame, span: int = SPAN) -> DataFrame:

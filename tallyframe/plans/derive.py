@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.transactions import nest, transfer
+from ..operators.transactions import transfer
 from ..session import cut, table
 
 #: Openings come before every posting; ordinals leave each table its own range, so that no global numbering is needed.
@@ -41,6 +41,27 @@ def order_entries(spark: SparkSession, d: str, bad: bool = False) -> DataFrame:
     return debits.unionByName(credits)
 
 
+def order_postings(spark: SparkSession, d: str) -> DataFrame:
+    """(seq, entries) of ``order_entries`` with the bad ones: orders and their lines meet in one shuffle, and each posting is put together in its row."""
+    cents = lambda c: F.round(F.col(c) * 100).cast("long")
+    part = lambda kind, no, party, net: F.struct(F.lit(kind).alias("kind"), no.cast("long").alias("no"), party.cast("long").alias("party"), net.cast("long").alias("net"))
+    null = F.lit(None)
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("seq"), "l_linenumber", "l_suppkey", cents("l_extendedprice").alias("e"), cents("l_discount").alias("x")).withColumn("net", F.expr("(e * (100 - x)) div 100"))
+    lines = lines.where("net > 0").select("seq", part(1, F.col("l_linenumber"), F.col("l_suppkey"), F.col("net")).alias("p"))
+    orders = table(spark, d, "orders").where("o_orderkey is not null").select(F.col("o_orderkey").alias("seq"), part(0, null, F.col("o_custkey"), null).alias("p"))
+    met = lines.unionByName(orders).groupBy("seq").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    of = lambda kind: F.filter("ps", lambda p: p["kind"] == kind)
+    met = met.select("seq", of(0).alias("o"), of(1).alias("l")).where(F.size("l") > 0)
+    met = met.withColumn("sum", F.aggregate("l", F.lit(0).cast("long"), lambda acc, p: acc + p["net"]))
+    mod = lambda n: F.col("seq") % n == 0
+    entry = lambda account, side, amount: F.struct(account.alias("account_id"), F.lit(side).alias("side"), amount.cast("long").alias("amount_minor"))
+    account = lambda p: F.when(mod(89) & ~mod(97), F.concat(F.lit("ghost-"), F.col("seq"))).otherwise(F.concat(F.lit("cust-"), p["party"]))
+    amount = F.when(mod(79), 0).when(mod(83), F.col("sum") + 1).otherwise(F.col("sum"))
+    debits = F.transform("o", lambda p: entry(account(p), "DEBIT", amount))
+    credits = F.transform(F.filter("l", lambda p: ~mod(97)), lambda p: entry(F.concat(F.lit("supp-"), p["party"]), "CREDIT", p["net"]))
+    return met.select("seq", F.concat(debits, credits).alias("entries")).where(F.size("entries") > 0)
+
+
 def keyed_attempts(spark: SparkSession, d: str) -> DataFrame:
     """One keyed transfer an event; a user's key lasts a week, its body alternates with the value."""
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
@@ -67,7 +88,7 @@ def _opens(found: DataFrame, seq) -> DataFrame:
 
 
 def order_attempts(spark: SparkSession, d: str) -> DataFrame:
-    posts = nest(order_entries(spark, d, bad=True))
+    posts = order_postings(spark, d)
     empty = lambda kind: F.lit(None).cast(kind)
     posts = posts.select("seq", F.lit("POST").alias("op"), empty("string").alias("account_id"), empty("string").alias("kind"), empty("string").alias("merchant"), empty("string").alias("key"), empty("long").alias("now_ms"), "entries")
     # Attempts are a table that admission reads several times; deriving them from the lines of orders is done once.

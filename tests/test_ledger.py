@@ -537,3 +537,23 @@ def test_fold_by_components(spark):
     chain = [(f"n{k:02}", f"n{k + 1:02}") for k in range(20)] + [("x", "y"), ("x", "z")]
     roots = admission.components(spark.createDataFrame(chain, "a string, b string"))
     assert sorted(map(tuple, roots.collect())) == [(f"n{k:02}", "n00") for k in range(1, 21)] + [("y", "x"), ("z", "x")]
+
+
+def test_postings_are_put_together_in_their_row(spark):
+    from tallyframe.operators.transactions import nest
+    from tallyframe.plans import derive
+
+    d = "/root/testdata/sf0.001"
+    of = lambda df: sorted((r.seq, [tuple(e) for e in r.entries]) for r in df.select("seq", "entries").collect())
+    got = derive.order_postings(spark, d)
+    assert of(got) == of(nest(derive.order_entries(spark, d, bad=True)))
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_numbers_need_no_window(spark):
+    """A numbered row has its place with it: reading the numbers again sorts and shuffles nothing, and the digest collects no lines."""
+    rows = spark.range(50_000).selectExpr("id * 7 - 100000 as seq", "repeat('x', 3) as body").repartition(7)
+    got = ledger.dense_numbers(rows, "seq", "lsn", start=5)
+    assert got.where("lsn <> (seq + 100000) div 7 + 5").count() == 0 and got.count() == 50_000
+    plan = got.select("body", "lsn")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") <= 1  # over one row a partition
