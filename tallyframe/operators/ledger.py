@@ -25,7 +25,8 @@ JOURNAL_COLUMNS = ("lsn", "seq", "type", "account_id", "kind", "merchant", "key"
 def dense_numbers(rows: DataFrame, order: str, name: str = "lsn", start: int = 1) -> DataFrame:
     """Number rows from ``start`` by ``order`` (unique), without one task for all: partitions by range, then prefix sums of their sizes."""
     # All uses must see the same ranges, whose bounds are sampled: the rows are written once, in order, with their range and their place in it.
-    ranged = cut(rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    # Sampling would run all that made the rows a second time, so they are written before, too.
+    ranged = cut(cut(rows, "unnumbered").repartitionByRange(order).sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
     range_, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     counts = ranged.groupBy(range_.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))  # a row a partition
     before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))

@@ -557,3 +557,62 @@ def test_numbers_need_no_window(spark):
     assert got.where("lsn <> (seq + 100000) div 7 + 5").count() == 0 and got.count() == 50_000
     plan = got.select("body", "lsn")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window") <= 1  # over one row a partition
+
+
+def test_payloads_are_decoded_together(monkeypatch):
+    """Valid payloads never reach the decoder of single ones, which decides about all others."""
+    pa = pytest.importorskip("pyarrow")
+    some = random.Random(7)
+    name = lambda most: bytes(some.choice(b"abcXYZ019._-") for _ in range(some.randint(1, most)))
+    text = lambda b: bytes([len(b)]) + b
+
+    def entries(n: int) -> bytes:
+        return n.to_bytes(2) + b"".join(text(name(64)) + bytes([some.randint(0, 1)]) + some.randint(1, 2**63 - 1).to_bytes(8) for _ in range(n))
+
+    def payload(kind: str) -> bytes:
+        if kind == "ACCOUNT_OPENED":
+            return bytes([some.randint(0, 2)]) + text(name(64))
+        body = entries(some.choice([0, 1, 2, 30]))
+        if kind == "POSTED":
+            return body
+        return text(name(64)) + text(name(255)) + some.randint(-5, 2**40).to_bytes(8, signed=True) + hashlib.sha256(bytes([codec.FINGERPRINT_TAG]) + body).digest() + body
+
+    def broken(raw: bytes) -> bytes:
+        at = some.randrange(min(len(raw), some.choice([3, 20, 400])))
+        return some.choice([raw[:at], raw + b"x", raw[:at] + bytes([some.randrange(256)]) + raw[at + 1 :]])
+
+    kinds = [some.choice(("ACCOUNT_OPENED", "POSTED", "IDEMPOTENT_POSTING")) for _ in range(2000)]
+    good = [payload(k) for k in kinds]
+    run = wal.decode_events(type("Frames", (), {"select": lambda self, *c: self, "mapInArrow": lambda self, f, schema: f})())
+    batch = lambda raws: pa.RecordBatch.from_arrays([pa.array(range(len(raws)), pa.int64()), pa.array(kinds), pa.array(raws, pa.binary())], ["lsn", "type", "payload"]).slice(3)
+    decoded = lambda raws: sorted((r for b in run([batch(raws)]) for r in b.to_pylist()), key=lambda r: r["lsn"])
+
+    def want(raws: list[bytes]) -> list[dict]:
+        out = []
+        for lsn, (kind, raw) in list(enumerate(zip(kinds, raws)))[3:]:
+            try:
+                row = wal.decode_payload(kind, raw)
+            except (ValueError, IndexError):
+                row = {"corruption": "PAYLOAD_MALFORMED"}
+            out.append(dict.fromkeys(c.split()[0] for c in wal.EVENTS.split(", ") if c.split()[0] != "entries") | {"entries": None} | row | {"lsn": lsn, "type": kind})
+        return out
+
+    mixed = [broken(raw) if some.random() < 0.4 else raw for raw in good]
+    wants = want(mixed), want(good)
+    assert decoded(mixed) == wants[0]
+    monkeypatch.setattr(wal, "decode_payload", None)
+    assert decoded(good) == wants[1]
+
+
+def test_numbering_runs_its_rows_once(spark, tmp_path):
+    at = str(tmp_path)
+
+    def run(batches):
+        import uuid
+
+        open(f"{at}/{uuid.uuid4().hex}", "w").close()
+        yield from batches
+
+    found = ledger.dense_numbers(spark.range(0, 1000, 1, 4).mapInArrow(run, "id long"), "id")
+    assert found.where("lsn <> id + 1").count() == 0 and found.count() == 1000
+    assert len(list(tmp_path.iterdir())) == 4
