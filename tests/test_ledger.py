@@ -616,3 +616,8 @@ def test_numbering_runs_its_rows_once(spark, tmp_path):
     found = ledger.dense_numbers(spark.range(0, 1000, 1, 4).mapInArrow(run, "id long"), "id")
     assert found.where("lsn <> id + 1").count() == 0 and found.count() == 1000
     assert len(list(tmp_path.iterdir())) == 4
+
+
+def test_hashes_of_names_are_held_once():
+    hashes = [np.array([3, 1]), np.array([2, 1])]
+    assert checkpoints._repeats(hashes) == {1} and not hashes and checkpoints._repeats([]) == set()
