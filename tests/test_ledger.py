@@ -621,3 +621,47 @@ def test_numbering_runs_its_rows_once(spark, tmp_path):
 def test_hashes_of_names_are_held_once():
     hashes = [np.array([3, 1]), np.array([2, 1])]
     assert checkpoints._repeats(hashes) == {1} and not hashes and checkpoints._repeats([]) == set()
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sums_of_longs_are_exact(spark):
+    values = [MAX, MAX, -MAX - 1, -1, 5, 0, 1 << 42, -(1 << 42) - 3]
+    df = spark.createDataFrame([(x,) for x in values], "x long")
+    got = df.agg(money.long_sum(F.col("x")).alias("s"), money.long_sum_of_absolutes(F.col("x")).alias("a"), money.long_sum(F.when(F.lit(False), F.col("x"))).alias("n")).first()
+    assert (int(got.s), int(got.a), got.n) == (sum(values), sum(map(abs, values)), None)
+
+
+def test_a_clean_replay_unfolds_no_record(spark):
+    """Records are judged in their rows: a result for a clean journal has no entries to shuffle. Refused ones are found all the same, and so is an overflow on restored balances."""
+    entries = "array<struct<account_id:string,side:string,amount_minor:bigint>>"
+    row = lambda lsn, *es: (lsn, "POSTED", None, None, None, None, list(es))
+    opened = [(k, "ACCOUNT_OPENED", a, "ASSET", None, None, None) for k, a in ((1, "a"), (2, "b"), (9, "late"))]
+    of = lambda rows: spark.createDataFrame(opened + rows, f"lsn long, type string, account_id string, kind string, merchant string, key string, entries {entries}")
+    good = row(3, ("a", "DEBIT", 5), ("b", "CREDIT", 5))
+    clean = audit.replay_violations(of([good]))
+    assert clean.count() == 0 and "Generate" not in _plan(clean)
+    bad = [good, row(4, ("a", "DEBIT", 0), ("x", "CREDIT", 5)), row(5, ("x", "DEBIT", 1)), row(6, ("late", "DEBIT", 1), ("b", "CREDIT", 2)), row(7, ("a", "DEBIT", 1), ("b", "CREDIT", 2)), row(8), row(10, ("late", "DEBIT", 1), ("b", "CREDIT", 1))]
+    want = [(4, "AMOUNT_NOT_POSITIVE"), (5, "TOO_FEW_ENTRIES"), (6, "UNKNOWN_ACCOUNT"), (7, "UNBALANCED"), (8, "TOO_FEW_ENTRIES")]
+    assert sorted(map(tuple, audit.replay_violations(of(bad)).collect())) == want
+    base = spark.createDataFrame([("c", MAX), ("d", 0)], "account_id string, balance_minor long")
+    over = audit.replay_violations(of([row(3, ("c", "DEBIT", 1), ("d", "CREDIT", 1))]), base)
+    assert [tuple(r) for r in over.collect()] == [(3, "OVERFLOWING_BALANCE")]
+
+
+def test_an_account_index_is_computed_once(spark, tmp_path):
+    at = str(tmp_path)
+
+    def run(batches):
+        import uuid
+
+        open(f"{at}/{uuid.uuid4().hex}", "w").close()
+        yield from batches
+
+    journal = registry.event_journal(spark, "/root/testdata/sf0.001")
+    opened = registry._opened(journal)
+    index = ledger.balances(opened, ledger.journal_entries(journal)).coalesce(1).mapInArrow(run, "ordinal long, account_id string, kind string, balance_minor long, is_natural boolean")
+    assert audit.audit(journal, opened, index, ledger.bindings(journal)).count() == 0
+    assert len(list(tmp_path.iterdir())) == 1
