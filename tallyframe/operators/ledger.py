@@ -7,7 +7,6 @@ import struct
 from collections.abc import Iterator
 from functools import reduce
 
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,20 +16,27 @@ from .transactions import flatten
 
 #: Numbers of a key's rows that are summed up in one task before the prefix sums.
 SPAN = 1 << 16
+#: Bits of an order that are left out for its range, and ranges whose sums are added up in one task and broadcast at most.
+RANGE_BITS, MOST_RANGES = 12, 1 << 20
 #: Bytes of a rendered section that are one row.
 CHUNK_BYTES = 1 << 20
 JOURNAL_COLUMNS = ("lsn", "seq", "type", "account_id", "kind", "merchant", "key", "fingerprint", "captured_at_ms", "entries")
 
 
 def dense_numbers(rows: DataFrame, order: str, name: str = "lsn", start: int = 1) -> DataFrame:
-    """Number rows from ``start`` by ``order`` (unique), without one task for all: partitions by range, then prefix sums of their sizes."""
-    # All uses must see the same ranges, whose bounds are sampled: the rows are written once, in order, with their range and their place in it.
-    # Sampling would run all that made the rows a second time, so they are written before, too.
-    ranged = cut(cut(rows, "unnumbered").repartitionByRange(order).sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
-    range_, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = ranged.groupBy(range_.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))  # a row a partition
-    before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    return ranged.withColumn("_p", range_).join(F.broadcast(before), "_p").withColumn(name, (place + F.col("_b") + start).cast("long")).drop("_p", "_b", "_at")
+    """Number rows from ``start`` by ``order`` (a unique long), without one task for all: by ranges of the order, then prefix sums of their sizes."""
+    # The rows are computed, shuffled and written once: in order within their range, with their place.
+    at = F.monotonically_increasing_id()
+    ranged = cut(rows.withColumn("_p", F.shiftright(order, RANGE_BITS)).repartition("_p").sortWithinPartitions("_p", order).withColumn("_at", at), "numbered")
+    sizes = lambda: cut(ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first")), "sizes")
+    counts = sizes()
+    if counts.count() > MOST_RANGES:  # a sparse order: ranges of as many rows each, whose bounds are sampled from the rows that were written
+        sorted_ = ranged.drop("_p", "_at").repartitionByRange(order).sortWithinPartitions(order).withColumn("_at", at)
+        ranged = cut(sorted_.withColumn("_p", F.shiftright("_at", 33)), "numbered")
+        counts = sizes()
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = counts.select("_p", (before - F.col("_first") + start).alias("_b"))  # a row a range
+    return ranged.join(F.broadcast(bases), "_p").withColumn(name, (F.col("_at") + F.col("_b")).cast("long")).drop("_p", "_b", "_at")
 
 
 def prefix_sums(rows: DataFrame, key: str, order: str, value: str, name: str, span: int = SPAN) -> DataFrame:
@@ -76,10 +82,9 @@ def journal_entries(journal: DataFrame) -> DataFrame:
 
 def folded(accounts: DataFrame, entries: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """ordinal, account_id, kind and the balance as a wide decimal (``wide``); accounts without entries are 0. ``base``: balances to start from."""
-    moved = entries.select("account_id", money.signed(F.col("side"), F.col("amount_minor")).alias("m"))
+    sums = entries.groupBy("account_id").agg(money.long_sum(money.signed(F.col("side"), F.col("amount_minor"))).alias("s"))
     if base is not None:
-        moved = moved.unionByName(base.select("account_id", F.col("balance_minor").alias("m")))
-    sums = moved.groupBy("account_id").agg(money.wide_sum(F.col("m")).alias("s"))
+        sums = sums.unionByName(base.select("account_id", F.col("balance_minor").cast(money.WIDE).alias("s"))).groupBy("account_id").agg(money.wide_sum(F.col("s")).alias("s"))
     return accounts.join(sums, "account_id", "left").select("ordinal", "account_id", "kind", F.coalesce(F.col("s"), F.lit(0)).cast(money.WIDE).alias("wide"))
 
 
@@ -127,34 +132,34 @@ def bindings(journal: DataFrame, base: DataFrame | None = None) -> DataFrame:
 
 
 def ordered_chunks(sections: list[DataFrame]) -> DataFrame:
-    """The bytes ``b`` of each section's rows by ``at``, joined to rows (part, range, chunk, n, bytes) of about a megabyte.
+    """The bytes ``b`` of each section's rows by ``at``, joined to rows (part, range, chunk, n, bytes) of at most about a megabyte.
 
-    Sorting and joining are done in many tasks; in the order of part, range and chunk the rows are the sections' bytes.
+    Sorting and joining are done in many tasks, each for some ranges of ``at``; in the order of part, range and chunk the rows are the sections' bytes.
     """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-        mine = TaskContext.get().partitionId()
-        part, chunk, held, size = None, 0, [], 0
+        now, chunk, held, size = None, 0, [], 0
 
         def made() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((part, mine, chunk, len(held), b"".join(held)), kinds)], ["part", "range", "chunk", "n", "bytes"])
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((*now, chunk, len(held), b"".join(held)), kinds)], ["part", "range", "chunk", "n", "bytes"])
 
         for batch in batches:
-            for k, data in zip(batch.column("part").to_pylist(), batch.column("b").to_pylist()):
-                if held and (k != part or size > CHUNK_BYTES):
+            for part, range_, data in zip(*(batch.column(c).to_pylist() for c in ("part", "range", "b"))):
+                if held and ((part, range_) != now or size > CHUNK_BYTES):
                     yield made()
-                    chunk, held, size = chunk + 1, [], 0
-                part = k
+                    chunk, held, size = chunk + 1 if (part, range_) == now else 0, [], 0
+                now = (part, range_)
                 held.append(data)
                 size += len(data)
         if held:
             yield made()
 
     rows = reduce(DataFrame.unionByName, [s.select(F.lit(k).alias("part"), F.col("at").cast("long").alias("at"), "b") for k, s in enumerate(sections)])
-    ordered = rows.repartitionByRange("part", "at").sortWithinPartitions("part", "at")
+    # Ranges of a fixed width need no sample, which would make all rows a second time.
+    ordered = rows.withColumn("range", F.shiftright("at", 15)).repartition("part", "range").sortWithinPartitions("part", "range", "at")
     return cut(ordered.mapInArrow(run, "part int, range long, chunk int, n long, bytes binary"), "chunks")
 
 

@@ -634,6 +634,13 @@ def test_sums_of_longs_are_exact(spark):
     assert (int(got.s), int(got.a), got.n) == (sum(values), sum(map(abs, values)), None)
 
 
+def test_sparse_orders_are_numbered(spark, monkeypatch):
+    monkeypatch.setattr(ledger, "MOST_RANGES", 3)
+    rows = spark.range(0, 500, 1, 4).selectExpr("(id - 250) * 1000000007 as seq")
+    got = ledger.dense_numbers(rows, "seq", start=3).orderBy("seq").collect()
+    assert [r.lsn for r in got] == list(range(3, 503))
+
+
 def test_a_clean_replay_unfolds_no_record(spark):
     """Records are judged in their rows: a result for a clean journal has no entries to shuffle. Refused ones are found all the same, and so is an overflow on restored balances."""
     entries = "array<struct<account_id:string,side:string,amount_minor:bigint>>"
@@ -651,6 +658,21 @@ def test_a_clean_replay_unfolds_no_record(spark):
     assert [tuple(r) for r in over.collect()] == [(3, "OVERFLOWING_BALANCE")]
 
 
+def test_sections_are_rendered_once(spark, tmp_path):
+    at = str(tmp_path)
+
+    def run(batches):
+        import uuid
+
+        open(f"{at}/{uuid.uuid4().hex}", "w").close()
+        yield from batches
+
+    rows = spark.range(0, 100_000, 1, 4).mapInArrow(run, "id long").select((F.col("id") * 3).alias("at"), F.encode(F.col("id").cast("string"), "UTF-8").alias("b"))
+    chunks = ledger.ordered_chunks([rows, rows.where("at < 0")]).orderBy("part", "range", "chunk").collect()
+    assert b"".join(r.bytes for r in chunks) == "".join(map(str, range(100_000))).encode() and sum(r.n for r in chunks) == 100_000
+    assert len(list(tmp_path.iterdir())) == 8  # the frame is used twice
+
+
 def test_an_account_index_is_computed_once(spark, tmp_path):
     at = str(tmp_path)
 
