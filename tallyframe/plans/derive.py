@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.transactions import transfer
+from ..operators.transactions import ENTRY, transfer
 from ..session import cut, table
 
 #: Openings come before every posting; ordinals leave each table its own range, so that no global numbering is needed.
@@ -21,11 +24,17 @@ def accounts(spark: SparkSession, d: str) -> DataFrame:
     return cust.unionByName(supp).unionByName(equity)
 
 
+def _cents(name: str) -> Column:
+    """Hundredths, rounded half away from zero as ``round`` does it, which takes doubles through their text."""
+    value = F.col(name) * 100
+    rest = F.abs(value) % 1
+    return (F.signum(value) * (F.abs(value) - rest + F.when(rest >= 0.5, 1.0).otherwise(0.0))).cast("long")
+
+
 def order_entries(spark: SparkSession, d: str, bad: bool = False) -> DataFrame:
     """seq, entry_no, account_id, side, amount_minor: one transaction an order; ``bad`` breaks some by their order key."""
-    cents = lambda c: F.round(F.col(c) * 100).cast("long")
     net = F.expr("(e * (100 - x)) div 100")
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", cents("l_extendedprice").alias("e"), cents("l_discount").alias("x"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", _cents("l_extendedprice").alias("e"), _cents("l_discount").alias("x"))
     lines = lines.withColumn("net", net).where("net > 0")
     place = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "net")
     credits = lines.select(F.col("l_orderkey").alias("seq"), F.row_number().over(place).alias("entry_no"), F.concat(F.lit("supp-"), F.col("l_suppkey")).alias("account_id"), F.lit("CREDIT").alias("side"), F.col("net").alias("amount_minor"))
@@ -42,24 +51,59 @@ def order_entries(spark: SparkSession, d: str, bad: bool = False) -> DataFrame:
 
 
 def order_postings(spark: SparkSession, d: str) -> DataFrame:
-    """(seq, entries) of ``order_entries`` with the bad ones: orders and their lines meet in one shuffle, and each posting is put together in its row."""
-    cents = lambda c: F.round(F.col(c) * 100).cast("long")
-    part = lambda kind, no, party, net: F.struct(F.lit(kind).alias("kind"), no.cast("long").alias("no"), party.cast("long").alias("party"), net.cast("long").alias("net"))
-    null = F.lit(None)
-    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("seq"), "l_linenumber", "l_suppkey", cents("l_extendedprice").alias("e"), cents("l_discount").alias("x")).withColumn("net", F.expr("(e * (100 - x)) div 100"))
-    lines = lines.where("net > 0").select("seq", part(1, F.col("l_linenumber"), F.col("l_suppkey"), F.col("net")).alias("p"))
-    orders = table(spark, d, "orders").where("o_orderkey is not null").select(F.col("o_orderkey").alias("seq"), part(0, null, F.col("o_custkey"), null).alias("p"))
-    met = lines.unionByName(orders).groupBy("seq").agg(F.array_sort(F.collect_list("p")).alias("ps"))
-    of = lambda kind: F.filter("ps", lambda p: p["kind"] == kind)
-    met = met.select("seq", of(0).alias("o"), of(1).alias("l")).where(F.size("l") > 0)
-    met = met.withColumn("sum", F.aggregate("l", F.lit(0).cast("long"), lambda acc, p: acc + p["net"]))
-    mod = lambda n: F.col("seq") % n == 0
-    entry = lambda account, side, amount: F.struct(account.alias("account_id"), F.lit(side).alias("side"), amount.cast("long").alias("amount_minor"))
-    account = lambda p: F.when(mod(89) & ~mod(97), F.concat(F.lit("ghost-"), F.col("seq"))).otherwise(F.concat(F.lit("cust-"), p["party"]))
-    amount = F.when(mod(79), 0).when(mod(83), F.col("sum") + 1).otherwise(F.col("sum"))
-    debits = F.transform("o", lambda p: entry(account(p), "DEBIT", amount))
-    credits = F.transform(F.filter("l", lambda p: ~mod(97)), lambda p: entry(F.concat(F.lit("supp-"), p["party"]), "CREDIT", p["net"]))
-    return met.select("seq", F.concat(debits, credits).alias("entries")).where(F.size("entries") > 0)
+    """(seq, entries) of ``order_entries`` with the bad ones: orders and their lines meet in one shuffle, sorted, and are put together some thousand rows at a time.
+
+    As lists of an aggregate they would be sorted and copied twice more, on either side of the shuffle.
+    """
+    null = lambda name: F.lit(None).cast("long").alias(name)
+    long = lambda c, name: F.col(c).cast("long").alias(name)
+    lines = table(spark, d, "lineitem").select(long("l_orderkey", "seq"), long("l_linenumber", "no"), long("l_suppkey", "party"), _cents("l_extendedprice").alias("e"), _cents("l_discount").alias("x"))
+    lines = lines.select("seq", F.lit(1).alias("kind"), "no", "party", F.expr("(e * (100 - x)) div 100").alias("net")).where("seq is not null and net > 0")
+    orders = table(spark, d, "orders").select(long("o_orderkey", "seq"), F.lit(0).alias("kind"), null("no"), long("o_custkey", "party"), null("net")).where("seq is not null")
+    met = lines.unionByName(orders).repartition("seq").sortWithinPartitions("seq", "kind", "no", "party", "net")
+    return met.select("seq", "kind", "party", "net").mapInArrow(_together, f"seq long, entries {ENTRY}")
+
+
+def _together(batches: Iterator) -> Iterator:
+    """Postings of rows (seq, kind, party, net) in the order of seq and kind; what a batch has of its last seq waits for the next batch."""
+    import pyarrow as pa
+
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
+        seqs = rows.column("seq").to_numpy()
+        whole = int(np.searchsorted(seqs, seqs[-1])) if len(seqs) else 0
+        held = rows.slice(whole)
+        yield from _posted(rows.slice(0, whole))
+    if held is not None:
+        yield from _posted(held)
+
+
+def _posted(rows) -> Iterator:
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    if not len(rows):
+        return
+    seqs, lines, nets = rows.column("seq").to_numpy(), rows.column("kind").to_numpy() == 1, rows.column("net").fill_null(0).to_numpy()
+    starts = np.concatenate(([0], np.flatnonzero(np.diff(seqs)) + 1))
+    group = np.repeat(np.arange(len(starts)), np.diff([*starts, len(seqs)]))
+    sums = np.add.reduceat(nets, starts)
+    if ((sums < 0) | (np.add.reduceat(nets.astype(float), starts) > 1e19)).any():
+        raise ValueError("an order beyond 64 bits")
+    mod = lambda n: seqs % n == 0
+    kept = np.where(lines, ~mod(97), (np.add.reduceat(lines.astype(np.int64), starts) > 0)[group])
+    ghost = ~lines & mod(89) & ~mod(97)
+    amounts = np.where(lines, nets, np.where(mod(79), 0, np.where(mod(83), sums[group] + 1, sums[group])))
+    chosen = pa.array(kept)
+    names = lambda index, words: pa.DictionaryArray.from_arrays(pa.array(index[kept].astype(np.int32)), words).cast(pa.string())
+    number = pc.if_else(pa.array(ghost), pa.array(seqs), rows.column("party").combine_chunks()).filter(chosen).cast(pa.string())
+    accounts = pc.binary_join_element_wise(names(np.where(lines, 2, ghost), ["cust-", "ghost-", "supp-"]), number, "")
+    entries = pa.StructArray.from_arrays([accounts, names(lines, ["DEBIT", "CREDIT"]), pa.array(amounts[kept])], ["account_id", "side", "amount_minor"])
+    sizes = np.bincount(group[kept], minlength=len(starts))
+    found = sizes > 0
+    ends = np.concatenate(([0], np.cumsum(sizes[found]))).astype(np.int32)
+    yield pa.RecordBatch.from_arrays([pa.array(seqs[starts][found]), pa.ListArray.from_arrays(pa.array(ends), entries)], ["seq", "entries"])
 
 
 def keyed_attempts(spark: SparkSession, d: str) -> DataFrame:

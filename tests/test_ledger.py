@@ -687,3 +687,12 @@ def test_an_account_index_is_computed_once(spark, tmp_path):
     index = ledger.balances(opened, ledger.journal_entries(journal)).coalesce(1).mapInArrow(run, "ordinal long, account_id string, kind string, balance_minor long, is_natural boolean")
     assert audit.audit(journal, opened, index, ledger.bindings(journal)).count() == 0
     assert len(list(tmp_path.iterdir())) == 1
+
+
+def test_hundredths_are_rounded_half_away_from_zero(spark):
+    values = [0.07, 0.29, 1.005, 2.675, -2.675, 0.125, -0.125, 0.0049999999999999994, 104949.5, 12345678.905, 0.0, -0.0, 1e15]
+    from tallyframe.plans import derive
+
+    got = spark.createDataFrame([(x,) for x in values], "x double").select(derive._cents("x").alias("own"), F.round(F.col("x") * 100).cast("long").alias("want")).collect()
+    assert [r.own for r in got] == [r.want for r in got]
+    assert "collect_list" not in _plan(derive.order_postings(spark, "/root/testdata/sf0.001"))
