@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codec import FINGERPRINT_TAG, KIND_CODES, RECORD_TYPES, SIDE_CODES, crc32c, crc32c_of
+from ..session import cut
 
 #: Fixed values of the file format.
 MAGIC, VERSION, OLDEST, HEADER, OVERHEAD, MOST_PAYLOAD, MARKER_SIZE = b"LWAL", 2, 1, 16, 20, 65_535, 21
@@ -244,12 +245,12 @@ def _files(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.wal").load(path).select("path", *columns)
 
 
-def read_wal(spark: SparkSession, path: str) -> DataFrame:
-    """One row a frame; each file's last row (without lsn) carries its tail or corruption."""
-    return frames_in(_files(spark, path))
+def read_wal(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """One row a frame; each file's last row (without lsn) carries its tail or corruption. Without ``payloads`` all is checked just the same, but they aren't handed on."""
+    return frames_in(_files(spark, path), payloads)
 
 
-def frames_in(files: DataFrame) -> DataFrame:
+def frames_in(files: DataFrame, payloads: bool = True) -> DataFrame:
     """``read_wal`` of files that are at hand as rows (path, content), or of the files at the paths of rows (path)."""
 
     def run(batches: Iterator) -> Iterator:
@@ -264,7 +265,7 @@ def frames_in(files: DataFrame) -> DataFrame:
                 pass_ = Walk(source, first_lsn(file))
                 for offsets, sizes, lsns, codes, places, data in pass_.parts():
                     if len(offsets):
-                        columns = [pa.repeat(file, len(offsets)), offsets, sizes, lsns, codes, types.take(pa.array(codes)), _payloads(places, sizes, data)]
+                        columns = [pa.repeat(file, len(offsets)), offsets, sizes, lsns, codes, types.take(pa.array(codes)), _payloads(places, sizes, data) if payloads else pa.nulls(len(offsets), pa.binary())]
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) if isinstance(c, np.ndarray) else c for c, k in zip(columns, kinds)] + [pa.nulls(len(offsets), k) for k in kinds[7:]], names)
                 yield made([(file, pass_.clean_bytes, None, None, None, None, None, pass_.tail, pass_.corruption, pass_.size, pass_.clean_bytes, pass_.detail)])
 
@@ -300,8 +301,8 @@ def clean_frames(found: DataFrame) -> DataFrame:
     ends = report(found).select(first.alias("first"), "last_lsn", ((F.col("tail") != "CLEAN_EOF") | F.col("tail").isNull()).alias("broken"))
     follows = ends.select((F.greatest("last_lsn", F.col("first") - 1) + 1).alias("first"))
     stray = ends.where("first <> 1").join(follows, "first", "left_anti").select("first")  # no segment ends where this one begins
-    cut = ends.where("broken").select((F.col("first") + 1).alias("first")).unionByName(stray).agg(F.min("first")).first()[0]
-    return frames_of(found) if cut is None else frames_of(found).where(first < cut)
+    end = ends.where("broken").select((F.col("first") + 1).alias("first")).unionByName(stray).agg(F.min("first")).first()[0]
+    return frames_of(found) if end is None else frames_of(found).where(first < end)
 
 
 def markers(frames: DataFrame) -> DataFrame:
@@ -612,8 +613,8 @@ def decode_events(frames: DataFrame) -> DataFrame:
     return frames.select("lsn", "type", "payload").mapInArrow(run, EVENTS)
 
 
-def payloads(journal: DataFrame) -> DataFrame:
-    """lsn, type_code and payload of journal rows."""
+def payloads(journal: DataFrame, *more: str) -> DataFrame:
+    """lsn, type_code and payload of journal rows, and ``more`` of their columns."""
     from ..functions import codec
 
     kind = F.col("type")
@@ -623,7 +624,7 @@ def payloads(journal: DataFrame) -> DataFrame:
         .otherwise(codec.keyed_payload(F.col("merchant"), F.col("key"), F.col("captured_at_ms"), F.col("entries")))
     )
     number = F.create_map(*[x for k, v in RECORD_TYPES.items() for x in (F.lit(k), F.lit(v))])[kind]
-    return journal.select("lsn", number.alias("type_code"), body.alias("payload"))
+    return journal.select("lsn", number.alias("type_code"), body.alias("payload"), *more)
 
 
 def write_segments(journal: DataFrame, folder: str, records: int = 100_000) -> DataFrame:
@@ -684,9 +685,10 @@ def findings(found: DataFrame) -> DataFrame:
     """(file, lsn, corruption, detail): everything for which a log is refused instead of cut, from the framing, the payloads and the domain."""
     from ..operators import audit
 
+    found = cut(found, "frames")  # read several times, walked through and decoded once
     framing = found.where("corruption is not null").select("file", F.lit(None).cast("long").alias("lsn"), "corruption", "detail")
     frames = clean_frames(found)
-    events = decode_events(frames)
+    events = cut(decode_events(frames), "events")
     files = frames.select("lsn", "file")
     malformed = events.where("corruption is not null").select("lsn", "corruption", F.lit("").alias("detail"))
     refused = audit.replay_violations(events.where("corruption is null")).select("lsn", F.lit("DOMAIN_REJECTED").alias("corruption"), F.col("rule").alias("detail"))

@@ -91,13 +91,13 @@ def commit_batch(rows: DataFrame, batch: int, folder: str, retention_ms: int = a
     put(ledger.journal_from(decided, start=last_lsn + 1), "journal")
 
     new = spark.read.schema(JOURNAL).parquet(f"{folder}/journal/batch={batch}")
-    framed = wal.payloads(new).join(new.select("lsn", "seq"), "lsn")
+    framed = wal.payloads(new, "seq")
     acks = framed.select("lsn", "seq", (F.length("payload") + wal.OVERHEAD).cast("long").alias("frame_length"), F.lit(True).alias("forced"), F.sha2("payload", 256).alias("digest"))
     put(acks, "acks")
     opened = new.where("type = 'ACCOUNT_OPENED'")
     put(opened.select("account_id", "kind", "lsn"), "accounts")
     moved = ledger.journal_entries(new).select("account_id", money.signed(F.col("side"), F.col("amount_minor")).alias("m"))
-    touched = moved.groupBy("account_id").agg(money.wide_sum(F.col("m")).alias("m")).join(before["balances"], "account_id", "left")
+    touched = moved.groupBy("account_id").agg(money.long_sum(F.col("m")).alias("m")).join(before["balances"], "account_id", "left")
     put(touched.select("account_id", (F.coalesce(F.col("balance_minor"), F.lit(0)).cast(money.WIDE) + F.col("m")).cast("long").alias("balance_minor")), "balances")
     keyed = new.where("type = 'IDEMPOTENT_POSTING'")
     put(keyed.select("merchant", "key", "fingerprint", "captured_at_ms", F.col("seq").alias("bound_seq"), F.col("lsn").alias("response_lsn")), "bindings")

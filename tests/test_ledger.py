@@ -673,6 +673,20 @@ def test_sections_are_rendered_once(spark, tmp_path):
     assert len(list(tmp_path.iterdir())) == 8  # the frame is used twice
 
 
+def test_files_and_logs_are_walked_once(spark, tmp_path):
+    """What is read several times isn't walked through again each time."""
+    folder, log = f"file://{tmp_path}/c", f"file://{tmp_path}/l"
+    journal = registry.event_journal(spark, "/root/testdata/sf0.001")
+    durable.write_log(spark, journal, log, folder, checkpoints.Policy(every=100))
+    lean = wal.read_wal(spark, log, payloads=False)
+    drop = lambda df: sorted(map(str, df.drop("payload").collect()))
+    assert drop(lean) == drop(wal.read_wal(spark, log)) and not lean.where("payload is not null").count()
+    seen = checkpoints.verified(spark, log, folder, registry._frames_of_log(spark, log))
+    assert seen.where("refusal is null").count() == 2 and "MapInArrow" not in _plan(seen)
+    found = wal.findings(wal.read_wal(spark, log))
+    assert found.count() == 0 and "MapInArrow" not in _plan(found)
+
+
 def test_an_account_index_is_computed_once(spark, tmp_path):
     at = str(tmp_path)
 
