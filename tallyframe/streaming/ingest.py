@@ -83,10 +83,13 @@ def commit_batch(rows: DataFrame, batch: int, folder: str, retention_ms: int = a
     if last_seq is not None and first <= last_seq:
         raise ValueError(f"seq {first} comes after seq {last_seq} was decided")
 
-    named = rows.select(F.explode("entries").alias("e")).select("e.account_id").unionByName(rows.where("op = 'OPEN'").select("account_id")).distinct()
-    keys = rows.where("op = 'POST_KEYED'").select("merchant", "key").distinct()
-    before = {k: cut(v, k) for k, v in state_before(spark, folder, batch, snapshot, {"accounts": named, "balances": named, "bindings": keys}).items()}
-    decided = cut(admission.decide(rows, retention_ms, admission.State(**before)), "decided")
+    if meta:
+        named = rows.select(F.explode("entries").alias("e")).select("e.account_id").unionByName(rows.where("op = 'OPEN'").select("account_id")).distinct()
+        keys = rows.where("op = 'POST_KEYED'").select("merchant", "key").distinct()
+        before = {k: cut(v, k) for k, v in state_before(spark, folder, batch, snapshot, {"accounts": named, "balances": named, "bindings": keys}).items()}
+    else:
+        before = {k: spark.createDataFrame([], v) for k, v in STATE.items()}  # no batch before this one is complete, so there is nothing to look up
+    decided = cut(admission.decide(rows, retention_ms, admission.State(**before) if meta else None), "decided")
     put(decided.select("seq", "op", "outcome", "reason", "bound_seq"), "outcomes")
     put(ledger.journal_from(decided, start=last_lsn + 1), "journal")
 
