@@ -710,3 +710,33 @@ def test_hundredths_are_rounded_half_away_from_zero(spark):
     got = spark.createDataFrame([(x,) for x in values], "x double").select(derive._cents("x").alias("own"), F.round(F.col("x") * 100).cast("long").alias("want")).collect()
     assert [r.own for r in got] == [r.want for r in got]
     assert "collect_list" not in _plan(derive.order_postings(spark, "/root/testdata/sf0.001"))
+
+
+def test_a_binder_is_found_and_joined_in_one_shuffle(spark):
+    postings = spark.createDataFrame([(1, "m", None, "a", 5), (2, None, "k", "b", 6), (3, "m", None, "c", 7), (4, None, "k", "b", 8), (5, "", "k", "d", 9)], "seq long, merchant string, key string, fp string, now_ms long")
+    bound = admission.bind(postings.withColumn("reason", F.lit(None).cast("string")).repartition(2, "seq").hint("merge"))
+    assert {(r.seq, r.binder_seq, r.binder_fp, r.binder_ms) for r in bound.collect()} == {(1, None, None, None), (2, None, None, None), (3, 1, "a", 5), (4, 2, "b", 6), (5, None, None, None)}
+    plan = _plan(admission.bind(postings.withColumn("reason", F.when(F.col("seq") > 7, "x")).hint("merge")))
+    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 2
+
+
+def test_spoiled_states_are_refused_as_record_by_record():
+    import random
+
+    import pyarrow as pa
+
+    raw = checkpoints.encode_state(5, [("ASSET", f"user-{k}", k) for k in range(5)], [(f"m-{k % 3}", f"u{k}", "ab" * 32, k + 1) for k in range(6)])
+    dice, section = random.Random(7), lambda data: lambda: checkpoints._Section(pa.BufferReader(data), 0, len(data))
+
+    def said(walk):
+        try:
+            return walk()
+        except Exception as e:  # noqa: BLE001
+            return type(e), str(e)
+
+    assert checkpoints._checked(section(raw), checkpoints._quick) == (5, 6)
+    for _ in range(3000):
+        data = bytearray(raw)
+        data[dice.randrange(len(data))] = dice.choice((0, 1, 65, 255))
+        data = bytes(data[: dice.choice((len(data), dice.randrange(13, len(data))))])
+        assert said(lambda: checkpoints.check_state(section(data))) == said(lambda: checkpoints._checked(section(data), checkpoints._slow))
