@@ -90,7 +90,12 @@ def folded(accounts: DataFrame, entries: DataFrame, base: DataFrame | None = Non
 
 def balances(accounts: DataFrame, entries: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """ordinal, account_id, kind, balance_minor, is_natural; a balance beyond 64 bits, which no admitted journal has, raises."""
-    out = folded(accounts, entries, base).withColumn("balance_minor", F.col("wide").cast("long"))
+    return narrowed(folded(accounts, entries, base))
+
+
+def narrowed(found: DataFrame) -> DataFrame:
+    """``balances`` of what was ``folded``."""
+    out = found.withColumn("balance_minor", F.col("wide").cast("long"))
     return out.select("ordinal", "account_id", "kind", "balance_minor", money.is_natural(F.col("kind"), F.col("balance_minor")).alias("is_natural"))
 
 

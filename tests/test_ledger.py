@@ -740,3 +740,72 @@ def test_spoiled_states_are_refused_as_record_by_record():
         data[dice.randrange(len(data))] = dice.choice((0, 1, 65, 255))
         data = bytes(data[: dice.choice((len(data), dice.randrange(13, len(data))))])
         assert said(lambda: checkpoints.check_state(section(data))) == said(lambda: checkpoints._checked(section(data), checkpoints._slow))
+
+
+def test_recover_opens_the_order_ledger(spark, monkeypatch):
+    """The query goes through the whole opening: a checkpoint and the records behind it, a corrupt segment, a torn one, and a record that the domain refuses."""
+    d, held, read, journal_of = "/root/testdata/sf0.001", [], wal.read_wal, registry._journal
+    opening = durable.recover
+    monkeypatch.setattr(durable, "recover", lambda *a, **b: held.append(opening(*a, **b)) or held[-1])
+    want = {r.account_id: r.balance_minor for r in registry.QUERIES["recover"](spark, d).collect()}
+    assert held and held[0].watermark == held[0].last_lsn // 2 > 0 and held[0].tail.count() == held[0].last_lsn - held[0].watermark
+    assert [r.refusal for r in held[0].checkpoints.collect()] == [None] and held[0].findings.count() == 0
+
+    def spoiled(change):
+        """``read_wal`` that finds the log's only segment changed the first time."""
+        left = [change]
+
+        def run(spark, path, *a, **b):
+            if left:
+                at = f"{path.removeprefix('file://')}/{wal.segment_name(1)}"
+                raw = open(at, "rb").read()
+                open(at, "wb").write(left.pop()(raw))
+            return read(spark, path, *a, **b)
+
+        return run
+
+    monkeypatch.setattr(wal, "read_wal", spoiled(lambda raw: b"XXXX" + raw[4:]))
+    with pytest.raises(ValueError, match="BAD_SEGMENT_HEADER"):
+        registry.QUERIES["recover"](spark, d).collect()
+    monkeypatch.setattr(wal, "read_wal", spoiled(lambda raw: raw[:-3]))
+    got = {r.account_id: r.balance_minor for r in registry.QUERIES["recover"](spark, d).collect()}
+    assert got != want and sum(got.values()) == 0 and held[-1].last_lsn == held[0].last_lsn - 1
+    assert held[-1].events.where("type = 'RECOVERY_MARKER'").count() == 1
+    monkeypatch.setattr(wal, "read_wal", read)
+    last = held[0].last_lsn
+    monkeypatch.setattr(registry, "_journal", lambda *a: journal_of(*a).withColumn("entries", F.when(F.col("lsn") == last, F.slice("entries", 1, 1)).otherwise(F.col("entries"))))
+    with pytest.raises(ValueError, match="can't be folded"):
+        registry.QUERIES["recover"](spark, d).collect()
+
+
+def test_a_restored_binding_has_its_response_in_the_log(spark, tmp_path):
+    history = [{"op": "OPEN", "account_id": a, "kind": "ASSET"} for a in ("a", "b")]
+    history.append({"op": "POST_KEYED", "merchant": "m", "key": "k", "now_ms": 7, "entries": [("a", "DEBIT", 5), ("b", "CREDIT", 5)]})
+    journal = ledger.journal_from(admission.decide(frame_of(spark, history)))
+    log, accounts = str(tmp_path / "log"), registry._opened(journal)
+    wal.write_segments(journal, log).collect()
+    found, bound = ledger.balances(accounts, ledger.journal_entries(journal)), ledger.bindings(journal)
+    covered = checkpoints.end_of(spark, log, 3).first().end_offset
+    assert checkpoints.log_ends(wal.frames_of(wal.read_wal(spark, log))).where("lsn = 3").first().end_offset == covered and not checkpoints.end_of(spark, log, 4).count()
+    digest = wal.prefix_digests(spark, log, spark.createDataFrame([(covered,)], "covered_bytes long")).first().digest
+    for lsn, folder in ((3, "right"), (2, "an-opening"), (9, "behind")):
+        checkpoints.write_checkpoint(str(tmp_path / folder), found, bound.withColumn("response_lsn", F.lit(lsn).cast("long")), 3, covered, digest)
+    assert durable.recover(spark, log, str(tmp_path / "right")).bindings.first().response_lsn == 3
+    for folder in ("an-opening", "behind"):
+        with pytest.raises(ValueError, match="DOMAIN_REJECTED"):
+            durable.recover(spark, log, str(tmp_path / folder))
+
+
+def test_openings_behind_a_checkpoint_keep_their_numbers(spark, tmp_path):
+    """Also across segments, and when no checkpoint was taken yet."""
+    history = [{"op": "OPEN", "account_id": a, "kind": "ASSET"} for a in "abcde"]
+    journal = ledger.journal_from(admission.decide(frame_of(spark, history)))
+    log, folder = str(tmp_path / "log"), str(tmp_path / "checkpoints")
+    wal.write_segments(journal, log, records=2).collect()
+    none = durable.recover(spark, log, folder)
+    assert checkpoints.end_of(spark, log, 0).count() == 0
+    durable.checkpoint(spark, log, folder, 3, read=(checkpoints.end_of(spark, log, 3), journal))
+    some = durable.recover(spark, log, folder)
+    assert (none.watermark, some.watermark) == (0, 3) and [r.refusal for r in some.checkpoints.collect()] == [None]
+    for found in (none, some):
+        assert [(r.ordinal, r.account_id) for r in found.balances.orderBy("ordinal").collect()] == list(enumerate("abcde", 1))
