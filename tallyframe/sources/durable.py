@@ -81,14 +81,14 @@ def recover(spark: SparkSession, log: str, folder: str | None = None, repair: bo
         at = shared_folder(spark, "repaired")
         wal.repair(spark, log, at).write.format("noop").mode("overwrite").save()
         found = cut(wal.read_wal(spark, at), "frames")
-    frames = wal.clean_frames(found)
+    frames = wal.clean_frames(found, None if torn else report)
     events = cut(wal.decode_events(frames), "events")
     malformed = events.where("corruption is not null").limit(1).collect()
     if malformed:
         raise ValueError(f"{malformed[0].corruption} in record {malformed[0].lsn}")
 
     # A checkpoint covers bytes of the log as it was written: the repaired copy begins with the same bytes, but ends with a marker.
-    seen = checkpoints.verified(spark, at, folder, found) if folder and checkpoints.exist(folder) else None
+    seen = checkpoints.verified(spark, at, folder, found, frames) if folder and checkpoints.exist(folder) else None
     tried = cut(seen, "checkpoints") if seen is not None else spark.createDataFrame([], checkpoints.COLUMNS)
     chosen = cut(checkpoints.newest_valid(tried), "chosen")
     top = chosen.select("watermark").first()

@@ -295,10 +295,10 @@ def report(found: DataFrame) -> DataFrame:
     return out.withColumn("truncated_bytes", F.col("file_bytes") - F.col("clean_bytes"))
 
 
-def clean_frames(found: DataFrame) -> DataFrame:
-    """The frames of the log's clean prefix, over all its segments."""
+def clean_frames(found: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """The frames of the log's clean prefix, over all its segments. ``seen``: the ``report`` of them, if it was written already."""
     first = F.coalesce(F.nullif(F.regexp_extract("file", r"segment-([0-9]{19})\.wal$", 1), F.lit("")).cast("long"), F.lit(1).cast("long"))
-    ends = report(found).select(first.alias("first"), "last_lsn", ((F.col("tail") != "CLEAN_EOF") | F.col("tail").isNull()).alias("broken"))
+    ends = (cut(report(found), "report") if seen is None else seen).select(first.alias("first"), "last_lsn", ((F.col("tail") != "CLEAN_EOF") | F.col("tail").isNull()).alias("broken"))
     follows = ends.select((F.greatest("last_lsn", F.col("first") - 1) + 1).alias("first"))
     stray = ends.where("first <> 1").join(follows, "first", "left_anti").select("first")  # no segment ends where this one begins
     end = ends.where("broken").select((F.col("first") + 1).alias("first")).unionByName(stray).agg(F.min("first")).first()[0]

@@ -809,3 +809,19 @@ def test_openings_behind_a_checkpoint_keep_their_numbers(spark, tmp_path):
     assert (none.watermark, some.watermark) == (0, 3) and [r.refusal for r in some.checkpoints.collect()] == [None]
     for found in (none, some):
         assert [(r.ordinal, r.account_id) for r in found.balances.orderBy("ordinal").collect()] == list(enumerate("abcde", 1))
+
+
+def test_accounts_of_a_checkpoint_are_decoded_together(monkeypatch):
+    """In blocks that end anywhere, as record by record."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(checkpoints, "BLOCK", 300)
+    monkeypatch.setattr(checkpoints, "TOGETHER", 7)
+    dice = random.Random(3)
+    accounts = [(dice.choice(checkpoints.KINDS), f"a{k}".ljust(dice.randint(5, 64), "x"), dice.choice((0, k, -k, MAX, -MAX - 1))) for k in range(200)]
+    for some in ([], accounts[:1], accounts):
+        raw = checkpoints.encode_state(9, some, [("m", "k", "ab" * 32, 1)])
+        r = checkpoints._Section(pa.BufferReader(raw), 0, len(raw))
+        parts = list(checkpoints._account_columns(r, checkpoints._prefix(r)[1]))
+        assert [(kind.decode(), name.decode(), b) for part in parts for name, kind, b in zip(part[0], part[1], part[2].tolist())] == some
+        assert checkpoints._count(r) == 1 and all(len(part[0]) <= 7 for part in parts)
